@@ -93,8 +93,8 @@ def cleaning_log(raw: DataFrame) -> DataFrame:
     )
     later = survivors.select(F.inline(F.array(
         F.struct(F.lit(3).alias("step_no"), F.col("repeated").alias("removed")),
-        F.struct(F.lit(4), F.col("non_product")),
-        F.struct(F.lit(5), F.col("kept")),
+        F.struct(F.lit(4).alias("step_no"), F.col("non_product").alias("removed")),
+        F.struct(F.lit(5).alias("step_no"), F.col("kept").alias("removed")),
     )))
     names = F.array(*[F.lit(s) for s in STEPS])
     every = raw.sparkSession.range(6).select(F.col("id").cast("int").alias("step_no"))

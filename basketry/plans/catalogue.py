@@ -3,6 +3,8 @@
 from basketry.plans import (  # noqa: F401
     register_analysis,
     register_cleaning,
+    register_metrics,
+    register_questions,
 )
 from basketry.plans.registry import ORACLES, QUERIES
 

@@ -105,7 +105,7 @@ def main() -> int:
             else:
                 verdict = f"ok {len(df.collect())} rows (no SQL)"
         except Exception as err:  # noqa: BLE001
-            verdict = f"ERROR {type(err).__name__}: {str(err)[:1500]}"
+            verdict = f"ERROR {type(err).__name__}: {str(err)[:400]}"
         if not verdict.startswith("ok"):
             failed += 1
         print(f"{name:<45} {time.time() - start:6.2f}s {verdict}", flush=True)
