@@ -82,7 +82,7 @@ def tie_ranks(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFram
     summed = running_totals(counted, [*keys, value], {"_upto": "ties"})
     placed = summed.withColumn("_before", F.col("_upto") - F.col("ties")).drop("_upto")
     if not keys:
-        size = counted.agg(F.coalesce(F.sum("ties"), F.lit(0)).alias("size"))
+        size = placed.agg(F.coalesce(F.sum("ties"), F.lit(0)).alias("size"))
         return placed.select(value, F.col("_before").alias("below"), "ties", size.scalar().alias("size"))
     spans = placed.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("ties").alias("size"))
     return placed.join(spans, keys).select(

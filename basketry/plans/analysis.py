@@ -96,7 +96,7 @@ def revenue_concentration(sales: DataFrame, shares: dict[str, float]) -> DataFra
 def lorenz_curve(sales: DataFrame) -> DataFrame:
     per_customer = customer_revenue(sales)
     ordered = running_totals(per_customer, [F.desc("revenue"), "customer_id"], {"so_far": "revenue"}, "place")
-    whole = per_customer.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("total")).alias("w")).scalar()
+    whole = ordered.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("total")).alias("w")).scalar()
     return ordered.withColumn("w", whole).select(
         "place",
         share(F.col("place"), F.col("w.n")).alias("customer_pct"),

@@ -3,6 +3,7 @@
 from basketry.plans import (  # noqa: F401
     register_analysis,
     register_cleaning,
+    register_customers,
     register_metrics,
     register_questions,
 )

@@ -97,6 +97,79 @@ BLOCKS: dict[str, tuple[list[str], str]] = {
                USING (stock_code)"""),
 }
 
+FEATURES = ["recency", "frequency", "monetary", "tenure", "avg_order_value", "breadth", "cancel_rate", "regularity"]
+LOWER = {"recency", "cancel_rate", "regularity"}
+WEIGHTS = [0.25, 0.25, 0.30, 0.0, 0.0, 0.10, 0.10, 0.0]
+TOTAL = sum(WEIGHTS)
+
+
+def percentile(column: str) -> str:
+    direction = "DESC" if column in LOWER else "ASC"
+    return f"""CASE WHEN {column} IS NULL THEN 0.0::DOUBLE ELSE
+      ((rank() OVER (PARTITION BY {column} IS NULL ORDER BY {column} {direction}))::DOUBLE
+       + ((count(*) OVER (PARTITION BY {column})) - 1)::DOUBLE / 2.0::DOUBLE) / (count({column}) OVER ())::DOUBLE END"""
+
+
+def weighted(weights: list[float]) -> str:
+    total = sum(weights)
+    return " + ".join(f"pct_{f} * {w / total!r}::DOUBLE" for f, w in zip(FEATURES, weights))
+
+
+def tier(rank: str, n: str) -> str:
+    return f"""CASE WHEN {rank}::DOUBLE / {n} <= 0.1::DOUBLE + 1e-12 THEN 'Tier 1'
+     WHEN {rank}::DOUBLE / {n} <= 0.3::DOUBLE + 1e-12 THEN 'Tier 2'
+     WHEN {rank}::DOUBLE / {n} <= 0.6::DOUBLE + 1e-12 THEN 'Tier 3' ELSE 'Tier 4' END"""
+
+
+def features_sql(sales: str, cancellations: str, cutoffs: list[str]) -> str:
+    dates = ", ".join(f"(DATE '{c}')" for c in cutoffs)
+    return f"""
+        WITH cutoffs(cutoff_date) AS (VALUES {dates}),
+        bought AS (SELECT cutoff_date, customer_id, invoice, min(invoice_date) AS ts, sum(revenue) AS v
+                   FROM {sales} JOIN cutoffs ON invoice_date < cutoff_date GROUP BY ALL),
+        gaps AS (SELECT cutoff_date, customer_id, count(g) AS n, sum(g)::BIGINT AS s, sum(g * g)::BIGINT AS q
+                 FROM (SELECT cutoff_date, customer_id,
+                              date_diff('day', lag(ts) OVER (PARTITION BY cutoff_date, customer_id ORDER BY ts), ts) AS g
+                       FROM bought) GROUP BY ALL),
+        per AS (SELECT cutoff_date, customer_id, min(ts) AS first, max(ts) AS last, count(*) AS frequency, sum(v) AS total
+                FROM bought GROUP BY ALL),
+        wide AS (SELECT cutoff_date, customer_id, count(DISTINCT stock_code) AS breadth
+                 FROM {sales} JOIN cutoffs ON invoice_date < cutoff_date GROUP BY ALL),
+        back AS (SELECT cutoff_date, customer_id, count(DISTINCT invoice) AS lost
+                 FROM {cancellations} JOIN cutoffs ON invoice_date < cutoff_date GROUP BY ALL)
+        SELECT cutoff_date, customer_id, CAST(date_diff('day', last, cutoff_date) AS INTEGER) AS recency, frequency,
+               total::DOUBLE AS monetary, CAST(date_diff('day', first, cutoff_date) AS INTEGER) AS tenure,
+               total::DOUBLE / frequency AS avg_order_value, breadth,
+               coalesce(lost, 0)::DOUBLE / (frequency + coalesce(lost, 0)) AS cancel_rate,
+               CASE WHEN n >= 2 THEN sqrt((n * q - s * s)::DOUBLE / (n * (n - 1))::DOUBLE) END AS regularity
+        FROM per JOIN gaps USING (cutoff_date, customer_id) JOIN wide USING (cutoff_date, customer_id)
+        LEFT JOIN back USING (cutoff_date, customer_id)"""
+
+
+def scored_sql(ranked: str, weights: list[float]) -> str:
+    contribs = ", ".join(f"pct_{f} * {w / sum(weights)!r}::DOUBLE AS contrib_{f}" for f, w in zip(FEATURES, weights))
+    return f"""
+        SELECT *, {tier('score_rank', 'n')} AS tier
+        FROM (SELECT *, row_number() OVER (ORDER BY score DESC, customer_id) AS score_rank, count(*) OVER () AS n
+              FROM (SELECT *, {contribs}, {weighted(weights)} AS score FROM {ranked}))"""
+
+
+_PCTS = ", ".join(f"{percentile(f)} AS pct_{f}" for f in FEATURES)
+BLOCKS |= {
+    "snapshots": (["sales", "cancellations"], features_sql("sales", "cancellations", ["1999-12-01", "2000-06-01"])),
+    "features": (["snapshots"], "SELECT * EXCLUDE (cutoff_date) FROM snapshots WHERE cutoff_date = DATE '2000-06-01'"),
+    "ranked_features": (["features"], f"SELECT *, {_PCTS} FROM features"),
+    "scored": (["ranked_features"], scored_sql("ranked_features", WEIGHTS)),
+    "future": (["sales"], """
+        SELECT customer_id, sum(revenue) AS future_revenue FROM sales
+        WHERE invoice_date >= DATE '2000-06-01' AND invoice_date < DATE '2000-12-01' GROUP BY customer_id"""),
+    "scored_outcome": (["scored", "future"], """
+        SELECT s.*, coalesce(future_revenue, 0) AS future_revenue FROM scored s LEFT JOIN future USING (customer_id)"""),
+    "faulty_sales": (["sales"], "SELECT * FROM sales WHERE country <> 'NATION_3'"),
+    "faulty_scored": (["faulty_sales", "cancellations"], scored_sql(
+        f"(SELECT *, {_PCTS} FROM ({features_sql('faulty_sales', 'cancellations', ['2000-06-01'])}))", WEIGHTS)),
+}
+
 
 def _collect(name: str, seen: list[str]) -> None:
     for needed in BLOCKS[name][0]:

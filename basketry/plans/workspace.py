@@ -7,11 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.operators import cleaning, star
+from basketry.operators import cleaning, marts, star, tiering
 from basketry.sources import retail
 from basketry.session import shared_folder
 from basketry.sources.versions import publish, read_live
 
+# Scoring dates on the supplied data: features before a date, outcome in the half year after it.
+TRAIN_CUTOFF, CUTOFF, OUTCOME_END = "1999-12-01", "2000-06-01", "2000-12-01"
+FAULTY_COUNTRY = "NATION_3"
+
 _OPEN: dict[tuple[str, str], "Workspace"] = {}
 
 
@@ -66,3 +70,43 @@ class Workspace:
 
     def stars(self) -> dict[str, DataFrame]:
         return {name: self.star(name) for name in star.TABLES}
+
+    def faulty_stars(self) -> dict[str, DataFrame]:
+        """The star of a load that silently lost one country."""
+        if "faulty.fact_sales" not in self._tables:
+            lost = cleaning.inject_fault(self.sales(), "drop_country", FAULTY_COUNTRY)
+            root = f"{self.root}/star-faulty"
+            publish(self.spark, star.build_star(lost, self.cancellations()), root)
+            for name, df in read_live(self.spark, root, star.TABLES).items():
+                self._tables[f"faulty.{name}"] = df
+        return {name: self._tables[f"faulty.{name}"] for name in star.TABLES}
+
+    def stg_sales(self) -> DataFrame:
+        return marts.stg_sales(self.star("fact_sales"))
+
+    def stg_cancellations(self) -> DataFrame:
+        return marts.stg_cancellations(self.star("fact_cancellations"))
+
+    def snapshots(self) -> DataFrame:
+        return self.written(
+            "mart_customer_features",
+            lambda: tiering.feature_snapshots(self.stg_sales(), self.stg_cancellations(), [TRAIN_CUTOFF, CUTOFF]),
+        )
+
+    def features(self, cutoff: str = CUTOFF) -> DataFrame:
+        return self.snapshots().filter(f"cutoff_date = DATE '{cutoff}'").drop("cutoff_date")
+
+    def scored(self) -> DataFrame:
+        return self.written("mart_customer_tiers", lambda: tiering.score_customers(self.features()))
+
+    def faulty_scored(self) -> DataFrame:
+        stars = self.faulty_stars()
+        return self.written("faulty_customer_tiers", lambda: tiering.score_customers(
+            tiering.features_at(stars["fact_sales"], stars["fact_cancellations"], CUTOFF)))
+
+    def future(self) -> DataFrame:
+        return tiering.future_revenue(self.star("fact_sales"), CUTOFF, OUTCOME_END)
+
+    def scored_outcome(self) -> DataFrame:
+        """Scored customers with what they spent in the outcome window."""
+        return self.written("scored_outcome", lambda: tiering.with_outcome(self.scored(), self.future()))
