@@ -5,7 +5,9 @@ from basketry.plans import (  # noqa: F401
     register_cleaning,
     register_customers,
     register_metrics,
+    register_parity,
     register_questions,
+    register_warehouse,
 )
 from basketry.plans.registry import ORACLES, QUERIES
 
