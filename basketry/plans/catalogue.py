@@ -7,6 +7,7 @@ from basketry.plans import (  # noqa: F401
     register_metrics,
     register_parity,
     register_questions,
+    register_retrieval,
     register_warehouse,
 )
 from basketry.plans.registry import ORACLES, QUERIES

@@ -263,14 +263,15 @@ def s12(ws: Workspace):
 SELECT 'L' || doc_id AS label_id, quality AS faithful, toxic AS citation_correct, 'source, checked' AS notes FROM labels""")
 def s13(ws: Workspace):
     path = ws.scratch("labels")
-    rows = ws.source("labels").select(
-        F.concat(F.lit("L"), F.col("doc_id")).alias("label_id"), F.concat(F.lit(" "), F.col("quality")).alias("faithful"),
-        F.col("toxic").cast("string").alias("citation_correct"), F.lit("source, checked").alias("notes"),
-    )
-    notes = ws.spark.range(1).select(
-        F.lit("# how to label").alias("label_id"), F.lit("").alias("faithful"), F.lit("").alias("citation_correct"), F.lit("").alias("notes")
-    )
-    rows.unionByName(notes).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    filled = {
+        "label_id": F.concat(F.lit("L"), F.col("doc_id")), "faithful": F.concat(F.lit(" "), F.col("quality")),
+        "citation_correct": F.col("toxic").cast("string"), "notes": F.lit("source, checked"),
+        "answer": F.lit("one line\nand another"),
+    }
+    empty = F.lit(None).cast("string")
+    rows = ws.source("labels").select(*[filled.get(c, empty).alias(c) for c in files.LABEL_COLUMNS])
+    first = ws.spark.range(1).select(*[F.lit("# how to label" if c == "label_id" else "").alias(c) for c in files.LABEL_COLUMNS])
+    first.unionByName(rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return files.checked_labels(files.read_labels(ws.spark, path))
 
 
@@ -655,6 +656,7 @@ _TESTED = _STAR + " snapshots scored"
 
 def _models(ws: Workspace):
     return {
+        "fact_sales": ws.star("fact_sales"), "fact_cancellations": ws.star("fact_cancellations"),
         "stg_sales": ws.stg_sales(), "stg_cancellations": ws.stg_cancellations(),
         "stg_products": marts.stg_products(ws.star("dim_product")), "stg_dates": marts.stg_dates(ws.star("dim_date")),
         "fct_sales": ws.stg_sales(), "fct_cancellations": ws.stg_cancellations(),
@@ -669,6 +671,7 @@ UNIQUE = {
     "stg_sales": "sales_line_id", "stg_cancellations": "cancellation_line_id", "stg_products": "product_code",
     "stg_dates": "date_key", "fct_sales": "sales_line_id", "fct_cancellations": "cancellation_line_id",
     "dim_customer": "customer_id", "dim_product": "product_code", "dim_date": "date_key", "mart_customer_tiers": "customer_id",
+    "fact_sales": "sales_line_id", "fact_cancellations": "cancellation_line_id",
 }
 NOT_NULL = {
     "fct_sales": ["sales_line_id", "invoice_id", "invoiced_at", "customer_id", "product_code", "date_key", "revenue"],
@@ -678,9 +681,11 @@ NOT_NULL = {
     "dim_date": ["date_key"],
     "mart_customer_features": ["customer_id", "frequency", "monetary", "cancel_rate"],
     "mart_customer_tiers": ["customer_id", "tier", "score"],
+    "fact_sales": ["sales_line_id"],
+    "fact_cancellations": ["cancellation_line_id"],
     "stg_sales": ["sales_line_id", "invoice_id", "invoiced_at", "customer_id", "product_code", "quantity", "unit_price"],
     "stg_cancellations": ["cancellation_line_id", "invoice_id", "customer_id"],
-    "stg_products": ["product_code", "is_product"],
+    "stg_products": ["product_code"],
     "stg_dates": ["date_key"],
 }
 ACCEPTED = {

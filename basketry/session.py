@@ -42,3 +42,12 @@ def durable(df):
     """Cut the lineage of ``df`` in the shared folder, so a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(source):
+    """Rows of a source that has fewer splits than there are cores, handed to all of them.
+
+    For work that is heavy per row, such as text; a source with enough splits is left as it is.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source

@@ -104,21 +104,20 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-LABEL_SCHEMA = T.StructType(
-    [
-        T.StructField("label_id", T.StringType()),
-        T.StructField("faithful", T.StringType()),
-        T.StructField("citation_correct", T.StringType()),
-        T.StructField("notes", T.StringType()),
-    ]
-)
+# The columns of a hand-label file.
+LABEL_COLUMNS = [
+    "label_id", "question", "sql", "sql_result", "answer", "cited_docs", "docs_shown_to_agent", "faithful",
+    "citation_correct", "notes",
+]
+LABEL_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LABEL_COLUMNS])
 _LABELS = ["faithful", "citation_correct"]
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Hand labels with instruction lines (#) left out; the label cells are still text."""
-    read = spark.read.schema(LABEL_SCHEMA).option("header", True).option("comment", "#").option("multiLine", True)
-    return read.option("escape", '"').csv(path)
+    """Hand labels as text, without the instruction lines (quoted or not) that stand above the header."""
+    read = spark.read.schema(LABEL_SCHEMA).option("comment", "#").option("multiLine", True).option("escape", '"')
+    rows = read.csv(path).filter(F.col("label_id").isNotNull())
+    return rows.filter(~F.col("label_id").startswith("#") & (F.col("label_id") != "label_id"))
 
 
 def invalid_labels(labels: DataFrame) -> DataFrame:
