@@ -83,6 +83,12 @@ def chunks(body: Column, size: int | None, overlap: int = 16) -> Column:
     return F.aggregate(units, start, add, closed)
 
 
+def as_number(text: Column) -> Column:
+    """The text as a double if it is written as one; a code such as 10D is not."""
+    bare = trimmed(text)
+    return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters a-z and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))

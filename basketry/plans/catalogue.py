@@ -4,6 +4,7 @@ from basketry.plans import (  # noqa: F401
     register_analysis,
     register_cleaning,
     register_customers,
+    register_grading,
     register_metrics,
     register_parity,
     register_questions,
