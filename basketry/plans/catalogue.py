@@ -9,6 +9,7 @@ from basketry.plans import (  # noqa: F401
     register_parity,
     register_questions,
     register_retrieval,
+    register_serving,
     register_warehouse,
 )
 from basketry.plans.registry import ORACLES, QUERIES

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import text
 from basketry.operators import claims, grading, matching
+from basketry.operators.ranking import group_positions
 from basketry.plans.registry import register
 from basketry.plans.workspace import Workspace
 from basketry.session import spread
@@ -77,20 +78,32 @@ _LATENCY = """round(quantile_cont(latency_s - narrate_s, 0.5), 2) AS latency_p50
 
 # ---- result sets ------------------------------------------------------------------------------------
 
-# Each order's lines are a reference result (part, quantity, ship date); the recorded answer is a variation
-# of it chosen by the order key: 0 reordered columns and rounding noise, 1 an extra column, 2 a wrong number,
-# 3 a missing row, 4 quantities paired with the wrong parts, 5 timestamps and padded numbers.
+# The lines of an order, twenty at a time, are a reference result (part, quantity, ship date); the recorded
+# answer is a variation of it chosen by the order key: 0 reordered columns and rounding noise, 1 an extra
+# column, 2 a wrong number, 3 a missing row, 4 quantities paired with the wrong parts, 5 timestamps and
+# padded numbers.
+SET_SIZE = 20
+
+
+def result_sets(ws: Workspace):
+    """(id, order_key, rows): order lines in sets of at most twenty, however many lines an order has."""
+    def build():
+        lines = ws.source("lineitem").select(
+            F.col("l_orderkey").alias("order_key"), "l_linenumber", F.concat(F.lit("P"), "l_partkey").alias("part"),
+            F.col("l_quantity").cast("int").alias("units"), F.to_date("l_shipdate").alias("day"),
+        )
+        numbered = group_positions(lines, ["order_key"], ["l_linenumber", "part", "units", "day"], "i")
+        sets = numbered.withColumn("block", F.floor((F.col("i") - 1) / SET_SIZE))
+        return sets.groupBy("order_key", "block").agg(
+            F.array_sort(F.collect_list(F.struct("i", "part", "units", "day"))).alias("rows")  # at most twenty
+        ).select(F.concat_ws("-", "order_key", "block").alias("id"), "order_key", "rows")
+
+    return ws.written("result_sets", build)
 
 
 def result_records(ws: Workspace):
-    lines = ws.source("lineitem").select(
-        F.col("l_orderkey").alias("id"), F.concat(F.lit("P"), "l_partkey").alias("part"),
-        F.col("l_quantity").cast("int").alias("units"), F.to_date("l_shipdate").alias("day"),
-        "l_linenumber", "l_extendedprice",
-    )
-    line = F.struct("l_linenumber", "part", "units", "day", "l_extendedprice")
-    whole = lines.groupBy("id").agg(F.array_sort(F.collect_list(line)).alias("rows"))  # the lines of one order
-    n, mode = F.size("rows"), F.col("id") % 6
+    whole = result_sets(ws)
+    n, mode = F.size("rows"), F.col("order_key") % 6
     text_of = lambda c: c.cast("string")
 
     def noisy(row, i):
@@ -115,18 +128,20 @@ def result_records(ws: Workspace):
     predicted = (
         F.when(mode == 0, F.transform("rows", noisy)).when(mode == 1, F.transform("rows", extra))
         .when(mode == 2, F.transform("rows", wrong))
-        .when(mode == 3, F.transform(F.slice("rows", 2, 100_000), plain))
+        .when(mode == 3, F.transform(F.slice("rows", 2, SET_SIZE), plain))
         .when(mode == 4, F.transform("rows", rotated)).otherwise(F.transform("rows", padded))
     )
-    return whole.select("id", F.transform("rows", plain).alias("reference"), predicted.alias("result"))
+    return whole.select("id", "order_key", F.transform("rows", plain).alias("reference"), predicted.alias("result"))
 
 
 _GROUPED = """
-ordered AS (SELECT l_orderkey AS id, 'P' || l_partkey AS part, CAST(l_quantity AS INTEGER) AS units, l_shipdate::DATE AS day,
-                   row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n
-            FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, 'P' || l_partkey, CAST(l_quantity AS INTEGER), l_shipdate::DATE, l_extendedprice)),
+placed AS (SELECT l_orderkey AS order_key, 'P' || l_partkey AS part, CAST(l_quantity AS INTEGER) AS units, l_shipdate::DATE AS day,
+                  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'P' || l_partkey, CAST(l_quantity AS INTEGER), l_shipdate::DATE) - 1 AS at0
+           FROM lineitem),
+ordered AS (SELECT order_key || '-' || (at0 // 20) AS id, order_key, part, units, day, at0 % 20 + 1 AS i,
+                   count(*) OVER (PARTITION BY order_key, at0 // 20) AS n FROM placed),
 turned AS (SELECT a.*, b.units AS other FROM ordered a JOIN ordered b ON b.id = a.id AND b.i = a.i % a.n + 1),
-sorted_sets AS (SELECT id, list_sort(list((part, units, day))) = list_sort(list((part, other, day))) AS still_pairs FROM turned GROUP BY id)"""
+sorted_sets AS (SELECT id, order_key, list_sort(list((part, units, day))) = list_sort(list((part, other, day))) AS still_pairs FROM turned GROUP BY ALL)"""
 
 
 @register("e1_cell_normalisation", """
@@ -148,18 +163,19 @@ def e1(ws: Workspace):
 
 
 @register("e2_column_match", f"""WITH {_GROUPED}
-SELECT id, CASE id % 6 WHEN 2 THEN list_sort(list(units)) = list_sort(list(units * 2 + 1)) WHEN 3 THEN false ELSE true END AS units_match
-FROM ordered GROUP BY id""")
+SELECT id, CASE order_key % 6 WHEN 2 THEN list_sort(list(units)) = list_sort(list(units * 2 + 1)) WHEN 3 THEN false ELSE true END AS units_match
+FROM ordered GROUP BY id, order_key""")
 def e2(ws: Workspace):
     """Whether the quantity column of the answer holds the reference's quantities, in any order."""
-    place = F.when(F.col("id") % 6 == 0, 0).when(F.col("id") % 6 == 1, 2).otherwise(1)
+    mode = F.col("order_key") % 6
+    place = F.when(mode == 0, 0).when(mode == 1, 2).otherwise(1)
     wanted = F.transform("reference", lambda row: matching.cell(F.get(row, 1)))
     given = F.transform("result", lambda row: matching.cell(F.get(row, place)))
     return result_records(ws).select("id", matching.columns_match(wanted, given).alias("units_match"))
 
 
 @register("e3_result_match", f"""WITH {_GROUPED}
-SELECT id, CASE WHEN id % 6 IN (0, 1, 5) THEN true WHEN id % 6 = 4 THEN still_pairs ELSE false END AS matched FROM sorted_sets""")
+SELECT id, CASE WHEN order_key % 6 IN (0, 1, 5) THEN true WHEN order_key % 6 = 4 THEN still_pairs ELSE false END AS matched FROM sorted_sets""")
 def e3(ws: Workspace):
     return matching.with_match(result_records(ws), "reference", "result", F.lit(False)).select("id", "matched")
 
@@ -311,6 +327,12 @@ def e13(ws: Workspace):
     )
 
 
+@register("e13_number_counts", f"SELECT doc_id, len(found) AS numbers FROM ({_NUMBERS_SQL}) WHERE len(found) > 0")
+def e13_counts(ws: Workspace):
+    n = F.size(text.numbers(F.col("text"))).cast("bigint")
+    return spread(ws.source("documents").select("doc_id", "text")).select("doc_id", n.alias("numbers")).filter("numbers > 0")
+
+
 @register("e13_numbers_per_order", """
 SELECT o_orderkey AS id, round(o_totalprice, 2) AS total, 2 AS decimals, year(o_orderdate)::DOUBLE AS year FROM orders""")
 def e13_orders(ws: Workspace):
@@ -364,10 +386,12 @@ def e14(ws: Workspace):
 
 @register("e15_corrupted_claims", """
 WITH t AS (SELECT o_orderkey AS id, o_orderkey % 4 AS mode, format('{:,.2f}', round(o_totalprice, 2)) AS full_text,
-                  format('{:,.3f}', round(o_totalprice / 1e6, 3)) AS short_text FROM orders)
-SELECT id, CASE mode WHEN 0 THEN '£' || full_text WHEN 1 THEN '£' || short_text || ' million' END AS original,
-       CASE mode WHEN 0 THEN 'The order came to £' || (CAST(full_text[1] AS INTEGER) % 9 + 1) || full_text[2:] || '.'
-                 WHEN 1 THEN 'The order came to £' || (CAST(short_text[1] AS INTEGER) % 9 + 1) || short_text[2:] || ' million on 3 March 2000.' END AS corrupted
+                  format('{:,.3f}', round(o_totalprice / 1e6, 3)) AS short_text,
+                  CASE o_orderkey % 4 WHEN 0 THEN round(o_totalprice, 2) = floor(o_totalprice) AND o_totalprice BETWEEN 1900 AND 2100
+                       ELSE round(o_totalprice / 1e6, 3) = 0.002::DOUBLE END AS year FROM orders)
+SELECT id, CASE WHEN year THEN NULL WHEN mode = 0 THEN '£' || full_text ELSE '£' || short_text || ' million' END AS original,
+       CASE WHEN year THEN NULL WHEN mode = 0 THEN 'The order came to £' || (CAST(full_text[1] AS INTEGER) % 9 + 1) || full_text[2:] || '.'
+            ELSE 'The order came to £' || (CAST(short_text[1] AS INTEGER) % 9 + 1) || short_text[2:] || ' million on 3 March 2000.' END AS corrupted
 FROM t WHERE mode IN (0, 1)""")
 def e15(ws: Workspace):
     return claims.corrupt(prose_records(ws).filter("mode IN (0, 1)")).select("id", "original", "corrupted")
