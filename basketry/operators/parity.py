@@ -16,12 +16,23 @@ def _check(df: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def _side_by_side(left: DataFrame, right: DataFrame, value: str, kind: str) -> DataFrame:
+    """(name, value) of both versions in one row per name."""
+    both = left.select("name", F.col(value).alias("value"), F.lit(True).alias("is_left")).unionByName(
+        right.select("name", F.col(value).alias("value"), F.lit(False).alias("is_left"))
+    )
+    return _check(both.groupBy("name").agg(
+        F.max(F.when(F.col("is_left"), F.col("value"))).alias("left_value"),
+        F.max(F.when(~F.col("is_left"), F.col("value"))).alias("right_value"),
+    ), kind)
+
+
 def row_counts(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
     sides = [
-        table_counts(side).select(F.col("table_name").alias("name"), F.col("row_count").cast("string").alias(n))
-        for side, n in ((left, "left_value"), (right, "right_value"))
+        table_counts(side).select(F.col("table_name").alias("name"), F.col("row_count").cast("string").alias("n"))
+        for side in (left, right)
     ]
-    return _check(sides[0].join(sides[1], "name", "full_outer"), "row_count")
+    return _side_by_side(*sides, "n", "row_count")
 
 
 def column_digests(df: DataFrame, table: str) -> DataFrame:
@@ -35,17 +46,16 @@ def column_digests(df: DataFrame, table: str) -> DataFrame:
     return sums.select(F.inline(rows))
 
 
-def _all_digests(tables: dict[str, DataFrame], name: str) -> DataFrame:
+def _all_digests(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for table in TABLES:
-        one = column_digests(tables[table], table).withColumnRenamed("digest", name)
+        one = column_digests(tables[table], table)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def column_checksums(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
-    both = _all_digests(left, "left_value").join(_all_digests(right, "right_value"), "name", "full_outer")
-    return _check(both, "column_checksum")
+    return _side_by_side(_all_digests(left), _all_digests(right), "digest", "column_checksum")
 
 
 def revenue_totals(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:

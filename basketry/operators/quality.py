@@ -122,74 +122,84 @@ def warehouse_contract_check(tables: dict[str, DataFrame]) -> DataFrame:
     return contract_check(warehouse_problems(tables), "schema_drift_warehouse", columns)
 
 
-def row_count_checks(tables: dict[str, DataFrame], expected: DataFrame) -> DataFrame:
-    """Loaded rows against ``expected`` (table_name, expected_rows)."""
-    both = table_counts(tables).join(F.broadcast(expected), "table_name")  # one row per table
-    return check(
-        both, F.concat(F.lit("row_count_"), "table_name"), F.col("row_count") == F.col("expected_rows"),
-        F.concat(F.lit("loaded "), number("row_count"), F.lit(" vs "), number("expected_rows")),
-    )
-
+def fact_checks(name: str, loaded: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """Row count, revenue, null keys, sign and freshness of one fact: one scan of it and one of its source.
 
-def transformed_counts(sales: DataFrame, cancellations: DataFrame) -> DataFrame:
-    """Row counts the star must have, computed from the cleaned lines and not from the loaded tables."""
-    both = sales.select("customer_id", "stock_code", "invoice_date").unionByName(
-        cancellations.select("customer_id", "stock_code", "invoice_date")
+    Revenue is the exact decimal sum of what was loaded against a floating-point sum of what was cleaned.
+    """
+    missing = F.lit(False)
+    for column in KEY_COLUMNS:
+        missing = missing | F.col(column).isNull()
+    if name == "fact_sales":
+        flawed = (F.col("quantity") <= 0) | (F.col("price") <= 0)
+        rule, what = "positive_quantity_price_sales", "lines with a quantity or price of 0 or less"
+    else:
+        flawed = (F.col("quantity") >= 0) | ~F.col("invoice").startswith("C")
+        rule, what = "negative_quantity_cancellations", "lines that are not cancellations"
+    here = loaded.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum("revenue"), F.lit(0)).cast("decimal(24,3)").alias("revenue"),
+        F.count_if(missing).alias("null_keys"),
+        F.count_if(flawed).alias("flawed"),
+        F.max("invoice_date").alias("newest"),
+    )
+    there = cleaned.agg(
+        F.count(F.lit(1)).alias("source_rows"),
+        F.coalesce(F.sum(F.col("quantity").cast("double") * F.col("price").cast("double")), F.lit(0.0)).alias("source_revenue"),
+        F.max("invoice_date").alias("source_newest"),
     )
 
-    def one(name: str, df: DataFrame, expr: Column) -> DataFrame:
-        return df.agg(expr.cast("bigint").alias("expected_rows")).select(F.lit(name).alias("table_name"), "expected_rows")
+    def result(check_name: str, passed: Column, detail: Column) -> Column:
+        return F.struct(
+            F.lit(check_name).alias("check_name"), F.when(passed, "PASS").otherwise("FAIL").alias("status"),
+            detail.alias("detail"),
+        )
 
-    days = F.datediff(F.max("invoice_date"), F.min("invoice_date")) + 1
-    return _stack([
-        one("dim_date", both, days),
-        one("dim_customer", both.select("customer_id").distinct(), F.count(F.lit(1))),
-        one("dim_product", both.select("stock_code").distinct(), F.count(F.lit(1))),
-        one("fact_sales", sales, F.count(F.lit(1))),
-        one("fact_cancellations", cancellations, F.count(F.lit(1))),
-    ])
+    off = F.abs(F.col("revenue").cast("double") - F.col("source_revenue"))
+    results = [
+        result(
+            f"row_count_{name}", F.col("rows") == F.col("source_rows"),
+            F.concat(F.lit("loaded "), number("rows"), F.lit(" vs "), number("source_rows")),
+        ),
+        result(
+            f"revenue_reconciliation_{name}", off < 0.005,
+            F.concat(F.lit("loaded "), number("revenue"), F.lit(" vs cleaned "),
+                     number(F.round(F.col("source_revenue"), 3).cast("decimal(24,3)"))),
+        ),
+        result(f"not_null_keys_{name}", F.col("null_keys") == 0, F.concat(number("null_keys"), F.lit(" rows with a null key"))),
+        result(rule, F.col("flawed") == 0, F.concat(number("flawed"), F.lit(f" {what}"))),
+    ]
+    if name == "fact_sales":
+        shown = F.date_format("newest", "yyyy-MM-dd HH:mm:ss")
+        results.append(result(
+            "freshness", F.coalesce(F.col("newest") == F.col("source_newest"), F.lit(False)),
+            F.concat(F.lit("newest loaded line "), F.coalesce(shown, F.lit("none"))),
+        ))
+    return beside(here, there).select(F.inline(F.array(*results)))
 
 
-def revenue_checks(tables: dict[str, DataFrame], sources: dict[str, DataFrame]) -> DataFrame:
-    """The exact decimal sum of what was loaded against a floating-point sum of what was cleaned."""
-    out = []
-    for name in FACTS:
-        loaded = tables[name].agg(F.coalesce(F.sum("revenue"), F.lit(0)).cast("decimal(24,3)").alias("loaded"))
-        cleaned = sources[name].agg(
-            F.coalesce(F.sum(F.col("quantity").cast("double") * F.col("price").cast("double")), F.lit(0.0)).alias("cleaned")
-        )
-        off = F.abs(F.col("loaded").cast("double") - F.col("cleaned"))
-        out.append(check(
-            beside(loaded, cleaned), f"revenue_reconciliation_{name}", off < 0.005,
-            F.concat(F.lit("loaded "), number("loaded"), F.lit(" vs cleaned "),
-                     number(F.round(F.col("cleaned"), 3).cast("decimal(24,3)"))),
-        ))
-    return _stack(out)
+def all_fact_checks(tables: dict[str, DataFrame], sources: dict[str, DataFrame]) -> DataFrame:
+    return _stack([fact_checks(t, tables[t], sources[t]) for t in FACTS])
 
 
-def _flaw(df: DataFrame, name: str, flawed: Column, what: str) -> DataFrame:
+def dimension_count_checks(tables: dict[str, DataFrame], sales: DataFrame, cancellations: DataFrame) -> DataFrame:
+    """Dimension sizes against those the cleaned lines call for, computed without the loaded tables."""
+    keys = ["customer_id", "stock_code", "invoice_date"]
+    both = sales.select(*keys).unionByName(cancellations.select(*keys))
+    due = both.agg(
+        (F.datediff(F.max("invoice_date"), F.min("invoice_date")) + 1).cast("bigint").alias("dim_date"),
+        F.count_distinct("customer_id").alias("dim_customer"),
+        F.count_distinct("stock_code").alias("dim_product"),
+    )
+    dimensions = {t: df for t, df in tables.items() if t.startswith("dim_")}
+    due_rows = F.array(*[F.struct(F.lit(t).alias("table_name"), F.col(t).alias("expected_rows")) for t in dimensions])
+    counted = table_counts(dimensions).join(F.broadcast(due.select(F.inline(due_rows))), "table_name")  # one row per table
     return check(
-        df.agg(F.count_if(flawed).alias("n")), name, F.col("n") == 0, F.concat(number("n"), F.lit(f" {what}"))
+        counted, F.concat(F.lit("row_count_"), "table_name"), F.col("row_count") == F.col("expected_rows"),
+        F.concat(F.lit("loaded "), number("row_count"), F.lit(" vs "), number("expected_rows")),
     )
 
 
-def not_null_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    missing = F.lit(False)
-    for column in KEY_COLUMNS:
-        missing = missing | F.col(column).isNull()
-    return _stack([_flaw(tables[t], f"not_null_keys_{t}", missing, "rows with a null key") for t in FACTS])
-
-
-def positive_sales_check(sales: DataFrame) -> DataFrame:
-    flawed = (F.col("quantity") <= 0) | (F.col("price") <= 0)
-    return _flaw(sales, "positive_quantity_price_sales", flawed, "lines with a quantity or price of 0 or less")
-
-
-def negative_cancellations_check(cancellations: DataFrame) -> DataFrame:
-    flawed = (F.col("quantity") >= 0) | ~F.col("invoice").startswith("C")
-    return _flaw(cancellations, "negative_quantity_cancellations", flawed, "lines that are not cancellations")
-
-
 def repeated_keys(tables: dict[str, DataFrame]) -> DataFrame:
     return _stack([
         tables[t].groupBy(key).agg(F.count(F.lit(1)).alias("rows")).agg(
@@ -283,15 +293,6 @@ def volume_check(sales: DataFrame) -> DataFrame:
     )
 
 
-def freshness_check(loaded: DataFrame, source: DataFrame) -> DataFrame:
-    both = beside(
-        loaded.agg(F.max("invoice_date").alias("loaded")), source.agg(F.max("invoice_date").alias("source"))
-    )
-    shown = F.date_format("loaded", "yyyy-MM-dd HH:mm:ss")
-    passed = F.coalesce(F.col("loaded") == F.col("source"), F.lit(False))
-    return check(both, "freshness", passed, F.concat(F.lit("newest loaded line "), F.coalesce(shown, F.lit("none"))))
-
-
 def run_checks(
     raw: DataFrame, sales: DataFrame, cancellations: DataFrame, tables: dict[str, DataFrame]
 ) -> DataFrame:
@@ -300,15 +301,11 @@ def run_checks(
     return _stack([
         raw_contract_check(raw),
         warehouse_contract_check(tables),
-        row_count_checks(tables, transformed_counts(sales, cancellations)),
-        revenue_checks(tables, sources),
-        not_null_checks(tables),
-        positive_sales_check(tables["fact_sales"]),
-        negative_cancellations_check(tables["fact_cancellations"]),
+        dimension_count_checks(tables, sales, cancellations),
+        all_fact_checks(tables, sources),
         unique_keys_check(tables),
         referential_integrity_check(tables),
         volume_check(tables["fact_sales"]),
-        freshness_check(tables["fact_sales"], sales),
     ])
 
 

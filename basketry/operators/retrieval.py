@@ -22,7 +22,8 @@ DEPRECATED_PENALTY = 0.10
 CHOICE_SLACK = 0.02
 
 _QUERIES_PER_BLOCK = 2_000
-_ROWS_PER_STEP = 2_000
+_SCORES_PER_STEP = 2_000_000
+_HIT_COLUMNS = ["policy", "query_id", "grouping", "chunk_id", "doc_id", "similarity", "score"]
 
 
 def chunk_documents(documents: DataFrame, configs: dict[str, int | None] = CONFIGS, overlap: int = 16) -> DataFrame:
@@ -147,10 +148,16 @@ def search(
 
         def best_of(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, wanted = shared.value
+            step = max(256, _SCORES_PER_STEP // len(ids))
+            best: dict[tuple[str, str], pd.DataFrame] = {}
             for batch in batches:
-                for start in range(0, len(batch), _ROWS_PER_STEP):
-                    for name, part in batch.iloc[start:start + _ROWS_PER_STEP].groupby("grouping", sort=False):
-                        yield _step(part, name, ids, wanted, k, policies, to_matrix)
+                for start in range(0, len(batch), step):
+                    for name, part in batch.iloc[start:start + step].groupby("grouping", sort=False):
+                        for policy, rows in _step(part, wanted, k, policies, to_matrix).items():
+                            seen = best.get((policy, name))
+                            best[policy, name] = rows if seen is None else _keep_best(pd.concat([seen, rows]), k)
+            for (policy, name), rows in best.items():
+                yield rows.assign(policy=policy, grouping=name, query_id=ids[rows["query"].to_numpy()])[_HIT_COLUMNS]
 
         found.append(corpus.mapInPandas(best_of, schema))
     candidates = reduce(DataFrame.unionByName, found)
@@ -159,25 +166,32 @@ def search(
     return ranked.withColumnRenamed("grouping", group or "grouping") if group else ranked.drop("grouping")
 
 
-def _step(part: pd.DataFrame, name: str, ids: np.ndarray, wanted: np.ndarray, k: int, policies: list[str], to_matrix) -> pd.DataFrame:
+def _keep_best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k rows per query, equal scores in id order."""
+    ordered = rows.sort_values(["query", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+    return ordered[ordered.groupby("query").cumcount() < k]
+
+
+def _step(part: pd.DataFrame, wanted: np.ndarray, k: int, policies: list[str], to_matrix) -> dict[str, pd.DataFrame]:
     """The best k rows of one slice of the corpus for every query, under each policy."""
-    part = part.sort_values("chunk_id", kind="stable")
     similarity = _cosine(to_matrix(part["vector"]), wanted)
     old = part["deprecated"].to_numpy(dtype=bool)
-    out = []
+    chunk, doc = part["chunk_id"].to_numpy(), part["doc_id"].to_numpy()
+    out = {}
     for policy in policies:
         score = similarity - DEPRECATED_PENALTY * old[:, None] if policy == "penalize" else similarity
         rows = np.flatnonzero(~old) if policy == "exclude" else np.arange(len(part))
-        order = np.argsort(-score[rows], axis=0, kind="stable")[:k]  # stable: equal scores stay in id order
-        picked = rows[order]
-        column = np.broadcast_to(np.arange(len(ids)), picked.shape).ravel()
-        at = picked.ravel()
-        out.append(pd.DataFrame({
-            "policy": policy, "query_id": ids[column], "grouping": name,
-            "chunk_id": part["chunk_id"].to_numpy()[at], "doc_id": part["doc_id"].to_numpy()[at],
-            "similarity": similarity[at, column], "score": score[at, column],
-        }))
-    return pd.concat(out, ignore_index=True)
+        if not len(rows):
+            continue
+        score = score[rows]
+        least = np.partition(score, len(rows) - min(k, len(rows)), axis=0)[len(rows) - min(k, len(rows))]
+        at, query = np.nonzero(score >= least)  # everything that ties with the k-th best is still in
+        picked = rows[at]
+        out[policy] = _keep_best(pd.DataFrame({
+            "query": query, "chunk_id": chunk[picked], "doc_id": doc[picked],
+            "similarity": similarity[picked, query], "score": score[at, query],
+        }), k)
+    return out
 
 
 # ---- document ranking and metrics -------------------------------------------------------------------

@@ -102,7 +102,7 @@ def result_sets(ws: Workspace):
 
 
 def result_records(ws: Workspace):
-    whole = result_sets(ws)
+    whole = spread(result_sets(ws))
     n, mode = F.size("rows"), F.col("order_key") % 6
     text_of = lambda c: c.cast("string")
 
@@ -341,7 +341,7 @@ def e13_orders(ws: Workspace):
         F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" order value was £"),
         F.format_number("o_totalprice", 2), F.lit(", in the year "), F.year("o_orderdate"), F.lit("."),
     )
-    parsed = ws.source("orders").select(F.col("o_orderkey").alias("id"), text.numbers(said).alias("n"))
+    parsed = spread(ws.source("orders")).select(F.col("o_orderkey").alias("id"), text.numbers(said).alias("n"))
     return parsed.select("id", F.col("n")[0]["value"].alias("total"), F.col("n")[0]["decimals"].alias("decimals"), F.col("n")[1]["value"].alias("year"))
 
 
@@ -355,7 +355,7 @@ def prose_records(ws: Workspace):
         .when(mode == 2, F.concat(F.lit("The order came to £"), F.format_number(total + 5000, 2), F.lit(" from customer "), F.col("o_custkey"), F.lit(".")))
         .otherwise(F.lit("The order was large."))
     )
-    return ws.source("orders").select(
+    return spread(ws.source("orders")).select(
         key.alias("id"), said.alias("answer"), F.lit("How much was the order?").alias("question"),
         F.lit("SELECT o_totalprice FROM orders WHERE o_orderdate >= '2000-01-01'").alias("sql"),
         F.array(F.array(total.cast("decimal(14,2)").cast("string"))).alias("result"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.operators import cleaning, marts, star, tiering
 from basketry.sources import retail
 from basketry.session import shared_folder
-from basketry.sources.versions import publish, read_live
+from basketry.sources.versions import publish, read_live, write_tables
 
 # Scoring dates on the supplied data: features before a date, outcome in the half year after it.
 TRAIN_CUTOFF, CUTOFF, OUTCOME_END = "1999-12-01", "2000-06-01", "2000-12-01"
@@ -53,11 +53,18 @@ class Workspace:
     def raw(self) -> DataFrame:
         return self.written("raw_lines", lambda: retail.raw_lines(self.spark, self.sf_dir))
 
+    def _cleaned(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            sales, cancellations = cleaning.clean(self.raw())
+            both = {"sales": sales, "cancellations": cancellations}
+            self._tables.update(write_tables(both, f"{self.root}/tables"))
+        return self._tables[name]
+
     def sales(self) -> DataFrame:
-        return self.written("sales", lambda: cleaning.clean(self.raw())[0])
+        return self._cleaned("sales")
 
     def cancellations(self) -> DataFrame:
-        return self.written("cancellations", lambda: cleaning.clean(self.raw())[1])
+        return self._cleaned("cancellations")
 
     def star_folder(self) -> str:
         return f"{self.root}/star"

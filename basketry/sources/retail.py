@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketry.session import spread
+
 RAW_COLUMNS = ["invoice", "stock_code", "description", "quantity", "invoice_date", "price", "customer_id", "country"]
 
 RAW_SCHEMA = T.StructType(
@@ -42,9 +44,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"
-    )
+    ))
     joined = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))

@@ -7,6 +7,7 @@ Readers take the newest manifest row, so a load that dies half-way is never seen
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,17 @@ MANIFEST_SCHEMA = T.StructType(
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Write each table once and hand back frames that read what was written."""
-    out = {}
-    for name, df in tables.items():
+    """Write each table once and hand back frames that read what was written.
+
+    The tables do not depend on each other, so their jobs are submitted together and share the executors.
+    """
+    def write(item: tuple[str, DataFrame]) -> None:
+        name, df = item
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-    return out
+
+    with ThreadPoolExecutor(max_workers=len(tables)) as jobs:
+        list(jobs.map(write, tables.items()))
+    return {name: df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in tables.items()}
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:

@@ -28,7 +28,7 @@ def brute(queries, corpus, old, k, policy):
 @pytest.mark.parametrize("block", [2_000, 3])
 def test_search_equals_brute_force(spark, vectors, monkeypatch, block):
     monkeypatch.setattr(retrieval, "_QUERIES_PER_BLOCK", block)
-    monkeypatch.setattr(retrieval, "_ROWS_PER_STEP", 37)
+    monkeypatch.setattr(retrieval, "_SCORES_PER_STEP", 1)
     queries, corpus, old = vectors
     q = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(queries)], "query_id string, v array<double>")
     c = spark.createDataFrame(
