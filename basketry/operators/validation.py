@@ -236,7 +236,7 @@ def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(rows))
 
 
-def fit_trees(labelled: DataFrame, trees: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
+def fit_trees(labelled: DataFrame, trees: int = 200, depth: int = 4, seed: int = 42) -> PipelineModel:
     """Boosted trees on the raw features; a missing regularity is imputed and flagged in its own column."""
     raw = [f for f in FEATURES if f != "regularity"]
     stages = [

@@ -172,7 +172,19 @@ def f12(ws: Workspace):
     return tiering.explain(ws.scored())
 
 
-@register("f12_explanation_text")
+def _explanation_sql() -> str:
+    shown = "coalesce(regexp_replace(regexp_replace(format('{:,.2f}', value), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), 'n/a (fewer than 3 orders)')"
+    return f"""WITH e AS ({_explain_sql()}), l AS (
+  SELECT *, CASE WHEN weight > 0 THEN printf('  %-32s %14s  percentile %5.1f  x weight %.2f  = %5.1f pts', label, {shown}, percentile, weight, points)
+                 ELSE printf('  %-32s %14s  percentile %5.1f  (not weighted)', label, {shown}, percentile) END AS line,
+         list_position([{', '.join(f"'{f}'" for f in FEATURES)}], feature) AS place FROM e)
+SELECT customer_id, printf('Customer %d: %s, score %.1f/100 (rank %s of %s)', customer_id, any_value(tier), any_value(score_100),
+                           format('{{:,}}', any_value(rank)), format('{{:,}}', any_value(customers)))
+       || chr(10) || string_agg(line, chr(10) ORDER BY points DESC, place) AS text
+FROM l GROUP BY customer_id"""
+
+
+@register("f12_explanation_text", using("scored", _explanation_sql()))
 def f12_text(ws: Workspace):
     return tiering.explanation_lines(tiering.explain(ws.scored()))
 
@@ -291,13 +303,20 @@ def _training(ws: Workspace):
     return ws.written("training_set", build)
 
 
+TREES = 100
+
+
 def _logistic(ws: Workspace):
-    train = _training(ws)
-    return validation.fit_logistic(train, train.count())
+    def fit():
+        train = _training(ws)
+        return validation.fit_logistic(train, train.count())
+
+    return ws.fitted("logistic", fit)
 
 
-def _trees(ws: Workspace, trees: int, depth: int):
-    return validation.fit_trees(validation.with_missing_flag(_training(ws)), trees, depth)
+def _trees(ws: Workspace, depth: int):
+    """Boosted trees of one depth, fitted once and used by every query about them."""
+    return ws.fitted(f"trees-{depth}", lambda: validation.fit_trees(validation.with_missing_flag(_training(ws)), TREES, depth))
 
 
 @register("v7_logistic_scores")
@@ -308,13 +327,13 @@ def v7(ws: Workspace):
 @register("v8_boosted_tree_scores")
 def v8(ws: Workspace):
     data = validation.with_missing_flag(ws.scored_outcome().drop("score"))
-    shallow = validation.predict(_trees(ws, 20, 3), data, "Boosted trees, depth 3 (learned)")
-    return shallow.unionByName(validation.predict(_trees(ws, 20, 4), data, "Boosted trees, depth 4 (learned)"))
+    shallow = validation.predict(_trees(ws, 3), data, "Boosted trees, depth 3 (learned)")
+    return shallow.unionByName(validation.predict(_trees(ws, 4), data, "Boosted trees, depth 4 (learned)"))
 
 
 @register("v9_gain_importance")
 def v9(ws: Workspace):
-    return validation.importances(_trees(ws, 20, 3), _training(ws))
+    return validation.importances(_trees(ws, 3), _training(ws))
 
 
 @register("v10_baselines", using("scored_outcome", f"""WITH {_METHODS}
@@ -401,7 +420,7 @@ def v15_learned(ws: Workspace):
     data = ws.scored_outcome()
     bare = data.drop("score")
     logistic = validation.predict(_logistic(ws), bare, "Logistic regression (learned)")
-    trees = validation.predict(_trees(ws, 20, 3), validation.with_missing_flag(bare), "Boosted trees, depth 3 (learned)")
+    trees = validation.predict(_trees(ws, 3), validation.with_missing_flag(bare), "Boosted trees, depth 3 (learned)")
     both = _methods(ws).select("method", "customer_id", "score", "outcome").unionByName(logistic).unionByName(trees)
     learned = ["Logistic regression (learned)", "Boosted trees, depth 3 (learned)"]
     return validation.complex_model_verdict(validation.compare_methods(both), learned, HAND, MONEY)

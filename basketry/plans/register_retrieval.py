@@ -196,7 +196,26 @@ def g7(ws: Workspace):
     return _doc_hits(ws).select("policy", "query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
-@register("g7_policy_ranking_all_configs")
+_ALL_SIMILAR = f"""
+pieces AS ({_ALL_CHUNKS}), cu AS (SELECT config, doc_id, doc_id || '#' || chunk_index AS chunk_id, chunk AS text FROM pieces),
+keyed AS (SELECT config || '|' || chunk_id AS ck, text FROM cu),
+db AS ({_bags('ck', 'keyed')}), qb AS ({_bags('item_id', 'benchmark')}),
+dn AS (SELECT ck, sum(n * n)::DOUBLE AS s FROM db GROUP BY 1), qn AS (SELECT item_id, sum(n * n)::DOUBLE AS s FROM qb GROUP BY 1),
+dots AS (SELECT item_id, ck, sum(qb.n * db.n)::DOUBLE AS dot FROM qb JOIN db USING (b) GROUP BY 1, 2),
+sims AS (SELECT config, chunk_id, CAST(item_id AS VARCHAR) AS query_id, CAST(cu.doc_id AS VARCHAR) AS doc_id, coalesce(toxic, 0) = 1 AS deprecated,
+                round(coalesce(dot, 0) / sqrt(qn.s * dn.s), 12) AS similarity
+         FROM qn CROSS JOIN dn LEFT JOIN dots USING (item_id, ck) JOIN cu ON cu.config || '|' || cu.chunk_id = dn.ck
+         LEFT JOIN labels ON labels.doc_id = cu.doc_id),
+policies(policy) AS (VALUES ('include'), ('penalize'), ('exclude')),
+hits AS (SELECT * FROM (
+  SELECT config, policy, query_id, doc_id, chunk_id, similarity, score,
+         row_number() OVER (PARTITION BY config, policy, query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM (SELECT config, policy, query_id, doc_id, chunk_id, similarity,
+               similarity - CASE WHEN policy = 'penalize' AND deprecated THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS score
+        FROM sims, policies WHERE NOT (policy = 'exclude' AND deprecated))) WHERE rank <= 8)"""
+
+
+@register("g7_policy_ranking_all_configs", f"WITH {_ALL_SIMILAR} SELECT config, policy, query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hits")
 def g7_all(ws: Workspace):
     return _hits(ws).select("config", "policy", "query_id", "chunk_id", "score", "rank")
 
@@ -206,7 +225,9 @@ def g8(ws: Workspace):
     return r.document_ranks(_doc_hits(ws), ["policy", "query_id"])
 
 
-@register("g8_document_ranking_all_configs")
+@register("g8_document_ranking_all_configs", f"""WITH {_ALL_SIMILAR}
+SELECT config, policy, query_id, doc_id, CAST(row_number() OVER (PARTITION BY config, policy, query_id ORDER BY first) AS INTEGER) AS doc_rank
+FROM (SELECT config, policy, query_id, doc_id, min(rank) AS first FROM hits GROUP BY ALL)""")
 def g8_all(ws: Workspace):
     return r.document_ranks(_hits(ws), ["config", "policy", "query_id"])
 
@@ -230,19 +251,26 @@ freq AS (SELECT word, count(*) AS docs FROM held GROUP BY 1),
 rarest AS (SELECT query_id, word FROM (SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY docs, word) AS p FROM asked JOIN freq USING (word)) WHERE p = 1),
 relevance AS (SELECT query_id, held.doc_id, CASE WHEN toxic = 1 THEN 'trap' ELSE 'relevant' END AS kind
               FROM rarest JOIN held USING (word) LEFT JOIN labels ON CAST(labels.doc_id AS VARCHAR) = held.doc_id)"""
-_SCORES = f"""{_SIMILAR}, {_RELEVANT},
+_SCORES_TAIL = f""", {_RELEVANT},
 cuts(k) AS (VALUES (3), (5), (8)),
 wanted AS (SELECT query_id, count(*) AS n FROM relevance WHERE kind = 'relevant' GROUP BY 1),
-per AS (SELECT policy, k, query_id, n, count(*) FILTER (WHERE kind = 'relevant') AS found,
-               min(rank) FILTER (WHERE kind = 'relevant') AS first, min(rank) FILTER (WHERE kind = 'trap') AS trap
-        FROM policies CROSS JOIN cuts CROSS JOIN wanted JOIN hits USING (policy, query_id) LEFT JOIN relevance USING (query_id, doc_id)
-        WHERE rank <= k GROUP BY ALL),
-scores AS (SELECT policy, k, query_id, found / n::DOUBLE AS recall, (first IS NOT NULL)::INTEGER::DOUBLE AS hit, coalesce(1.0::DOUBLE / first, 0) AS rr,
+docs_at AS (SELECT config, policy, k, query_id, doc_id, row_number() OVER (PARTITION BY config, policy, k, query_id ORDER BY first) AS place
+            FROM (SELECT config, policy, k, query_id, doc_id, min(rank) AS first FROM hits, cuts WHERE rank <= k GROUP BY ALL)),
+per AS (SELECT config, policy, k, query_id, n, count(*) FILTER (WHERE kind = 'relevant') AS found,
+               min(place) FILTER (WHERE kind = 'relevant') AS first, min(place) FILTER (WHERE kind = 'trap') AS trap
+        FROM docs_at JOIN wanted USING (query_id) LEFT JOIN relevance USING (query_id, doc_id) GROUP BY ALL),
+scores AS (SELECT config, policy, k, query_id, found / n::DOUBLE AS recall, (first IS NOT NULL)::INTEGER::DOUBLE AS hit, coalesce(1.0::DOUBLE / first, 0) AS rr,
                   (trap IS NOT NULL)::INTEGER::DOUBLE AS trap_in_context,
                   (trap IS NOT NULL AND (first IS NULL OR trap < first))::INTEGER::DOUBLE AS trap_above_relevant FROM per),
-metrics AS (SELECT 'doc' AS config, policy, k, subset, count(*) AS questions, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit, round(avg(rr), 4) AS mrr,
+metrics AS (SELECT config, policy, k, subset, count(*) AS questions, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit, round(avg(rr), 4) AS mrr,
                    round(avg(trap_in_context), 4) AS trap_in_context, round(avg(trap_above_relevant), 4) AS trap_above_relevant
-            FROM (SELECT *, unnest(['all', CASE WHEN CAST(query_id AS INTEGER) % 4 = 0 THEN 'unanswerable' ELSE 'answerable' END]) AS subset FROM scores) GROUP BY ALL)"""
+            FROM (SELECT *, unnest(['all', CASE WHEN CAST(query_id AS INTEGER) % 4 = 0 THEN 'unanswerable' ELSE 'answerable' END]) AS subset FROM scores) GROUP BY ALL),
+candidates AS (SELECT * FROM metrics WHERE subset = 'all' AND policy = 'penalize'),
+best AS (SELECT config, recall FROM candidates WHERE k = 8 ORDER BY recall DESC, mrr DESC, config DESC LIMIT 1)"""
+_SCORES = _SIMILAR.replace("SELECT policy, query_id, doc_id, doc_id || '#0' AS chunk_id", "SELECT 'doc' AS config, policy, query_id, doc_id, doc_id || '#0' AS chunk_id") + _SCORES_TAIL
+_ALL_SCORES = _ALL_SIMILAR + _SCORES_TAIL
+_CHOICE = """SELECT c.config, c.k, c.policy, c.recall, c.mrr FROM candidates c JOIN best USING (config)
+WHERE c.recall >= best.recall - 0.02::DOUBLE ORDER BY c.k LIMIT 1"""
 
 
 def _subsets():
@@ -261,18 +289,17 @@ def g10(ws: Workspace):
     return _metrics(ws, _doc_hits(ws))
 
 
-@register("g10_retrieval_metrics_all_configs")
+@register("g10_retrieval_metrics_all_configs", f"WITH {_ALL_SCORES} SELECT * FROM metrics")
 def g10_all(ws: Workspace):
     return _metrics(ws, _hits(ws))
 
 
-@register("g11_chosen_setting", f"""WITH {_SCORES}, c AS (SELECT * FROM metrics WHERE subset = 'all' AND policy = 'penalize')
-SELECT config, k, policy, recall, mrr FROM c WHERE recall >= (SELECT recall FROM c WHERE k = 8) - 0.02::DOUBLE ORDER BY k LIMIT 1""")
+@register("g11_chosen_setting", f"WITH {_SCORES} {_CHOICE}")
 def g11(ws: Workspace):
     return r.choose_setting(_metrics(ws, _doc_hits(ws)))
 
 
-@register("g11_chosen_setting_all_configs")
+@register("g11_chosen_setting_all_configs", f"WITH {_ALL_SCORES} {_CHOICE}")
 def g11_all(ws: Workspace):
     return r.choose_setting(_metrics(ws, _hits(ws)))
 

@@ -27,6 +27,7 @@ class Workspace:
         self.sf_dir = str(sf_dir).rstrip("/")
         self.root = f"{shared_folder(spark)}/basketry-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
         self._tables: dict[str, DataFrame] = {}
+        self._models: dict[str, object] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Workspace:
@@ -50,6 +51,12 @@ class Workspace:
             self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
 
+    def fitted(self, name: str, fit: Callable):
+        """A model fitted once for this application."""
+        if name not in self._models:
+            self._models[name] = fit()
+        return self._models[name]
+
     def raw(self) -> DataFrame:
         return self.written("raw_lines", lambda: retail.raw_lines(self.spark, self.sf_dir))
 
