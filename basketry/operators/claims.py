@@ -120,5 +120,5 @@ def detection(corrupted: DataFrame) -> DataFrame:
     every = distinct.agg(F.count(F.lit(1)).alias("n")).scalar()
     return summary.select(
         every.alias("distinct_answers"), "corrupted", (every - F.col("corrupted")).alias("skipped"), "detected",
-        F.round(F.try_divide(100.0 * F.col("detected"), F.col("corrupted")), 1).alias("detection_pct"),
+        F.bround(F.try_divide(100.0 * F.col("detected"), F.col("corrupted")), 1).alias("detection_pct"),
     )

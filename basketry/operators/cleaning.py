@@ -110,7 +110,7 @@ def cleaning_log(raw: DataFrame) -> DataFrame:
         (F.col("rows_before") - F.col("removed")).alias("rows_after"),
         "removed",
         F.coalesce(
-            F.round(F.try_divide(F.lit(100.0) * F.col("removed"), F.col("rows_before")), 2), F.lit(0.0)
+            F.bround(F.try_divide(F.lit(100.0) * F.col("removed"), F.col("rows_before")), 2), F.lit(0.0)
         ).alias("pct_removed"),
         F.element_at(F.array(
             F.lit("no customer to attribute revenue to"),
@@ -138,12 +138,12 @@ def cancellation_rates(raw: DataFrame) -> DataFrame:
     return totals.select(
         "cancelled_invoices",
         "total_invoices",
-        F.round(F.try_divide(100.0 * F.col("cancelled_invoices"), F.col("total_invoices")), 2).alias(
+        F.bround(F.try_divide(100.0 * F.col("cancelled_invoices"), F.col("total_invoices")), 2).alias(
             "cancel_rate_by_invoices_pct"
         ),
-        F.round("cancelled_revenue", 2).alias("cancelled_revenue"),
-        F.round("gross_revenue", 2).alias("gross_revenue"),
-        F.round(F.try_divide(100.0 * F.col("cancelled_revenue"), F.col("gross_revenue")), 2).alias(
+        F.bround("cancelled_revenue", 2).alias("cancelled_revenue"),
+        F.bround("gross_revenue", 2).alias("gross_revenue"),
+        F.bround(F.try_divide(100.0 * F.col("cancelled_revenue"), F.col("gross_revenue")), 2).alias(
             "cancel_rate_by_revenue_pct"
         ),
     )
@@ -191,7 +191,7 @@ def cleaning_summary(raw: DataFrame, sales: DataFrame) -> DataFrame:
     )
     removed = 100.0 * (F.col("raw_rows") - F.col("clean_rows")) / F.col("raw_rows")
     return beside(source, cleaned).select(
-        "raw_rows", "clean_rows", F.round(removed, 2).alias("pct_removed"),
+        "raw_rows", "clean_rows", F.bround(removed, 2).alias("pct_removed"),
         "customers", "invoices", "products", "countries", "revenue",
         ((removed >= 15) & (removed <= 35)).alias("removed_in_range"),
         (F.col("null_keys") == 0).alias("no_null_keys"),

@@ -100,7 +100,7 @@ def tier_agreement(transitions: DataFrame) -> DataFrame:
         total(right == "missing").alias("missing_in_right"),
         total(left == "missing").alias("extra_in_right"),
         total((left != "missing") & (right != "missing") & (left != right)).alias("tier_changed"),
-        F.round(100.0 * total(left == right) / F.sum(n), 3).alias("agreement_pct"),
+        F.bround(100.0 * total(left == right) / F.sum(n), 3).alias("agreement_pct"),
     ).withColumn(
         "match", (F.col("missing_in_right") == 0) & (F.col("extra_in_right") == 0) & (F.col("tier_changed") == 0)
     )
@@ -122,6 +122,6 @@ def parity(checks: DataFrame) -> DataFrame:
     return checks.agg(
         F.count(F.lit(1)).alias("checks_total"),
         F.count_if("match").alias("checks_passed"),
-        F.round(100.0 * F.count_if("match") / F.count(F.lit(1)), 2).alias("parity_pct"),
+        F.bround(100.0 * F.count_if("match") / F.count(F.lit(1)), 2).alias("parity_pct"),
         F.bool_and("match").alias("pass"),
     )

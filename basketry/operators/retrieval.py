@@ -51,7 +51,7 @@ def chunk_statistics(chunked: DataFrame) -> DataFrame:
     n = F.size(text.words(F.col("text")))
     return chunked.groupBy("config").agg(
         F.count(F.lit(1)).alias("chunks"),
-        F.round(F.sum(n) / F.count(F.lit(1)), 1).alias("mean_words"),
+        F.bround(F.sum(n) / F.count(F.lit(1)), 1).alias("mean_words"),
         F.max(n).alias("max_words"),
     )
 
@@ -269,7 +269,7 @@ def mean_metrics(scores: DataFrame, settings: list[str], subsets: Column) -> Dat
     per = scores.withColumn("subset", F.explode(subsets))
     names = ["recall", "hit", "rr", "trap_in_context", "trap_above_relevant"]
     return per.groupBy(*settings, "subset").agg(
-        F.count(F.lit(1)).alias("questions"), *[F.round(F.sum(c) / F.count(F.lit(1)), 4).alias(c) for c in names]
+        F.count(F.lit(1)).alias("questions"), *[F.bround(F.sum(c) / F.count(F.lit(1)), 4).alias(c) for c in names]
     ).withColumnRenamed("rr", "mrr")
 
 

@@ -85,11 +85,11 @@ def segment_summary(segmented: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(s) for s in SEGMENT_ORDER]), F.col("segment"))
     return sizes.select(
         place.alias("place"), "segment", "customers",
-        F.round(100.0 * F.col("customers") / F.sum("customers").over(over_all), 1).alias("pct_customers"),
-        F.round("revenue", 0).cast("bigint").alias("revenue"),
-        F.round(100.0 * F.col("revenue").cast("double") / F.sum("revenue").over(over_all).cast("double"), 1).alias("pct_revenue"),
-        F.round(F.col("recency") / F.col("customers"), 0).alias("avg_recency"),
-        F.round(F.col("frequency") / F.col("customers"), 1).alias("avg_frequency"),
+        F.bround(100.0 * F.col("customers") / F.sum("customers").over(over_all), 1).alias("pct_customers"),
+        F.bround("revenue", 0).cast("bigint").alias("revenue"),
+        F.bround(100.0 * F.col("revenue").cast("double") / F.sum("revenue").over(over_all).cast("double"), 1).alias("pct_revenue"),
+        F.bround(F.col("recency") / F.col("customers"), 0).alias("avg_recency"),
+        F.bround(F.col("frequency") / F.col("customers"), 1).alias("avg_frequency"),
     )
 
 

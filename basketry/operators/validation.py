@@ -34,7 +34,7 @@ def captures(ranked: DataFrame, fractions: dict[str, float]) -> DataFrame:
     """Per method, the share of the outcome earned by the best fraction of customers."""
     total = F.sum("outcome").cast("double")
     return ranked.groupBy("method").agg(*[
-        F.round(
+        F.bround(
             100.0 * F.coalesce(F.sum(F.when(F.col("place") <= best_count(F.lit(k), F.col("group_rows")), F.col("outcome"))), F.lit(0)).cast("double") / total,
             2,
         ).alias(name)
@@ -78,7 +78,7 @@ def spearman(scores: DataFrame) -> DataFrame:
     )
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     spread = F.sqrt(n * F.col("sxx") - sx * sx) * F.sqrt(n * F.col("syy") - sy * sy)
-    return sums.select("method", F.round(F.try_divide(n * F.col("sxy") - sx * sy, spread), 4).alias("spearman"))
+    return sums.select("method", F.bround(F.try_divide(n * F.col("sxy") - sx * sy, spread), 4).alias("spearman"))
 
 
 def compare_methods(scores: DataFrame) -> DataFrame:
@@ -97,11 +97,11 @@ def tier_outcomes(tiered: DataFrame) -> DataFrame:
     total = F.col("total").cast("double")
     return sizes.join(medians, "tier").select(
         "tier", "customers",
-        F.round(total / F.col("customers"), 2).alias("mean"),
-        F.round("median", 2).alias("median"),
-        F.round(total, 2).alias("total"),
-        F.round(100.0 * F.col("active") / F.col("customers"), 2).alias("pct_active"),
-        F.round(100.0 * total / F.sum("total").over(over_all).cast("double"), 2).alias("share_pct"),
+        F.bround(total / F.col("customers"), 2).alias("mean"),
+        F.bround("median", 2).alias("median"),
+        F.bround(total, 2).alias("total"),
+        F.bround(100.0 * F.col("active") / F.col("customers"), 2).alias("pct_active"),
+        F.bround(100.0 * total / F.sum("total").over(over_all).cast("double"), 2).alias("share_pct"),
     )
 
 
@@ -151,9 +151,9 @@ def weight_sensitivity(tiered: DataFrame) -> DataFrame:
     first = list(TIER_SHARES)[0]
     return judged.groupBy("feature", "factor", "weight").agg(
         changed.alias("customers_changing_tier"),
-        F.round(100.0 * changed / F.count(F.lit(1)), 2).alias("pct_changing_tier"),
+        F.bround(100.0 * changed / F.count(F.lit(1)), 2).alias("pct_changing_tier"),
         F.count_if((F.col("tier") == first) != (F.col("base_tier") == first)).alias("tier1_changes"),
-        F.round(100.0 * F.sum(F.when(top, F.col("outcome"))).cast("double") / F.sum("outcome").cast("double"), 2).alias(
+        F.bround(100.0 * F.sum(F.when(top, F.col("outcome"))).cast("double") / F.sum("outcome").cast("double"), 2).alias(
             "capture_top10_pct"
         ),
     )
@@ -163,11 +163,11 @@ def implied_weights(coefficients: DataFrame, step: float = 0.05) -> DataFrame:
     """(feature, coefficient) to weights: negatives clipped, shares rounded half-even to ``step``, renormalised."""
     over_all = Window.partitionBy()  # one row per feature
     clipped = coefficients.withColumn("positive", F.greatest("coefficient", F.lit(0.0)))
-    implied = clipped.withColumn("implied_weight", F.round(F.col("positive") / F.sum("positive").over(over_all), 3))
+    implied = clipped.withColumn("implied_weight", F.bround(F.col("positive") / F.sum("positive").over(over_all), 3))
     stepped = implied.withColumn("stepped", F.bround(F.col("implied_weight") / F.lit(step), 0) * F.lit(step))
     return stepped.select(
         "feature", "coefficient", "implied_weight",
-        F.round(F.col("stepped") / F.sum("stepped").over(over_all), 3).alias("rounded_weight"),
+        F.bround(F.col("stepped") / F.sum("stepped").over(over_all), 3).alias("rounded_weight"),
     )
 
 
@@ -189,13 +189,13 @@ def worked_examples(tiered: DataFrame) -> DataFrame:
 def coverage(scored_outcome: DataFrame, future: DataFrame) -> DataFrame:
     """% of scored customers active later, and % of later revenue from customers who could not be scored."""
     known = scored_outcome.agg(
-        F.round(100.0 * F.count_if(F.col("future_revenue") > 0) / F.count(F.lit(1)), 2).alias("pct_active")
+        F.bround(100.0 * F.count_if(F.col("future_revenue") > 0) / F.count(F.lit(1)), 2).alias("pct_active")
     )
     missed = future.join(scored_outcome.select("customer_id"), "customer_id", "left_anti").agg(
         F.coalesce(F.sum("future_revenue"), F.lit(0)).cast("double").alias("missed")
     )
     everyone = future.agg(F.sum("future_revenue").cast("double").alias("everyone"))
-    share = F.round(F.try_divide(100.0 * F.col("missed"), F.col("everyone")), 2).alias("pct_revenue_from_unscored")
+    share = F.bround(F.try_divide(100.0 * F.col("missed"), F.col("everyone")), 2).alias("pct_revenue_from_unscored")
     return beside(beside(known, missed), everyone).select("pct_active", share)
 
 

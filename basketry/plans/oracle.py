@@ -5,6 +5,21 @@ from __future__ import annotations
 _CODES = "'POST', 'DOT', 'M', 'D', 'C2', 'BANK CHARGES', 'AMAZONFEE', 'PADS', 'CRUK', 'S', 'B'"
 
 
+def with_half_even(sql: str) -> str:
+    """Spell out ``half_even(x, n)``: round half to even, on the decimal digits of x as the jobs do."""
+    name = "half_even("
+    while name in sql:
+        start = sql.rindex(name)  # innermost calls first
+        depth, comma, end = 1, 0, start + len(name)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            comma = end if sql[end] == "," and depth == 1 else comma
+            end += 1
+        value, digits = sql[start + len(name):comma], sql[comma + 1:end - 1]
+        sql = f"{sql[:start]}CAST(round_even(CAST({value} AS DECIMAL(30,15)),{digits}) AS DOUBLE){sql[end:]}"
+    return sql
+
+
 def non_product(code: str) -> str:
     return (
         f"(upper({code}) IN ({_CODES}) OR starts_with(upper({code}), 'ADJUST')"

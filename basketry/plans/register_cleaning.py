@@ -93,7 +93,7 @@ WITH s1 AS (SELECT * FROM raw_lines WHERE customer_id IS NOT NULL),
                   'line logged more than once'
            UNION ALL SELECT 5, (SELECT count(*) FROM s4), (SELECT count(*) FROM s5), 'drop_non_product_codes',
                   'fee, postage, adjustment or test code')
-SELECT step, b AS rows_before, a AS rows_after, b - a AS removed, round(100.0::DOUBLE * (b - a) / b, 2) AS pct_removed,
+SELECT step, b AS rows_before, a AS rows_after, b - a AS removed, half_even(100.0::DOUBLE * (b - a) / b, 2) AS pct_removed,
        reason
 FROM n"""))
 def c7(ws: Workspace):
@@ -102,9 +102,9 @@ def c7(ws: Workspace):
 
 @register("c8_cancellation_rates", using("raw_lines", """
 SELECT cancelled_invoices, total_invoices,
-       round(100.0::DOUBLE * cancelled_invoices / total_invoices, 2) AS cancel_rate_by_invoices_pct,
-       round(cancelled::DOUBLE, 2) AS cancelled_revenue, round(gross::DOUBLE, 2) AS gross_revenue,
-       round(100.0::DOUBLE * cancelled::DOUBLE / gross::DOUBLE, 2) AS cancel_rate_by_revenue_pct
+       half_even(100.0::DOUBLE * cancelled_invoices / total_invoices, 2) AS cancel_rate_by_invoices_pct,
+       half_even(cancelled::DOUBLE, 2) AS cancelled_revenue, half_even(gross::DOUBLE, 2) AS gross_revenue,
+       half_even(100.0::DOUBLE * cancelled::DOUBLE / gross::DOUBLE, 2) AS cancel_rate_by_revenue_pct
 FROM (SELECT count(DISTINCT invoice) FILTER (WHERE starts_with(invoice, 'C')) AS cancelled_invoices,
              count(DISTINCT invoice) AS total_invoices,
              -sum(quantity * price) FILTER (WHERE starts_with(invoice, 'C')) AS cancelled,
@@ -146,7 +146,7 @@ def c10(ws: Workspace):
 
 
 @register("c11_cleaning_summary", using("raw_lines sales", """
-SELECT raw_rows, clean_rows, round(100.0::DOUBLE * (raw_rows - clean_rows) / raw_rows, 2) AS pct_removed,
+SELECT raw_rows, clean_rows, half_even(100.0::DOUBLE * (raw_rows - clean_rows) / raw_rows, 2) AS pct_removed,
        customers, invoices, products, countries, revenue,
        100.0 * (raw_rows - clean_rows) / raw_rows BETWEEN 15 AND 35 AS removed_in_range,
        null_keys = 0 AS no_null_keys,

@@ -65,10 +65,10 @@ def r4(ws: Workspace):
 
 @register("r5_segment_summary", using("sales", f"""WITH {_SEGMENTED}
 SELECT CAST(list_position(['Champions', 'Loyal', 'Potential', 'At-Risk', 'Hibernating', 'Lost', 'Other'], segment) AS BIGINT) AS place,
-       segment, count(*) AS customers, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM segmented), 1) AS pct_customers,
-       CAST(round(sum(monetary), 0) AS BIGINT) AS revenue,
-       round(100.0::DOUBLE * sum(monetary)::DOUBLE / (SELECT sum(monetary) FROM segmented)::DOUBLE, 1) AS pct_revenue,
-       round(sum(recency)::DOUBLE / count(*), 0) AS avg_recency, round(sum(frequency)::DOUBLE / count(*), 1) AS avg_frequency
+       segment, count(*) AS customers, half_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM segmented), 1) AS pct_customers,
+       CAST(half_even(sum(monetary), 0) AS BIGINT) AS revenue,
+       half_even(100.0::DOUBLE * sum(monetary)::DOUBLE / (SELECT sum(monetary) FROM segmented)::DOUBLE, 1) AS pct_revenue,
+       half_even(sum(recency)::DOUBLE / count(*), 0) AS avg_recency, half_even(sum(frequency)::DOUBLE / count(*), 1) AS avg_frequency
 FROM segmented GROUP BY segment"""))
 def r5(ws: Workspace):
     return rfm.segment_summary(_rfm(ws))
@@ -158,12 +158,12 @@ def f11(ws: Workspace):
 def _explain_sql() -> str:
     parts = [
         f"SELECT customer_id, tier, score, '{f}' AS feature, '{tiering.LABELS[f]}' AS label, {f}::DOUBLE AS value,"
-        f" round(100.0::DOUBLE * pct_{f}, 1) AS percentile, {round(w / oracle.TOTAL, 3)!r}::DOUBLE AS weight,"
-        f" round(100.0::DOUBLE * contrib_{f}, 1) AS points FROM scored"
+        f" half_even(100.0::DOUBLE * pct_{f}, 1) AS percentile, {round(w / oracle.TOTAL, 3)!r}::DOUBLE AS weight,"
+        f" half_even(100.0::DOUBLE * contrib_{f}, 1) AS points FROM scored"
         for f, w in zip(FEATURES, oracle.WEIGHTS)
     ]
     return f"""WITH places AS (SELECT customer_id, rank() OVER (ORDER BY score DESC) AS rank, count(*) OVER () AS customers FROM scored)
-SELECT customer_id, tier, round(100.0::DOUBLE * score, 1) AS score_100, rank, customers, feature, label, value, percentile, weight, points
+SELECT customer_id, tier, half_even(100.0::DOUBLE * score, 1) AS score_100, rank, customers, feature, label, value, percentile, weight, points
 FROM ({' UNION ALL '.join(parts)}) JOIN places USING (customer_id)"""
 
 
@@ -216,15 +216,15 @@ methods AS (
   UNION ALL SELECT '{EQUAL}', customer_id, {oracle.weighted(_EQUAL)}, future_revenue FROM scored_outcome),
 placed AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, customer_id) AS place,
                   count(*) OVER (PARTITION BY method) AS n, sum(outcome) OVER (PARTITION BY method) AS total FROM methods),
-corr AS (SELECT method, round(corr(x, y), 4) AS spearman
+corr AS (SELECT method, half_even(corr(x, y), 4) AS spearman
          FROM (SELECT method,
                       (rank() OVER (PARTITION BY method ORDER BY score))::DOUBLE + ((count(*) OVER (PARTITION BY method, score)) - 1)::DOUBLE / 2 AS x,
                       (rank() OVER (PARTITION BY method ORDER BY outcome))::DOUBLE + ((count(*) OVER (PARTITION BY method, outcome)) - 1)::DOUBLE / 2 AS y
                FROM methods) GROUP BY method),
 caught AS (SELECT method,
-                  round(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.1::DOUBLE * n + 1e-9)))::DOUBLE / any_value(total)::DOUBLE, 2) AS capture_top10_pct,
-                  round(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.2::DOUBLE * n + 1e-9)))::DOUBLE / any_value(total)::DOUBLE, 2) AS capture_top20_pct,
-                  round(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.3::DOUBLE * n + 1e-9)))::DOUBLE / any_value(total)::DOUBLE, 2) AS capture_top30_pct
+                  half_even(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.1::DOUBLE * n + 1e-9)))::DOUBLE / any_value(total)::DOUBLE, 2) AS capture_top10_pct,
+                  half_even(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.2::DOUBLE * n + 1e-9)))::DOUBLE / any_value(total)::DOUBLE, 2) AS capture_top20_pct,
+                  half_even(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.3::DOUBLE * n + 1e-9)))::DOUBLE / any_value(total)::DOUBLE, 2) AS capture_top30_pct
            FROM placed GROUP BY method)"""
 _TOPS = {"capture_top10_pct": 0.10, "capture_top20_pct": 0.20, "capture_top30_pct": 0.30}
 
@@ -263,10 +263,10 @@ def v3(ws: Workspace):
 
 _TIERS = """
 tier_table AS (
-  SELECT tier, count(*) AS customers, round(sum(future_revenue)::DOUBLE / count(*), 2) AS mean,
-         round(quantile_cont(future_revenue::DOUBLE, 0.5), 2) AS median, round(sum(future_revenue)::DOUBLE, 2) AS total,
-         round(100.0::DOUBLE * count(*) FILTER (WHERE future_revenue > 0) / count(*), 2) AS pct_active,
-         round(100.0::DOUBLE * sum(future_revenue)::DOUBLE / (SELECT sum(future_revenue) FROM scored_outcome)::DOUBLE, 2) AS share_pct
+  SELECT tier, count(*) AS customers, half_even(sum(future_revenue)::DOUBLE / count(*), 2) AS mean,
+         half_even(quantile_cont(future_revenue::DOUBLE, 0.5), 2) AS median, half_even(sum(future_revenue)::DOUBLE, 2) AS total,
+         half_even(100.0::DOUBLE * count(*) FILTER (WHERE future_revenue > 0) / count(*), 2) AS pct_active,
+         half_even(100.0::DOUBLE * sum(future_revenue)::DOUBLE / (SELECT sum(future_revenue) FROM scored_outcome)::DOUBLE, 2) AS share_pct
   FROM scored_outcome GROUP BY tier)"""
 
 
@@ -343,15 +343,15 @@ def v10(ws: Workspace):
 
 
 _COEFFICIENTS = " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, coalesce(round(corr(pct_{f}, future_revenue::DOUBLE), 3), 0) AS coefficient FROM scored_outcome"
+    f"SELECT '{f}' AS feature, coalesce(half_even(corr(pct_{f}, future_revenue::DOUBLE), 3), 0) AS coefficient FROM scored_outcome"
     for f in FEATURES
 )
 
 
 @register("v11_implied_weights", using("scored_outcome", f"""WITH c AS ({_COEFFICIENTS}),
-i AS (SELECT feature, coefficient, round(greatest(coefficient, 0) / sum(greatest(coefficient, 0)) OVER (), 3) AS implied_weight FROM c),
+i AS (SELECT feature, coefficient, half_even(greatest(coefficient, 0) / sum(greatest(coefficient, 0)) OVER (), 3) AS implied_weight FROM c),
 s AS (SELECT *, round_even(implied_weight / 0.05::DOUBLE, 0) * 0.05::DOUBLE AS stepped FROM i)
-SELECT feature, coefficient, implied_weight, round(stepped / sum(stepped) OVER (), 3) AS rounded_weight FROM s"""))
+SELECT feature, coefficient, implied_weight, half_even(stepped / sum(stepped) OVER (), 3) AS rounded_weight FROM s"""))
 def v11(ws: Workspace):
     outcome = F.col("future_revenue").cast("double")
     wide = ws.scored_outcome().agg(*[F.coalesce(F.round(F.corr(f"pct_{f}", outcome), 3), F.lit(0.0)).alias(f) for f in FEATURES])
@@ -376,9 +376,9 @@ def _sensitivity_sql() -> str:
            count(*) OVER (PARTITION BY feature, factor) AS n FROM ({' UNION ALL '.join(parts)})),
 t AS (SELECT *, {oracle.tier('place', 'n')} AS tier FROM r)
 SELECT feature, factor, weight, count(*) FILTER (WHERE tier <> base) AS customers_changing_tier,
-       round(100.0::DOUBLE * count(*) FILTER (WHERE tier <> base) / count(*), 2) AS pct_changing_tier,
+       half_even(100.0::DOUBLE * count(*) FILTER (WHERE tier <> base) / count(*), 2) AS pct_changing_tier,
        count(*) FILTER (WHERE (tier = 'Tier 1') <> (base = 'Tier 1')) AS tier1_changes,
-       round(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.1::DOUBLE * n + 1e-9)))::DOUBLE / sum(outcome)::DOUBLE, 2) AS capture_top10_pct
+       half_even(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.1::DOUBLE * n + 1e-9)))::DOUBLE / sum(outcome)::DOUBLE, 2) AS capture_top10_pct
 FROM t GROUP BY feature, factor, weight"""
 
 
@@ -398,8 +398,8 @@ def v13(ws: Workspace):
 
 
 @register("v14_coverage", using("scored_outcome future", """
-SELECT (SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE future_revenue > 0) / count(*), 2) FROM scored_outcome) AS pct_active,
-       (SELECT round(100.0::DOUBLE * coalesce(sum(future_revenue) FILTER (WHERE customer_id NOT IN (SELECT customer_id FROM scored_outcome)), 0)::DOUBLE
+SELECT (SELECT half_even(100.0::DOUBLE * count(*) FILTER (WHERE future_revenue > 0) / count(*), 2) FROM scored_outcome) AS pct_active,
+       (SELECT half_even(100.0::DOUBLE * coalesce(sum(future_revenue) FILTER (WHERE customer_id NOT IN (SELECT customer_id FROM scored_outcome)), 0)::DOUBLE
                / sum(future_revenue)::DOUBLE, 2) FROM future) AS pct_revenue_from_unscored"""))
 def v14(ws: Workspace):
     return validation.coverage(ws.scored_outcome(), ws.future())

@@ -63,7 +63,7 @@ _ANSWERABLE = "difficulty <> 'unanswerable'"
 
 
 def _pct(part: str, whole: str, digits: int = 2) -> str:
-    return f"round(100.0::DOUBLE * count(*) FILTER (WHERE {part}) / nullif(count(*) FILTER (WHERE {whole}), 0), {digits})"
+    return f"half_even(100.0::DOUBLE * count(*) FILTER (WHERE {part}) / nullif(count(*) FILTER (WHERE {whole}), 0), {digits})"
 
 
 _RATES = f"""count(*) AS questions,
@@ -74,7 +74,7 @@ _RATES = f"""count(*) AS questions,
   {_pct("outcome IN ('wrong', 'answered_unanswerable')", "true")} AS confidently_wrong_pct,
   coalesce({_pct("outcome IN ('wrong', 'answered_unanswerable')", "outcome IN ('correct', 'wrong', 'answered_unanswerable')")}, 0.0) AS confidently_wrong_of_answered_pct,
   count(*) FILTER (WHERE attempts > 1) AS retried"""
-_LATENCY = """round(quantile_cont(latency_s - narrate_s, 0.5), 2) AS latency_p50_s, round(quantile_cont(latency_s - narrate_s, 0.95), 2) AS latency_p95_s"""
+_LATENCY = """half_even(quantile_cont(latency_s - narrate_s, 0.5), 2) AS latency_p50_s, half_even(quantile_cont(latency_s - narrate_s, 0.95), 2) AS latency_p95_s"""
 
 # ---- result sets ------------------------------------------------------------------------------------
 
@@ -284,7 +284,7 @@ PRICES, EXCHANGE = (0.25, 1.5), 1.37
 _LEDGER = f"""
 ledger AS (SELECT version || ':' || purpose AS purpose, k * 30 AS input_tokens, k * 3 AS output_tokens, k % 7 AS thought_tokens FROM records),
 rolled AS (SELECT purpose, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens + thought_tokens) AS BIGINT) AS output_tokens,
-                  round((sum(input_tokens)::DOUBLE * {PRICES[0]}::DOUBLE + sum(output_tokens + thought_tokens)::DOUBLE * {PRICES[1]}::DOUBLE) / 1e6 * {EXCHANGE}::DOUBLE, 6) AS cost_cad
+                  half_even((sum(input_tokens)::DOUBLE * {PRICES[0]}::DOUBLE + sum(output_tokens + thought_tokens)::DOUBLE * {PRICES[1]}::DOUBLE) / 1e6 * {EXCHANGE}::DOUBLE, 6) AS cost_cad
            FROM ledger GROUP BY 1)"""
 
 
@@ -302,7 +302,7 @@ def e12(ws: Workspace):
 
 
 @register("e12_cost_per_question", f"""WITH {_RECORDS}, {_LEDGER}
-SELECT round(sum(cost_cad) / (SELECT count(*) FROM records WHERE version = 'v4'), 5) AS cost_per_question_cad
+SELECT half_even(sum(cost_cad) / (SELECT count(*) FROM records WHERE version = 'v4'), 5) AS cost_per_question_cad
 FROM rolled WHERE purpose IN ('v4:view', 'v4:click')""")
 def e12_cost(ws: Workspace):
     runs = records(ws).filter("version = 'v4'").agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -430,7 +430,7 @@ def _raters(ws: Workspace):
 c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE human = judge)::DOUBLE AS same, sum(human)::DOUBLE AS h, sum(judge)::DOUBLE AS j FROM pairs),
 k AS (SELECT *, CASE WHEN (h = 0 AND j = 0) OR (h = n AND j = n) THEN NULL
                      ELSE (same / n - (h * j + (n - h) * (n - j)) / (n * n)) / (1 - (h * j + (n - h) * (n - j)) / (n * n)) END AS kappa FROM c)
-SELECT CAST(n AS BIGINT) AS n, round(100.0::DOUBLE * same / n, 1) AS accuracy_pct, round(kappa, 3) AS cohens_kappa,
+SELECT CAST(n AS BIGINT) AS n, half_even(100.0::DOUBLE * same / n, 1) AS accuracy_pct, half_even(kappa, 3) AS cohens_kappa,
        CASE WHEN kappa IS NULL THEN 'undefined (a rater used only one label)' WHEN kappa < 0.4 THEN 'poor: do not rely on the judge'
             WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS reading,
        CAST(h AS BIGINT) AS human_positive, CAST(j AS BIGINT) AS judge_positive FROM k""")
@@ -476,7 +476,7 @@ FROM records WHERE "set" IN ({listed}) GROUP BY version"""
 
 
 @register("e19_version_table", f"""WITH {_RECORDS}, {_LEDGER},
-costs AS (SELECT split_part(purpose, ':', 1) AS version, round(sum(cost_cad), 6) AS cost_cad FROM rolled GROUP BY 1)
+costs AS (SELECT split_part(purpose, ':', 1) AS version, half_even(sum(cost_cad), 6) AS cost_cad FROM rolled GROUP BY 1)
 SELECT * FROM ({' UNION ALL '.join(_block_sql(b, s) for b, s in _BLOCKS.items())}) LEFT JOIN costs USING (version)""")
 def e19(ws: Workspace):
     rolled = grading.usage_rollup(_ledger(ws), PRICES, EXCHANGE)

@@ -97,7 +97,7 @@ _AGREEMENT = f"""SELECT *, missing_in_right = 0 AND extra_in_right = 0 AND tier_
          CAST(coalesce(sum(customers) FILTER (WHERE right_tier = 'missing'), 0) AS BIGINT) AS missing_in_right,
          CAST(coalesce(sum(customers) FILTER (WHERE left_tier = 'missing'), 0) AS BIGINT) AS extra_in_right,
          CAST(coalesce(sum(customers) FILTER (WHERE left_tier <> right_tier AND 'missing' NOT IN (left_tier, right_tier)), 0) AS BIGINT) AS tier_changed,
-         round(100.0::DOUBLE * coalesce(sum(customers) FILTER (WHERE left_tier = right_tier), 0)::DOUBLE / sum(customers)::DOUBLE, 3) AS agreement_pct
+         half_even(100.0::DOUBLE * coalesce(sum(customers) FILTER (WHERE left_tier = right_tier), 0)::DOUBLE / sum(customers)::DOUBLE, 3) AS agreement_pct
   FROM ({_MOVES}))"""
 
 
@@ -113,7 +113,7 @@ def p5_agreement(ws: Workspace):
 
 def _parity_sql(rows: list[str]) -> str:
     return f"""SELECT count(*) AS checks_total, count(*) FILTER (WHERE match) AS checks_passed,
-       round(100.0::DOUBLE * count(*) FILTER (WHERE match) / count(*), 2) AS parity_pct, bool_and(match) AS pass
+       half_even(100.0::DOUBLE * count(*) FILTER (WHERE match) / count(*), 2) AS parity_pct, bool_and(match) AS pass
 FROM (SELECT match FROM ({_checks_sql(rows)}) UNION ALL SELECT match FROM ({_AGREEMENT}))"""
 
 

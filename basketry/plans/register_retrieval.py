@@ -115,7 +115,7 @@ def g3(ws: Workspace):
 
 
 @register("g4_chunk_statistics", f"""
-SELECT config, count(*) AS chunks, round(sum(n)::DOUBLE / count(*), 1) AS mean_words, CAST(max(n) AS INTEGER) AS max_words
+SELECT config, count(*) AS chunks, half_even(sum(n)::DOUBLE / count(*), 1) AS mean_words, CAST(max(n) AS INTEGER) AS max_words
 FROM (SELECT config, len(list_filter(regexp_split_to_array(chunk, '\\s+'), lambda x: x <> '')) AS n FROM ({_ALL_CHUNKS})) GROUP BY config""")
 def g4(ws: Workspace):
     return r.chunk_statistics(_chunks(ws))
@@ -262,8 +262,8 @@ per AS (SELECT config, policy, k, query_id, n, count(*) FILTER (WHERE kind = 're
 scores AS (SELECT config, policy, k, query_id, found / n::DOUBLE AS recall, (first IS NOT NULL)::INTEGER::DOUBLE AS hit, coalesce(1.0::DOUBLE / first, 0) AS rr,
                   (trap IS NOT NULL)::INTEGER::DOUBLE AS trap_in_context,
                   (trap IS NOT NULL AND (first IS NULL OR trap < first))::INTEGER::DOUBLE AS trap_above_relevant FROM per),
-metrics AS (SELECT config, policy, k, subset, count(*) AS questions, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit, round(avg(rr), 4) AS mrr,
-                   round(avg(trap_in_context), 4) AS trap_in_context, round(avg(trap_above_relevant), 4) AS trap_above_relevant
+metrics AS (SELECT config, policy, k, subset, count(*) AS questions, half_even(avg(recall), 4) AS recall, half_even(avg(hit), 4) AS hit, half_even(avg(rr), 4) AS mrr,
+                   half_even(avg(trap_in_context), 4) AS trap_in_context, half_even(avg(trap_above_relevant), 4) AS trap_above_relevant
             FROM (SELECT *, unnest(['all', CASE WHEN CAST(query_id AS INTEGER) % 4 = 0 THEN 'unanswerable' ELSE 'answerable' END]) AS subset FROM scores) GROUP BY ALL),
 candidates AS (SELECT * FROM metrics WHERE subset = 'all' AND policy = 'penalize'),
 best AS (SELECT config, recall FROM candidates WHERE k = 8 ORDER BY recall DESC, mrr DESC, config DESC LIMIT 1)"""

@@ -76,7 +76,7 @@ def _kpis(ws: Workspace):
 WITH {_RECORDS}, k AS (
 SELECT (SELECT count(*) FROM raw_lines) AS raw_rows, count(*) AS clean_rows, count(DISTINCT customer_id) AS customers,
        CAST(round(sum(revenue), 2) AS DECIMAL(24,2)) AS revenue,
-       (SELECT round(100.0::DOUBLE * (sum(r) FILTER (WHERE p <= ceil(0.1::DOUBLE * n)))::DOUBLE / sum(r)::DOUBLE, 2)
+       (SELECT half_even(100.0::DOUBLE * (sum(r) FILTER (WHERE p <= ceil(0.1::DOUBLE * n)))::DOUBLE / sum(r)::DOUBLE, 2)
         FROM (SELECT r, row_number() OVER (ORDER BY r DESC, customer_id) AS p, count(*) OVER () AS n
               FROM (SELECT customer_id, sum(revenue) AS r FROM sales GROUP BY 1))) AS top10,
        (SELECT count(*) FILTER (WHERE outcome IN ('wrong', 'answered_unanswerable')) || '/' || count(*) FROM records) AS cw

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from basketry.plans.oracle import with_half_even
 from basketry.plans.workspace import Workspace
 
 Product = Callable[[Workspace], DataFrame]
@@ -20,7 +21,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Product], Produc
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = product
         if oracle is not None:
-            ORACLES[name] = oracle
+            ORACLES[name] = with_half_even(oracle)
         return product
 
     return keep
