@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from basketry.plans import questions as q
 from basketry.plans.oracle import using
 from basketry.plans.registry import register
-from basketry.plans.workspace import Workspace
 
 BASE, LATER = 1999, 2000
 _FROM = "invoice_date >= '{0}' AND invoice_date < '{1}'"

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # The document types a knowledge base may hold.
 DOC_TYPES = ["metric_definition", "methodology", "data_caveat", "table", "policy", "faq"]
-FIELDS = ["id", "title", "doc_type", "owner", "last_updated", "deprecated", "superseded_by"]
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

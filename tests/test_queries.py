@@ -26,3 +26,10 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_query_without_sql_is_known():
+    assert set(QUERIES) - set(ORACLES) == {
+        "v7_logistic_scores", "v8_boosted_tree_scores", "v9_gain_importance", "v11_learned_weights", "v15_learned_verdict",
+        "e13_numbers_in_prose", "e15_detection_rate",
+    }
