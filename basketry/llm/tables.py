@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
@@ -40,8 +39,10 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
         with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
             for file in sorted(top.rglob("*.py")):
                 archive.write(file, str(file.relative_to(top.parent)))
-        sent = Path(tempfile.mkdtemp(prefix="basketry-")) / "basketry_package.zip"
-        sent.write_bytes(packed.getvalue())
-        context.addPyFile(str(sent))  # Spark serves the file to every executor
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(df.sparkSession)}/llm-{context.applicationId}/basketry_package.zip")
+        out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+        out.write(packed.getvalue())
+        out.close()
+        context.addPyFile(path.toString())
         _shipped.add(context.applicationId)
     return df.mapInArrow(run, schema)
