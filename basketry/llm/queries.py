@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, fingerprint, license_scan, near_dedup
+from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing
 from basketry.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+@register("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op10_retrieval_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
