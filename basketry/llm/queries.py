@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing
+from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, quality_rules
 from basketry.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_retrieval_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, p, list_slice(ws, p, p + 4) AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p + k) AS n_repeat_words FROM r, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM w)),
+m AS (SELECT doc_id, i, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+             length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS syms,
+             len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) <= 12 AS few,
+             regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$') AS ends,
+             regexp_matches(line, '(\||»|›|•|·|→)|\x20>\x20') AS menu,
+             regexp_matches(lower(line), '\b(cookie policy|cookies|privacy policy|terms of (use|service)|all rights reserved|enable javascript|javascript is|sign up|log ?in|sign in|subscribe|newsletter|share (this|on)|follow us|read more|click here|powered by|skip to content)\b') AS furniture
+      FROM lines),
+good AS (SELECT doc_id, count(*) AS n_good, sum(chars) AS chars_left FROM m
+         WHERE NOT (10 * syms >= chars OR (menu AND NOT ends) OR (few AND (NOT ends OR furniture))) GROUP BY doc_id),
+j AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+             CAST(len(ls) - coalesce(n_good, 0) AS BIGINT) AS lines_removed, CAST(coalesce(chars_left, 0) AS BIGINT) AS chars_left
+      FROM w LEFT JOIN c USING (doc_id) LEFT JOIN good USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
+SELECT *, NOT base_failed AND 100 * chars_left >= 50 * word_chars AS kept FROM b
+"""
+
+
+@register("op7_quality_rules", _OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(table(spark, sf_dir, "documents"))
