@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, quality_rules
+from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, quality_rules, sharding
 from basketry.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,8 @@ SELECT *, NOT base_failed AND 100 * chars_left >= 50 * word_chars AS kept FROM b
 @register("op7_quality_rules", _OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
+
+
+@register("op6_kd_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
