@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.arrays import covered_by_repeats
+from basketry.llm.arrays import covered_by_repeats, let
 
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
 #: Of a document's word characters its kept lines must hold so many hundredths.
@@ -61,47 +61,49 @@ def line_fails(line: Column) -> Column:
     return symbols | menu | (few & (~ends | F.lower(line).rlike(_BOILERPLATE)))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``_rules`` of all measures, the verdict and the cleaned text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    measured = docs.withColumn("_rules", F.struct(words_of(text).alias("words"), _lines(text).alias("lines"), text.alias("text")))
-    words, lines = F.col("_rules.words"), F.col("_rules.lines")
-    n_words = F.size(words).cast("long")
-    counted = measured.withColumn("_rules", F.struct(
-        n_words.alias("n_words"),
-        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        F.regexp_count(F.col("_rules.text"), F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        covered_by_repeats(words, WINDOW).alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.filter(lines, lambda line: ~line_fails(line)).alias("good"),
-    ))
-    r = F.col("_rules")
-    failed = (r["n_words"] < LEAST_WORDS) | (100 * r["n_repeat_words"] > MOST_REPEATED_PERCENT * r["n_words"])
-    cleaned = F.array_join(r["good"], "\n")
-    left = counted.withColumn("_rules", F.struct(
-        r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], failed.alias("base_failed"),
-        (r["n_lines"] - F.size(r["good"])).cast("long").alias("lines_removed"), cleaned.alias("cleaned"),
-    ))
-    r = F.col("_rules")
-    chars_left = _word_chars(r["cleaned"]).cast("long")
-    return left.withColumn("_rules", F.struct(
-        r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["lines_removed"],
-        r["cleaned"], chars_left.alias("chars_left"),
-    )).withColumn("_kept", ~r["base_failed"] & (100 * F.col("_rules.chars_left") >= LEAST_KEPT_PERCENT * F.col("_rules.word_chars")))
-
-
-_MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+def rules(text: Column) -> Column:
+    """All measures, the cleaned text and the verdict of one text, as a struct.
+
+    Words, lines and kept lines are bound once, so that no measure splits the text again.
+    """
+    text = F.coalesce(text, F.lit(""))
+
+    def measured(words: Column, lines: Column, good: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            covered_by_repeats(words, WINDOW).alias("n_repeat_words"),
+            (F.size(lines) - F.size(good)).cast("long").alias("lines_removed"),
+            F.array_join(good, "\n").alias("cleaned"),
+        )
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED_PERCENT * m["n_words"])
+        left = _word_chars(m["cleaned"]).cast("long")
+        own = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines_removed", "cleaned")]
+        kept = ~failed & (100 * left >= LEAST_KEPT_PERCENT * m["word_chars"])
+        return F.struct(*own, failed.alias("base_failed"), left.alias("chars_left"), kept.alias("kept"))
+
+    def with_lines(words: Column, lines: Column) -> Column:
+        good = F.filter(lines, lambda line: ~line_fails(line))
+        return let(good, lambda g: let(measured(words, lines, g), verdict))
+
+    return let(words_of(text), lambda w: let(_lines(text), lambda ls: with_lines(w, ls)))
+
+
+_MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed", "chars_left"]
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the measures, base_failed, kept, lines_removed and chars_left."""
-    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return rows.select("doc_id", *[F.col(f"_rules.{c}").alias(c) for c in _MEASURES], F.col("_kept").alias("kept"), "_rules.lines_removed", "_rules.chars_left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rules(F.col("text")).alias("_rules"))
+    return rows.select("doc_id", *[F.col(f"_rules.{c}").alias(c) for c in _MEASURES])
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents kept, with their failing lines removed and ``n_chars`` counted anew; other columns as they are."""
-    kept = judged(docs).filter("_kept")
+    kept = docs.withColumn("_rules", rules(F.col("text"))).filter("_rules.kept")
     changed = {"text": F.col("_rules.cleaned"), "n_chars": F.length("_rules.cleaned").cast("long")}
     return kept.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, quality_rules, sharding
+from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, quality_rules, sharding, url_filter
 from basketry.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_kd_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
+
+
+_OP1_SQL = r"""
+WITH p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+                  regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1, 's') AS query FROM pages),
+q AS (SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)')), '&') AS asked FROM p),
+k AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '\.html$', ''), '/+$', '')
+                     || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END END AS canonical_url FROM q),
+rules AS (SELECT * FROM (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+                                ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')) AS v(says, rule, of_host, of_path)),
+hits AS (SELECT page_id, url, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM k JOIN rules
+         ON (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, of_path) GROUP BY page_id, url),
+listed AS (SELECT DISTINCT canonical_url FROM k WHERE list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']))
+SELECT k.page_id, host, path, h.rule, coalesce(h.says, CASE WHEN l.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, k.canonical_url,
+       h.rule IS NULL AND l.canonical_url IS NOT NULL AS listed
+FROM k LEFT JOIN hits h ON k.page_id = h.page_id AND k.url = h.url LEFT JOIN listed l ON k.canonical_url = l.canonical_url
+"""
+
+
+@register("op1_url_filter", _OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.reported(pages))
