@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, quality_rules, sharding, url_filter
+from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, quality_rules, secret_scan, sharding, url_filter
 from basketry.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,9 @@ FROM k LEFT JOIN hits h ON k.page_id = h.page_id AND k.url = h.url LEFT JOIN lis
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.reported(pages))
+
+
+@register("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = secret_scan.common_pieces(public_tokenizers.path("word_bpe_49k.json"))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), pieces)
