@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.tables import mapped
-from basketry.llm.vectors import OnePermutation, shingle_set
+from basketry.llm.vectors import OnePermutation, mixed, shingle_set
 
 #: 512 bins of 4 bits: 256 bytes a document, standard error of a likeness at most 2.4 %.
 BIN_BITS, VALUE_BITS = 9, 4
@@ -37,6 +37,9 @@ class Fingerprints:
         if value_bits not in (1, 2, 4, 8):
             raise ValueError("value_bits must be 1, 2, 4 or 8")
         self._bins = OnePermutation(bin_bits)
+        # Values are mixed with their bin, so that chance agreement is independent from bin to bin even where
+        # a short text has few values that fill all bins.
+        self._own = mixed(np.arange(1, self._bins.size + 1, dtype=np.uint64))
         self.bits = value_bits
 
     def of(self, data: bytes) -> bytes:
@@ -44,7 +47,7 @@ class Fingerprints:
         shingles = shingle_set(data)
         if not len(shingles):
             return b""
-        low = (self._bins.sketch(shingles) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
+        low = (mixed(self._bins.sketch(shingles) ^ self._own) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
         packed = np.zeros(len(low) * self.bits // 8, np.uint8)
         per_byte = 8 // self.bits
         for k in range(per_byte):
@@ -108,7 +111,7 @@ def _range_of(value: Column, bounds: list[int]) -> Column:
     below = lambda n, b: n + F.when(value > b, 1).otherwise(0)
     whole = F.aggregate(F.array(*[F.lit(b[-1]) for b in blocks]), F.lit(0), below)
     rest = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), whole)
-    return whole * step + F.coalesce(F.aggregate(rest, F.lit(0), below), F.lit(0))
+    return F.least(whole * step + F.coalesce(F.aggregate(rest, F.lit(0), below), F.lit(0)), F.lit(len(bounds)))
 
 
 def compare_neighbours(docs: DataFrame, bin_bits: int = BIN_BITS, value_bits: int = VALUE_BITS) -> DataFrame:

@@ -98,12 +98,12 @@ _MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 
 def measure(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the measures, base_failed, kept, lines_removed and chars_left."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rules(F.col("text")).alias("_rules"))
-    return rows.select("doc_id", *[F.col(f"_rules.{c}").alias(c) for c in _MEASURES])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rules(F.col("text")).alias("r"))
+    return rows.select("doc_id", *[f"r.{c}" for c in _MEASURES])
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents kept, with their failing lines removed and ``n_chars`` counted anew; other columns as they are."""
-    kept = docs.withColumn("_rules", rules(F.col("text"))).filter("_rules.kept")
-    changed = {"text": F.col("_rules.cleaned"), "n_chars": F.length("_rules.cleaned").cast("long")}
-    return kept.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.select(F.struct("*").alias("d"), rules(F.col("text")).alias("r")).filter("r.kept")
+    changed = {"text": F.col("r.cleaned"), "n_chars": F.length("r.cleaned").cast("long")}
+    return kept.select(*[changed.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])

@@ -197,6 +197,6 @@ def redact(docs: DataFrame, pieces: list[str], least: float = LEAST_PROBABILITY)
         return F.concat(F.array_join(parts, ""), rest)
 
     shown = F.coalesce(let(findings(F.col("text"), F.col("source"), pieces), lambda f: F.when(F.size(f) > 0, rebuilt(f))), F.col("text"))
-    masked = docs.withColumn("_masked", shown)
-    changed = {"text": F.col("_masked"), "n_chars": F.coalesce(F.length("_masked").cast("long"), F.col("n_chars"))}
-    return masked.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    masked = docs.select(F.struct("*").alias("d"), shown.alias("shown"))
+    changed = {"text": F.col("shown"), "n_chars": F.coalesce(F.length("shown").cast("long"), F.col("d.n_chars"))}
+    return masked.select(*[changed.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
