@@ -105,9 +105,11 @@ def candidates(docs: DataFrame, pieces: list[str]) -> DataFrame:
 
 def known_findings(found: DataFrame) -> DataFrame:
     """Labelled findings of a corpus without hand labels: a candidate assigned in quotes to a key name, with letters
-    and digits mixed, is a secret; one that no key name, assignment or quote stands beside is none. Others stay unlabelled."""
+    and digits mixed, is a secret; a plain word or number that no key name, assignment or quote stands beside is
+    none. Others stay unlabelled."""
     secret = (F.col("key_name") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.col("transitions") > 0)
-    none = (F.col("key_name") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0)
+    alone = (F.col("key_name") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0)
+    none = alone & F.col("text").rlike("^(?:[A-Za-z_-]+|[0-9_-]+)$")
     return found.withColumn("label", F.when(secret, 1.0).when(none, 0.0)).filter("label is not null")
 
 
