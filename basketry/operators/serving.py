@@ -51,11 +51,11 @@ def rendered(columns: Column, rows: Column, abstained: Column, reason: Column, e
         return F.concat(F.replace(column, F.lit("_"), F.lit(" ")), F.lit(": "), shown(value))
 
     return (
-        F.when(abstained, F.trim(F.concat(F.lit("I can't answer that from this data. "), F.coalesce(reason, F.lit("")))))
-        .when(error.isNotNull(), "The query failed, so there is no answer.")
-        .when(F.size(rows) == 0, "The query returned no rows.")
+        F.when(abstained, F.trim(F.concat(F.lit("No answer is possible here. "), F.coalesce(reason, F.lit("")))))
+        .when(error.isNotNull(), "No answer: the query ended in an error.")
+        .when(F.size(rows) == 0, "The result is empty.")
         .when(F.size(rows) == 1, F.array_join(F.zip_with(columns, F.get(rows, 0), named), "; "))
-        .otherwise(F.concat(F.size(rows).cast("string"), F.lit(" rows returned (see the table).")))
+        .otherwise(F.concat(F.size(rows).cast("string"), F.lit(" rows, shown in the table.")))
     )
 
 

@@ -142,13 +142,15 @@ def text_of(df: DataFrame, column: str):
     kind = dict(df.dtypes)[column]
     value = F.col(column)
     if kind.startswith("timestamp"):
-        value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+        value = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return F.coalesce(value.cast("string"), F.lit("<null>"))
 
 
 def row_digest(parts: Sequence):
-    """A 60-bit number from the md5 of the parts; sums of it do not depend on row order."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("decimal(20,0)")
+    """A 60-bit number from the md5 of the parts, each after its length so that no two lists of parts read alike;
+    sums of it do not depend on row order."""
+    measured = [x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)]
+    return F.conv(F.substring(F.md5(F.concat(*measured)), 1, 15), 16, 10).cast("decimal(20,0)")
 
 
 def table_digest(df: DataFrame, name: str) -> DataFrame:

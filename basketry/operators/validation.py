@@ -236,13 +236,14 @@ def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(rows))
 
 
-def fit_trees(labelled: DataFrame, trees: int = 200, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """Boosted trees on the raw features; a missing regularity is imputed and flagged in its own column."""
+def fit_trees(labelled: DataFrame, trees: int = 200, depth: int = 4, rows: float = 1.0, features: float = 1.0, seed: int = 42) -> PipelineModel:
+    """Boosted trees on the raw features, each on a share of rows and features; a missing regularity is imputed and
+    flagged in its own column."""
     raw = [f for f in FEATURES if f != "regularity"]
     stages = [
         Imputer(inputCols=["regularity"], outputCols=["regularity_filled"], strategy="median"),
         VectorAssembler(inputCols=[*raw, "regularity_filled", "regularity_missing"], outputCol="features"),
-        GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed),
+        GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=rows, featureSubsetStrategy=str(features) if features < 1 else "all", seed=seed),
     ]
     return Pipeline(stages=stages).fit(labelled)
 

@@ -384,20 +384,38 @@ def e14(ws: Workspace):
     return found.select("id", F.size("unsupported").cast("bigint").alias("unsupported"))
 
 
-@register("e15_corrupted_claims", """
-WITH t AS (SELECT o_orderkey AS id, o_orderkey % 4 AS mode, format('{:,.2f}', round(o_totalprice, 2)) AS full_text,
-                  format('{:,.3f}', round(o_totalprice / 1e6, 3)) AS short_text,
-                  CASE o_orderkey % 4 WHEN 0 THEN round(o_totalprice, 2) = floor(o_totalprice) AND o_totalprice BETWEEN 1900 AND 2100
-                       ELSE round(o_totalprice / 1e6, 3) = 0.002::DOUBLE END AS year FROM orders)
-SELECT id, CASE WHEN year THEN NULL WHEN mode = 0 THEN '£' || full_text ELSE '£' || short_text || ' million' END AS original,
-       CASE WHEN year THEN NULL WHEN mode = 0 THEN 'The order came to £' || (CAST(full_text[1] AS INTEGER) % 9 + 1) || full_text[2:] || '.'
-            ELSE 'The order came to £' || (CAST(short_text[1] AS INTEGER) % 9 + 1) || short_text[2:] || ' million on 3 March 2000.' END AS corrupted
-FROM t WHERE mode IN (0, 1)""")
+# The one number of each answer that may restate the total: its text, value and decimals, and the answer around it.
+_CORRUPTED = """
+texts AS (SELECT o_orderkey AS id, o_orderkey % 4 AS mode, round(o_totalprice, 2) AS cell, o_custkey AS buyer,
+                 format('{:,.2f}', round(o_totalprice, 2)) AS full_text, format('{:,.3f}', round(o_totalprice / 1e6, 3)) AS short_text,
+                 format('{:,.2f}', round(o_totalprice + 5000, 2)) AS wrong_text FROM orders),
+heads AS (SELECT *, CASE mode WHEN 0 THEN '£' || full_text WHEN 1 THEN '£' || short_text || ' million' WHEN 2 THEN buyer::VARCHAR END AS head,
+                 CASE mode WHEN 0 THEN cell WHEN 1 THEN round(cell / 1e6, 3) * 1e6 WHEN 2 THEN buyer::DOUBLE END AS v,
+                 CASE mode WHEN 0 THEN 2 WHEN 1 THEN -3 ELSE 0 END AS d,
+                 CASE mode WHEN 0 THEN 'The order came to £' || full_text || '.' WHEN 1 THEN 'The order came to £' || short_text || ' million on 3 March 2000.'
+                           WHEN 2 THEN 'The order came to £' || wrong_text || ' from customer ' || buyer || '.' ELSE 'The order was large.' END AS answer FROM texts),
+kept AS (SELECT *, CASE WHEN NOT (v = floor(v) AND v BETWEEN 1900 AND 2100)
+                         AND (abs(cell - v) <= 0.5 * pow(10.0::DOUBLE, -d) + CASE WHEN d >= 0 THEN 1e-9 ELSE 0 END OR abs(cell - v) <= greatest(5e-4 * greatest(abs(cell), abs(v)), 0.005))
+                        THEN head END AS original FROM heads),
+digits AS (SELECT *, CASE WHEN original[1] = '£' THEN 2 ELSE 1 END AS pos FROM kept),
+changed AS (SELECT *, substr(original, 1, pos - 1) || (CAST(original[pos] AS INTEGER) % 9 + 1) || substr(original, pos + 1) AS other FROM digits),
+corrupted AS (SELECT *, substr(answer, 1, strpos(answer, original) - 1) || other || substr(answer, strpos(answer, original) + length(original)) AS text,
+                     TRY_CAST(replace(regexp_extract(other, '[0-9.,]+'), ',', '') AS DOUBLE) * CASE mode WHEN 1 THEN 1e6 ELSE 1 END AS now FROM changed)"""
+
+
+@register("e15_corrupted_claims", f"WITH {_CORRUPTED} SELECT id, original, CASE WHEN original IS NOT NULL THEN text END AS corrupted FROM corrupted")
 def e15(ws: Workspace):
-    return claims.corrupt(prose_records(ws).filter("mode IN (0, 1)")).select("id", "original", "corrupted")
+    return claims.corrupt(prose_records(ws)).select("id", "original", "corrupted")
 
 
-@register("e15_detection_rate")
+# A wrong price in the same answer is unsupported whatever happens to the customer's number (mode 2).
+@register("e15_detection_rate", f"""WITH {_CORRUPTED},
+forms AS (SELECT id, mode, now, d, unnest([cell, -cell, cell * 100, cell / 100]) AS c FROM corrupted WHERE original IS NOT NULL),
+judged AS (SELECT id, mode, bool_or(abs(c - now) <= 0.5 * pow(10.0::DOUBLE, -d) + CASE WHEN d >= 0 THEN 1e-9 ELSE 0 END
+                                    OR abs(c - now) <= greatest(5e-4 * greatest(abs(c), abs(now)), 0.005)) OR now = 1 OR now BETWEEN 1900 AND 2100 AND now = floor(now) AS held
+           FROM forms GROUP BY id, mode, now),
+totals AS (SELECT (SELECT count(*) FROM corrupted) AS every, count(*) AS n, count(*) FILTER (WHERE mode = 2 OR NOT held) AS hit FROM judged)
+SELECT every AS distinct_answers, n AS corrupted, every - n AS skipped, hit AS detected, half_even(100.0::DOUBLE * hit / n, 1) AS detection_pct FROM totals""")
 def e15_detection(ws: Workspace):
     return claims.detection(claims.corrupt(prose_records(ws)))
 
@@ -431,8 +449,8 @@ c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE human = judge)::DOUBL
 k AS (SELECT *, CASE WHEN (h = 0 AND j = 0) OR (h = n AND j = n) THEN NULL
                      ELSE (same / n - (h * j + (n - h) * (n - j)) / (n * n)) / (1 - (h * j + (n - h) * (n - j)) / (n * n)) END AS kappa FROM c)
 SELECT CAST(n AS BIGINT) AS n, half_even(100.0::DOUBLE * same / n, 1) AS accuracy_pct, half_even(kappa, 3) AS cohens_kappa,
-       CASE WHEN kappa IS NULL THEN 'undefined (a rater used only one label)' WHEN kappa < 0.4 THEN 'poor: do not rely on the judge'
-            WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS reading,
+       CASE WHEN kappa IS NULL THEN 'one label only' WHEN kappa < 0.4 THEN 'weak'
+            WHEN kappa < 0.6 THEN 'fair' WHEN kappa < 0.8 THEN 'good' ELSE 'close' END AS reading,
        CAST(h AS BIGINT) AS human_positive, CAST(j AS BIGINT) AS judge_positive FROM k""")
 def e17(ws: Workspace):
     return grading.agreement(_raters(ws))
@@ -453,8 +471,11 @@ pool AS (SELECT *, CASE WHEN "set" = 'defs' AND run = 0 THEN 0 WHEN "set" = 'def
                         WHEN k % 10 = 0 THEN 3 WHEN run = 0 THEN 4 END AS stratum
          FROM records WHERE version = 'v4' AND outcome IN ('correct', 'wrong', 'answered_unanswerable')),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stratum, run) AS p FROM pool WHERE stratum IS NOT NULL) WHERE p = 1),
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN stratum = 4 THEN md5('7:' || id) ELSE id END, run, id) AS q FROM one)
-           WHERE q <= CASE WHEN stratum = 3 THEN 8 ELSE 30 END)
+numbered AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY id, run) AS f FROM one),
+moved AS (SELECT id, run, outcome, stratum FROM numbered WHERE stratum <> 3 OR f <= 8
+          UNION ALL SELECT id, run, outcome, 4 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stratum, run) AS r FROM pool WHERE run = 0 AND stratum IS NOT NULL)
+          WHERE r = 1 AND id IN (SELECT id FROM numbered WHERE stratum = 3 AND f > 8)),
+capped AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN stratum = 4 THEN md5('7:' || id) ELSE id END, run, id) AS q FROM moved)
 SELECT id, run, stratum, outcome FROM capped ORDER BY stratum, q LIMIT 30""")
 def e18(ws: Workspace):
     pool = records(ws).filter("version = 'v4'").filter(F.col("outcome").isin(grading.ANSWERED))

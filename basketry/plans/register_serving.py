@@ -125,10 +125,10 @@ def l4(ws: Workspace):
 
 
 @register("l5_rendered_results", f"""
-SELECT id, CASE WHEN o_orderstatus = 'P' THEN 'I can''t answer that from this data. No such column.'
-            WHEN o_orderkey % 11 = 0 THEN 'The query failed, so there is no answer.'
-            WHEN n IS NULL THEN 'The query returned no rows.'
-            WHEN n = 1 THEN 'part no: ' || part || '; units sold: ' || units ELSE n || ' rows returned (see the table).' END AS answer
+SELECT id, CASE WHEN o_orderstatus = 'P' THEN 'No answer is possible here. No such column.'
+            WHEN o_orderkey % 11 = 0 THEN 'No answer: the query ended in an error.'
+            WHEN n IS NULL THEN 'The result is empty.'
+            WHEN n = 1 THEN 'part no: ' || part || '; units sold: ' || units ELSE n || ' rows, shown in the table.' END AS answer
 FROM {_SETS}""")
 def l5(ws: Workspace):
     columns = F.array(F.lit("part_no"), F.lit("units_sold"))

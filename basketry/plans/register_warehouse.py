@@ -14,6 +14,7 @@ from basketry.sources import documents, files, retail, versions
 
 _STAR = "dim_date dim_customer dim_product fact_sales fact_cancellations"
 _TS = "'%Y-%m-%d %H:%M:%S'"
+_TS_EXACT = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
 def _shown(df):
@@ -110,12 +111,13 @@ def _digest_sql(table: str) -> str:
     line = ["invoice", "invoice_date", "date_key", "customer_id", "stock_code", "country", "quantity", "price", "revenue"]
     columns["fact_sales"] = ["sales_line_id", *line]
     columns["fact_cancellations"] = ["cancellation_line_id", *line]
-    parts = ", ".join(
-        f"coalesce({f'strftime({c}, {_TS})' if 'invoice_date' in c else f'CAST({c} AS VARCHAR)'}, '<null>')"
+    texts = [
+        f"coalesce({f'strftime({c}, {_TS_EXACT})' if 'invoice_date' in c else f'CAST({c} AS VARCHAR)'}, '<null>')"
         for c in columns[table]
-    )
+    ]
+    parts = " || ".join(f"length({t}) || ':' || {t}" for t in texts)
     return f"""SELECT '{table}' AS table_name, count(*) AS row_count,
-  CAST(coalesce(sum(('0x' || substr(md5(concat_ws('|', {parts})), 1, 15))::BIGINT), 0) AS VARCHAR) AS digest FROM {table}"""
+  CAST(coalesce(sum(('0x' || substr(md5({parts}), 1, 15))::BIGINT), 0) AS VARCHAR) AS digest FROM {table}"""
 
 
 _DIGESTS = " UNION ALL ".join(_digest_sql(t) for t in star.TABLES)
@@ -272,7 +274,7 @@ def s13(ws: Workspace):
     rows = ws.source("labels").select(*[filled.get(c, empty).alias(c) for c in files.LABEL_COLUMNS])
     first = ws.spark.range(1).select(*[F.lit("# how to label" if c == "label_id" else "").alias(c) for c in files.LABEL_COLUMNS])
     first.unionByName(rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    return files.checked_labels(files.read_labels(ws.spark, path))
+    return files.checked_labels(files.read_labels(ws.spark, path), ws.scratch("bad_labels"))
 
 
 @register("s14_answer_sets", """

@@ -95,6 +95,23 @@ class Workspace:
                 self._tables[f"faulty.{name}"] = df
         return {name: self._tables[f"faulty.{name}"] for name in star.TABLES}
 
+    def second_stars(self) -> dict[str, DataFrame]:
+        """The star of a second load, built from the source tables anew."""
+        if "second.fact_sales" not in self._tables:
+            raw = self.written("second_raw_lines", lambda: retail.raw_lines(self.spark, self.sf_dir))
+            sales, cancellations = cleaning.clean(raw)
+            both = write_tables({"second_sales": sales, "second_cancellations": cancellations}, f"{self.root}/tables")
+            root = f"{self.root}/star-second"
+            publish(self.spark, star.build_star(both["second_sales"], both["second_cancellations"]), root)
+            for name, df in read_live(self.spark, root, star.TABLES).items():
+                self._tables[f"second.{name}"] = df
+        return {name: self._tables[f"second.{name}"] for name in star.TABLES}
+
+    def second_scored(self) -> DataFrame:
+        stars = self.second_stars()
+        return self.written("second_customer_tiers", lambda: tiering.score_customers(
+            tiering.features_at(stars["fact_sales"], stars["fact_cancellations"], CUTOFF)))
+
     def stg_sales(self) -> DataFrame:
         return marts.stg_sales(self.star("fact_sales"))
 

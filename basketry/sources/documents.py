@@ -10,11 +10,12 @@ DOC_TYPES = ["metric_definition", "methodology", "data_caveat", "table", "policy
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files as (file_stem, content), one row per file."""
+    """Files as (file_stem, content), one row per file; the folder's own README is no document."""
     files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    return files.select(
+    stems = files.select(
         F.regexp_extract(F.col("path"), r"([^/]+)\.md$", 1).alias("file_stem"), F.col("value").alias("content")
     )
+    return stems.filter(F.lower("file_stem") != "readme")
 
 
 def parse_front_matter(files: DataFrame) -> DataFrame:
@@ -26,8 +27,15 @@ def parse_front_matter(files: DataFrame) -> DataFrame:
     )
 
     def field(name: str):
+        """A scalar: quoted text without its quotes, else the text itself; null, ~ and nothing are null."""
         found = F.trim(F.regexp_extract("front", rf"(?m)^{name}:[ \t]*(.*)$", 1))
-        return F.nullif(found, F.lit(""))
+        double = F.regexp_extract(found, r'^"((?:[^"\\]|\\.)*)"', 1)
+        single = F.regexp_extract(found, "^'((?:[^']|'')*)'", 1)
+        return (
+            F.when(found.startswith('"'), F.regexp_replace(double, r"\\(.)", "$1"))
+            .when(found.startswith("'"), F.replace(single, F.lit("''"), F.lit("'")))
+            .when(~found.isin("", "~", "null", "Null", "NULL"), F.regexp_replace(found, r"\s+#.*$", ""))
+        )
 
     return split.select(
         "file_stem",

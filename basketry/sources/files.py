@@ -126,19 +126,30 @@ def invalid_labels(labels: DataFrame) -> DataFrame:
     return labels.select("label_id", F.inline(cells)).filter(~F.col("value").isin("0", "1"))
 
 
-def checked_labels(labels: DataFrame) -> DataFrame:
-    """Labels as integers; bad cells raise, naming each of them (at most a screenful is shown)."""
-    bad = invalid_labels(labels).orderBy("label_id", "column").limit(50).collect()
+def checked_labels(labels: DataFrame, report: str) -> DataFrame:
+    """Labels as integers; bad cells raise. Every one of them is written to ``report`` (label_id, column, value), so
+    neither the list nor the driver is bounded by their number."""
+    invalid_labels(labels).write.mode("overwrite").parquet(report)
+    bad = labels.sparkSession.read.parquet(report).count()
     if bad:
-        raise ValueError("labels missing or not 0/1: " + ", ".join(f"{r.label_id}.{r.column}={r.value!r}" for r in bad))
+        raise ValueError(f"{bad} labels missing or not 0/1, listed in {report}")
     return labels.select("label_id", *[F.trim(c).cast("int").alias(c) for c in _LABELS], F.coalesce("notes", F.lit("")).alias("notes"))
 
 
 def read_answer_sets(spark: SparkSession, paths: dict[str, str], schema: T.StructType) -> DataFrame:
-    """Recorded answers of several sets, each row tagged with its set."""
+    """Recorded answers of several sets, each row tagged with its set.
+
+    A file holds one JSON array, indented or not, or one record per line; anything else raises.
+    """
     out = None
     for name, path in paths.items():
-        one = spark.read.schema(schema).json(path).withColumn("set", F.lit(name))
+        whole = spark.read.text(path, wholetext=True)
+        is_array = F.col("value").rlike(r"^\s*\[")
+        kind = T.ArrayType(schema)
+        arrays = whole.filter(is_array).select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("r"))
+        lines = whole.filter(~is_array).select(F.explode(F.split("value", r"\r?\n")).alias("line")).filter(F.trim("line") != "")
+        records = lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
+        one = arrays.unionByName(records).select("r.*").withColumn("set", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 

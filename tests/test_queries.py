@@ -2,11 +2,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from basketry.plans import catalogue
 from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in catalogue.QUERIES}
+ORACLES = catalogue.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -31,5 +32,5 @@ def test_entry(spark):
 def test_every_query_without_sql_is_known():
     assert set(QUERIES) - set(ORACLES) == {
         "v7_logistic_scores", "v8_boosted_tree_scores", "v9_gain_importance", "v11_learned_weights", "v15_learned_verdict",
-        "e13_numbers_in_prose", "e15_detection_rate",
+        "e13_numbers_in_prose",
     }

@@ -38,10 +38,24 @@ def label_file(tmp_path, bad=""):
 
 
 def test_labels(spark, tmp_path):
-    found = {r.label_id: (r.faithful, r.citation_correct, r.notes) for r in files.checked_labels(files.read_labels(spark, label_file(tmp_path))).collect()}
+    report = str(tmp_path / "bad")
+    found = {r.label_id: (r.faithful, r.citation_correct, r.notes) for r in files.checked_labels(files.read_labels(spark, label_file(tmp_path)), report).collect()}
     assert found == {"L01": (1, 0, "multi, line"), "L02": (0, 1, "")}
-    with pytest.raises(ValueError, match="L03"):
-        files.checked_labels(files.read_labels(spark, label_file(tmp_path, "L03,q,s,{},a,(none),x,yes,,")))
+    many = "\n".join(f"L{i},q,s,{{}},a,(none),x,yes,," for i in range(100, 180))
+    with pytest.raises(ValueError, match="160 labels"):
+        files.checked_labels(files.read_labels(spark, label_file(tmp_path, many)), report)
+    assert spark.read.parquet(report).count() == 160
+
+
+def test_answer_files_as_arrays_and_lines(spark, tmp_path):
+    schema = spark.createDataFrame([], "id string, rows array<array<string>>").schema
+    (tmp_path / "a.json").write_text('[\n  {\n    "id": "q1",\n    "rows": [["1"], ["2"]]\n  },\n  {"id": "q2", "rows": []}\n]\n')
+    (tmp_path / "b.json").write_text('{"id": "q3", "rows": [["x"]]}\n{"id": "q4", "rows": null}\n')
+    both = files.read_answer_sets(spark, {"a": str(tmp_path / "a.json"), "b": str(tmp_path / "b.json")}, schema)
+    assert {(r.set, r.id, None if r.rows is None else len(r.rows)) for r in both.collect()} == {("a", "q1", 2), ("a", "q2", 0), ("b", "q3", 1), ("b", "q4", None)}
+    (tmp_path / "c.json").write_text('[{"id": "q1", "rows": 7')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_answer_sets(spark, {"c": str(tmp_path / "c.json")}, schema).collect()
 
 
 def test_documents(spark, tmp_path):
@@ -52,10 +66,14 @@ def test_documents(spark, tmp_path):
     (folder / "b.md").write_text(head.format(id="b", kind="faq", old="true", more="superseded_by: a\n"))
     (folder / "c.md").write_text(head.format(id="x", kind="poem", old="true", more="superseded_by: nowhere\n"))
     (folder / "d.md").write_text("no header")
+    (folder / "README.md").write_text("about this folder")
+    quoted = '---\nid: "q"\ntitle: "Sales: by \\"day\\""\ndoc_type: policy # kind\nowner: \'It\'\'s us\'\nlast_updated: 2011-06-20\ndeprecated: false\nsuperseded_by: null\n---\nBody'
+    (folder / "q.md").write_text(quoted)
     parsed = documents.parse_front_matter(documents.read_documents(spark, str(folder)))
     rows = {r.file_stem: r for r in parsed.collect()}
     assert rows["b"].deprecated and rows["b"].superseded_by == "a" and str(rows["b"].last_updated) == "2011-06-20"
     assert rows["a"].body == "# Body\n\ntext --- here"
+    assert (rows["q"].title, rows["q"].owner, rows["q"].doc_type, rows["q"].superseded_by) == ('Sales: by "day"', "It's us", "policy", None)
     problems = {(r.doc_id, r.problem) for r in documents.invalid_documents(parsed).collect()}
     assert problems == {
         ("x", "id does not match the file name"), ("x", "unknown doc_type"),
@@ -76,8 +94,8 @@ def test_rendered(spark):
     df = spark.createDataFrame(rows, "abstained boolean, error string, rows array<array<string>>")
     said = serving.rendered(F.array(F.lit("total_revenue")), F.col("rows"), F.col("abstained"), F.lit("No data."), F.col("error"))
     assert [r[0] for r in df.select(said).collect()] == [
-        "total revenue: 1,234.50", "total revenue: 7", "I can't answer that from this data. No data.",
-        "The query failed, so there is no answer.", "The query returned no rows.", "2 rows returned (see the table)."]
+        "total revenue: 1,234.50", "total revenue: 7", "No answer is possible here. No data.",
+        "No answer: the query ended in an error.", "The result is empty.", "2 rows, shown in the table."]
 
 
 def test_similar_texts_in_blocks(spark, monkeypatch):

