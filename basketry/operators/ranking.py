@@ -63,31 +63,64 @@ def running_totals(
     return out.drop(_AT, _SLICE, *totals)
 
 
+def _in_groups(placed: DataFrame, groups: Sequence[str], weight: Column) -> tuple[Column, Column, DataFrame]:
+    """Weight of the rows before each row in its group, the group's weight, and the frame that holds both.
+
+    Rows are in slices, ordered by group, so a group lies in one slice or reaches over the border of two; only for
+    the latter, at most two per slice, is anything joined, and that by broadcast.
+    """
+    keys = [_SLICE, *groups]
+    here = Window.partitionBy(*keys)
+    so_far = here.orderBy(_AT).rowsBetween(Window.unboundedPreceding, -1)
+    of_group = Window.partitionBy(*groups)
+    parts = placed.groupBy(*keys).agg(F.sum(weight).alias("_part"))
+    spread = parts.select(
+        *keys, F.count(F.lit(1)).over(of_group).alias("_slices"), F.sum("_part").over(of_group).alias("_all"),
+        F.coalesce(F.sum("_part").over(of_group.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"),
+    ).filter("_slices > 1").drop("_slices")
+    local = placed.withColumns({"_here": F.coalesce(F.sum(weight).over(so_far), F.lit(0)), "_own": F.sum(weight).over(here)})
+    joined = local.join(F.broadcast(spread), keys, "left")
+    return F.col("_here") + F.coalesce("_earlier", F.lit(0)), F.coalesce("_all", "_own"), joined
+
+
+_GROUP_COLUMNS = ("_here", "_own", "_all", "_earlier", _AT, _SLICE)
+
+
 def group_positions(
     df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "position"
 ) -> DataFrame:
     """Number rows 1..n inside each group; a group of any size is spread over many slices."""
-    numbered = row_positions(df, [*groups, *order], "_overall")
-    first = numbered.groupBy(*groups).agg(F.min("_overall").alias("_first"), F.count(F.lit(1)).alias("group_rows"))
-    return (
-        numbered.join(first, list(groups)).withColumn(name, F.col("_overall") - F.col("_first") + 1)
-        .drop("_overall", "_first")
-    )
+    before, size, joined = _in_groups(_laid_out(df, [*groups, *order]), groups, F.lit(1))
+    return joined.withColumns({name: before + 1, "group_rows": size}).drop(*_GROUP_COLUMNS)
 
 
 def tie_ranks(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """One row per distinct non-null value: ``below`` (rows with a smaller value), ``ties`` and ``size``."""
     keys = list(groups)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    summed = running_totals(counted, [*keys, value], {"_upto": "ties"})
-    placed = summed.withColumn("_before", F.col("_upto") - F.col("ties")).drop("_upto")
-    if not keys:
-        size = placed.agg(F.coalesce(F.sum("ties"), F.lit(0)).alias("size"))
-        return placed.select(value, F.col("_before").alias("below"), "ties", size.scalar().alias("size"))
-    spans = placed.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("ties").alias("size"))
-    return placed.join(spans, keys).select(
-        *keys, value, (F.col("_before") - F.col("_first")).alias("below"), "ties", "size"
-    )
+    if keys:
+        before, size, joined = _in_groups(_laid_out(counted, [*keys, value]), keys, F.col("ties"))
+        return joined.select(*keys, value, before.alias("below"), "ties", size.alias("size"))
+    summed = running_totals(counted, [value], {"_upto": "ties"})
+    size = summed.agg(F.coalesce(F.sum("ties"), F.lit(0)).alias("size"))
+    return summed.select(value, (F.col("_upto") - F.col("ties")).alias("below"), "ties", size.scalar().alias("size"))
+
+
+def with_tie_ranks(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``below``, ``ties`` and ``size`` of its value, null for null values.
+
+    Values that fill more than one shuffle partition's share, at most as many as there are partitions, come by
+    broadcast; only the other rows are joined by value.
+    """
+    keys = [*groups, value]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranks = durable(tie_ranks(df, value, groups))
+    total = ranks.agg(F.sum("ties").alias("n")).scalar()
+    is_heavy = F.coalesce(F.col("ties") * parts > total, F.lit(False))
+    heavy = ranks.filter(is_heavy)
+    met = df.join(F.broadcast(heavy), keys, "left")
+    rest = met.filter(F.col("ties").isNull() & F.col(value).isNotNull()).drop("below", "ties", "size")
+    return met.filter(F.col("ties").isNotNull() | F.col(value).isNull()).unionByName(rest.join(ranks.filter(~is_heavy), keys, "left"))
 
 
 def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], groups: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.functions.single import beside
-from basketry.operators.ranking import group_positions, quantiles, running_totals, tie_ranks
+from basketry.operators.ranking import group_positions, quantiles, running_totals, with_tie_ranks
 from basketry.operators.tiering import FEATURES, TIER_SHARES, WEIGHTS, tier_of, weighted_sum
 
 HAND_FEATURES = [f for f, w in WEIGHTS.items() if w > 0]
@@ -66,11 +66,12 @@ def capture_curve(scores: DataFrame, points: int = 100) -> DataFrame:
 def spearman(scores: DataFrame) -> DataFrame:
     """Rank correlation of score and outcome per method. Ranks are doubled to stay whole numbers, so every
     sum is exact and the result does not depend on the order of addition."""
-    def doubled(column: str, name: str) -> DataFrame:
-        ranks = tie_ranks(scores, column, ["method"])
-        return ranks.select("method", column, (2 * F.col("below") + F.col("ties") + 1).cast("decimal(19,0)").alias(name))
+    def doubled(rows: DataFrame, column: str, name: str) -> DataFrame:
+        rank = (2 * F.col("below") + F.col("ties") + 1).cast("decimal(19,0)")
+        return with_tie_ranks(rows, column, ["method"]).withColumn(name, rank).drop("below", "ties", "size")
 
-    both = scores.join(doubled("score", "x"), ["method", "score"]).join(doubled("outcome", "y"), ["method", "outcome"])
+    pairs = scores.select("method", "score", "outcome").filter(F.col("score").isNotNull() & F.col("outcome").isNotNull())
+    both = doubled(doubled(pairs, "score", "x"), "outcome", "y")
     x, y = F.col("x"), F.col("y")
     sums = both.groupBy("method").agg(
         F.count(F.lit(1)).cast("double").alias("n"),

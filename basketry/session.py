@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,9 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df):
-    """Cut the lineage of ``df`` in the shared folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as Parquet to the shared folder and read back: no lineage, and later reads are pruned."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/basketry-{spark.sparkContext.applicationId}/durable/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(source):

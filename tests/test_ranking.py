@@ -66,3 +66,23 @@ def test_quantiles_interpolate_like_pandas(table):
 def test_quantiles_of_nothing(table):
     df, _ = table
     assert ranking.quantiles(df.filter("false"), "v", {"q": 0.5}).first().q is None
+
+
+def test_rows_with_ranks_and_a_value_held_by_half(spark):
+    rows = [(i, "ab"[i % 2], None if i % 50 == 0 else 0.0 if i % 2 else float(i // 4)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(8)
+    got = ranking.with_tie_ranks(df, "v", ["g"])
+    pdf = got.toPandas()
+    assert len(pdf) == 4000 and pdf.loc[pdf.v.isna(), "ties"].isna().all()
+    held = pdf.dropna(subset=["v"])
+    assert ((held["below"] + (held["ties"] + 1) / 2) == held.groupby("g")["v"].rank()).all()
+    assert (held["size"] == held.groupby("g")["v"].transform("size")).all()
+
+
+def test_no_exchange_on_the_group_alone(spark):
+    """Neither numbering nor ranking sends a whole group to one task."""
+    df = spark.range(1000).selectExpr("id", "id % 3 as g", "id % 7 as v")
+    for made in (ranking.group_positions(df, ["g"], ["v", "id"]), ranking.with_tie_ranks(df, "v", ["g"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+        assert not any("[g#" in line and "v#" not in line for line in joins), plan

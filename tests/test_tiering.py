@@ -54,7 +54,7 @@ def test_explanation_adds_up(toy):
     rows = tiering.explain(scored).filter("customer_id = 12").collect()
     assert len(rows) == 8 and sum(r.points for r in rows) == pytest.approx(rows[0].score_100, abs=0.2)
     text = tiering.explanation_lines(tiering.explain(scored)).filter("customer_id = 3").first().text
-    assert text.startswith("Customer 3: Tier 4") and "n/a (fewer than 3 orders)" in text and "(not weighted)" in text
+    assert text.startswith("Customer 3 is in Tier 4") and "too few orders" in text and "without weight" in text
 
 
 def test_features_respect_the_cutoff(spark):
