@@ -1,8 +1,9 @@
 """Does a recorded result set answer the question? Order-free, tolerant comparison of two small tables.
 
 Both results sit in one row as arrays of text cells, so a whole table of records is graded without a
-shuffle: columns are compared as sorted multisets, every admissible assignment of answer columns to
-reference columns is enumerated, and rows must line up under one of them.
+shuffle: columns are compared as sorted multisets, and reference columns are given answer columns one by
+one. Answer columns with the same cells count as one that can be given several times, and after each column
+only assignments whose rows so far still line up as a multiset go on, so equal columns do not multiply.
 """
 
 from __future__ import annotations
@@ -47,9 +48,13 @@ def all_close(left: Column, right: Column) -> Column:
     return F.forall(F.zip_with(left, right, close), lambda same: F.coalesce(same, F.lit(False)))
 
 
+def same_values(left: Column, right: Column) -> Column:
+    """Two sorted columns as multisets: compared position by position."""
+    return (F.size(left) == F.size(right)) & all_close(left, right)
+
+
 def columns_match(left: Column, right: Column) -> Column:
-    """Two columns as multisets: sorted, then compared position by position."""
-    return (F.size(left) == F.size(right)) & all_close(F.array_sort(left), F.array_sort(right))
+    return same_values(F.array_sort(left), F.array_sort(right))
 
 
 def _text_cell(text: Column) -> Column:
@@ -101,33 +106,30 @@ def with_match(records: DataFrame, reference: str, predicted: str, percent: Colu
 
     width = lambda rows: F.coalesce(F.size(F.get(F.col(rows), 0)), F.lit(0))
     tables = records.withColumn("_ref", cells(reference)).withColumn("_pred", cells(predicted))
+    in_order = lambda columns: F.transform(columns, lambda column: F.array_sort(column))
     split = tables.withColumn("_spell", F.transform(
         _columns(F.col("_ref"), width("_ref")), lambda column: spellings(column, percent)
     )).withColumn("_found", _columns(F.col("_pred"), width("_pred")))
-    every = F.sequence(F.lit(0), F.size("_found") - 1)
+    split = split.withColumns({
+        "_spell_sorted": F.transform("_spell", in_order), "_found_sorted": in_order(F.col("_found")),
+        # Of each answer column the first one with the same cells.
+        "_kind": F.transform("_found", lambda column: (F.array_position(F.col("_found"), column) - 1).cast("int")),
+    })
+    first_of_kind = F.array_distinct("_kind")
 
     def options(ways: Column) -> Column:
         """(spelling, answer column) pairs that hold the same values as this reference column."""
         return F.flatten(F.transform(
             F.sequence(F.lit(0), F.size(ways) - 1),
             lambda w: F.transform(
-                F.filter(every, lambda k: columns_match(F.get(ways, w), F.get(F.col("_found"), k))),
+                F.filter(first_of_kind, lambda k: same_values(F.get(ways, w), F.get(F.col("_found_sorted"), k))),
                 lambda k: F.struct(w.alias("way"), k.alias("column")),
             ),
         ))
 
     comparable = (F.size("_ref") == F.size("_pred")) & (F.size("_found") >= F.size("_spell")) & (F.size("_ref") > 0)
     nothing = F.array().cast("array<array<struct<way:int,column:int>>>")
-    paired = split.withColumn("_options", F.when(comparable, F.transform("_spell", options)).otherwise(nothing))
-
-    def extend(so_far: Column, choices: Column) -> Column:
-        return F.flatten(F.transform(so_far, lambda chosen: F.transform(
-            F.filter(choices, lambda c: ~F.exists(chosen, lambda x: x["column"] == c["column"])),
-            lambda c: F.concat(chosen, F.array(c)),
-        )))
-
-    start = F.array(F.array().cast("array<struct<way:int,column:int>>"))
-    assigned = paired.withColumn("_assigned", F.aggregate("_options", start, extend))
+    paired = split.withColumn("_options", F.when(comparable, F.transform("_spell_sorted", options)).otherwise(nothing))
     row_numbers = F.sequence(F.lit(0), F.size("_ref") - 1)
 
     def lines_up(chosen: Column) -> Column:
@@ -139,6 +141,20 @@ def with_match(records: DataFrame, reference: str, predicted: str, percent: Colu
             F.zip_with(F.array_sort(wanted), F.array_sort(given), all_close), lambda same: F.coalesce(same, F.lit(False))
         )
 
+    def is_left(chosen: Column, column: Column) -> Column:
+        used = F.size(F.filter(chosen, lambda x: x["column"] == column))
+        return used < F.size(F.filter("_kind", lambda kind: kind == column))
+
+    def extend(so_far: Column, choices: Column) -> Column:
+        longer = F.flatten(F.transform(so_far, lambda chosen: F.transform(
+            F.filter(choices, lambda c: is_left(chosen, c["column"])), lambda c: F.concat(chosen, F.array(c)),
+        )))
+        return F.filter(longer, lines_up)
+
+    start = F.array(F.array().cast("array<struct<way:int,column:int>>"))
+    assigned = paired.withColumn("_assigned", F.aggregate("_options", start, extend))
     both_empty = (F.size("_ref") == 0) & (F.size("_pred") == 0)
-    matched = both_empty | (comparable & F.exists("_assigned", lines_up))
-    return assigned.withColumn("matched", matched).drop("_ref", "_pred", "_spell", "_found", "_options", "_assigned")
+    matched = both_empty | (comparable & (F.size("_assigned") > 0))
+    return assigned.withColumn("matched", matched).drop(
+        "_ref", "_pred", "_spell", "_found", "_spell_sorted", "_found_sorted", "_kind", "_options", "_assigned"
+    )

@@ -1,3 +1,5 @@
+import datetime
+
 from pyspark.sql import functions as F
 
 from basketry.operators import cleaning, star
@@ -39,3 +41,13 @@ def test_fingerprint_ignores_order_and_sees_every_value(raw):
     changed = {**tables, "dim_product": tables["dim_product"].withColumn("description", F.lit("x"))}
     first, again, other = (star.fingerprint(t).first().fingerprint for t in (tables, same, changed))
     assert first == again != other
+
+
+def test_digests_see_microseconds_and_borders(spark):
+    def digest(rows, schema):
+        return star.table_digest(spark.createDataFrame(rows, schema), "t").first().digest
+
+    moment = datetime.datetime(2000, 1, 2, 3, 4, 5, 6)
+    assert digest([(moment,)], "t timestamp_ntz") != digest([(moment.replace(microsecond=7),)], "t timestamp_ntz")
+    assert digest([("a|b", "c")], "x string, y string") != digest([("a", "b|c")], "x string, y string")
+    assert digest([(None, "")], "x string, y string") != digest([("", None)], "x string, y string")
