@@ -172,6 +172,13 @@ def implied_weights(coefficients: DataFrame, step: float = 0.05) -> DataFrame:
     )
 
 
+def weighted_method(scored_outcome: DataFrame, weights: dict[str, float], name: str) -> DataFrame:
+    """(method, customer_id, score, outcome) of a weighted sum of the percentiles."""
+    return scored_outcome.select(
+        F.lit(name).alias("method"), "customer_id", weighted_sum(weights).alias("score"), F.col("future_revenue").alias("outcome")
+    )
+
+
 def worked_examples(tiered: DataFrame) -> DataFrame:
     """A typical Tier 1 customer (score nearest the tier's median) and the biggest spender in Tier 3 or 4."""
     top = tiered.filter(F.col("tier") == "Tier 1")

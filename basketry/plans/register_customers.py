@@ -209,11 +209,15 @@ def f14(ws: Workspace):
 
 HAND, MONEY, EQUAL = "Hand-weighted score", "Monetary only", "Equal weights"
 _EQUAL = [1.0 if w > 0 else 0.0 for w in oracle.WEIGHTS]
-_METHODS = f"""
-methods AS (
-  SELECT '{HAND}' AS method, customer_id, score, future_revenue AS outcome FROM scored_outcome
-  UNION ALL SELECT '{MONEY}', customer_id, monetary, future_revenue FROM scored_outcome
-  UNION ALL SELECT '{EQUAL}', customer_id, {oracle.weighted(_EQUAL)}, future_revenue FROM scored_outcome),
+
+
+def _methods_sql(scores: dict[str, str]) -> str:
+    """Ranks, correlations and captures of methods given as {name: score expression}."""
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS method, customer_id, {s} AS score, future_revenue AS outcome FROM scored_outcome" for m, s in scores.items())
+    return f"methods AS ({rows}),{_JUDGED}"
+
+
+_JUDGED = """
 placed AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, customer_id) AS place,
                   count(*) OVER (PARTITION BY method) AS n, sum(outcome) OVER (PARTITION BY method) AS total FROM methods),
 corr AS (SELECT method, half_even(corr(x, y), 4) AS spearman
@@ -226,6 +230,7 @@ caught AS (SELECT method,
                   half_even(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.2::DOUBLE * n + 1e-9)))::DOUBLE / any_value(total)::DOUBLE, 2) AS capture_top20_pct,
                   half_even(100.0::DOUBLE * (sum(outcome) FILTER (WHERE place <= floor(0.3::DOUBLE * n + 1e-9)))::DOUBLE / any_value(total)::DOUBLE, 2) AS capture_top30_pct
            FROM placed GROUP BY method)"""
+_METHODS = _methods_sql({HAND: "score", MONEY: "monetary", EQUAL: oracle.weighted(_EQUAL)})
 _TOPS = {"capture_top10_pct": 0.10, "capture_top20_pct": 0.20, "capture_top30_pct": 0.30}
 
 
@@ -381,9 +386,46 @@ def v11(ws: Workspace):
     return validation.implied_weights(wide.select(F.inline(cells)))
 
 
+def _learned_weights(ws: Workspace):
+    return validation.implied_weights(validation.coefficients(_logistic(ws), ws.scored()))
+
+
 @register("v11_learned_weights")
 def v11_learned(ws: Workspace):
-    return validation.implied_weights(validation.coefficients(_logistic(ws), ws.scored()))
+    return _learned_weights(ws)
+
+
+# Weights of the kind that rounding gives; with them the whole method can be checked in SQL.
+ROUNDED = "Hand-weighted, learned weights rounded"
+EXAMPLE_WEIGHTS = dict(zip(FEATURES, [0.2, 0.25, 0.3, 0.05, 0.05, 0.1, 0.0, 0.05], strict=True))
+_EXAMPLE = oracle.weighted(list(EXAMPLE_WEIGHTS.values()))
+
+
+def _rounded_method(ws: Workspace):
+    """The learned weights, rounded, as a method of its own (eight weights reach the driver)."""
+    weights = {r["feature"]: r["rounded_weight"] for r in _learned_weights(ws).collect()}
+    return validation.weighted_method(ws.scored_outcome(), weights, ROUNDED)
+
+
+@register("v11_weighted_method", using("scored_outcome", f"WITH {_methods_sql({ROUNDED: _EXAMPLE})} SELECT * FROM corr JOIN caught USING (method)"))
+def v11_weighted(ws: Workspace):
+    return validation.compare_methods(validation.weighted_method(ws.scored_outcome(), EXAMPLE_WEIGHTS, ROUNDED))
+
+
+@register("v11_weighted_tiers", using("scored_outcome", f"""
+WITH r AS (SELECT future_revenue AS outcome, row_number() OVER (ORDER BY {_EXAMPLE} DESC, customer_id) AS place, count(*) OVER () AS n FROM scored_outcome),
+t AS (SELECT *, {oracle.tier('place', 'n')} AS tier FROM r)
+SELECT tier, count(*) AS customers, half_even(sum(outcome)::DOUBLE / count(*), 2) AS mean, half_even(quantile_cont(outcome::DOUBLE, 0.5), 2) AS median,
+       half_even(sum(outcome)::DOUBLE, 2) AS total, half_even(100.0::DOUBLE * count(*) FILTER (WHERE outcome > 0) / count(*), 2) AS pct_active,
+       half_even(100.0::DOUBLE * sum(outcome)::DOUBLE / (SELECT sum(outcome) FROM t)::DOUBLE, 2) AS share_pct FROM t GROUP BY tier"""))
+def v11_tiers(ws: Workspace):
+    return validation.tier_outcomes(tiering.with_tiers(validation.weighted_method(ws.scored_outcome(), EXAMPLE_WEIGHTS, ROUNDED)))
+
+
+@register("v11_rounded_method")
+def v11_rounded(ws: Workspace):
+    """Learned weights, rounded, judged beside the hand score."""
+    return validation.compare_methods(_methods(ws).select("method", "customer_id", "score", "outcome").unionByName(_rounded_method(ws)))
 
 
 def _sensitivity_sql() -> str:
@@ -439,6 +481,14 @@ def v15(ws: Workspace):
 
 @register("v15_learned_verdict")
 def v15_learned(ws: Workspace):
-    both = _methods(ws).select("method", "customer_id", "score", "outcome").unionByName(_logistic_scores(ws)).unionByName(_boosted_scores(ws))
-    return validation.complex_model_verdict(validation.compare_methods(both), [LOGISTIC, *BOOSTED], HAND, MONEY)
+    return validation.complex_model_verdict(all_methods(ws), [LOGISTIC, *BOOSTED], HAND, MONEY)
+
+
+def all_methods(ws: Workspace):
+    """Every method, learned ones included, compared on the same customers."""
+    def build():
+        simple = _methods(ws).select("method", "customer_id", "score", "outcome")
+        return validation.compare_methods(simple.unionByName(_rounded_method(ws)).unionByName(_logistic_scores(ws)).unionByName(_boosted_scores(ws)))
+
+    return ws.written("tier_methods", build)
 

@@ -11,8 +11,8 @@ from basketry.operators.star import table_counts
 from basketry.operators.tiering import FEATURES
 from basketry.plans import analysis
 from basketry.plans.oracle import using
-from basketry.plans.register_customers import HAND, _METHODS, _TIERS, _methods, _tier_table
-from basketry.plans.register_grading import _RECORDS, records, result_sets
+from basketry.plans.register_customers import HAND, _METHODS, _TIERS, _methods, _tier_table, all_methods
+from basketry.plans.register_grading import _RECORDS, records, result_records, result_sets
 from basketry.plans.registry import register
 from basketry.plans.workspace import CUTOFF, Workspace
 from basketry.sources import versions
@@ -112,16 +112,30 @@ _SETS = """(SELECT o.*, coalesce(s.id, o_orderkey || '-0') AS id, n, part, units
 
 
 @register("l4_graded_answers", f"""
-SELECT id, CAST(coalesce(n, 0) AS INTEGER) AS row_count, toxic AS faithful, coalesce(n, 0) AS shown
-FROM {_SETS} LEFT JOIN labels ON doc_id = o_orderkey WHERE o_orderkey % 2 = 0""")
+SELECT id, CAST(coalesce(n, 0) AS INTEGER) AS row_count, toxic AS faithful, coalesce(n, 0) AS shown, n AS reference_shown, cells AS reference_cells
+FROM {_SETS} LEFT JOIN labels ON doc_id = o_orderkey
+LEFT JOIN (SELECT l_orderkey || '-' || at0 // 20 AS set_id, md5(string_agg(part || ',' || units || ',' || day, ';' ORDER BY at0)) AS cells FROM (
+  SELECT l_orderkey, 'P' || l_partkey AS part, CAST(l_quantity AS INTEGER) AS units, strftime(l_shipdate, '%Y-%m-%d') AS day,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'P' || l_partkey, CAST(l_quantity AS INTEGER), l_shipdate::DATE) - 1 AS at0 FROM lineitem)
+  GROUP BY l_orderkey, at0 // 20) refs ON set_id = id
+WHERE o_orderkey % 2 = 0""")
 def l4(ws: Workspace):
+    table = _graded(ws)
+    rows = lambda c: F.from_json(c, "array<array<string>>")
+    cells = F.md5(F.array_join(F.transform(rows("reference_rows"), lambda r: F.array_join(r, ",")), ";"))
+    return table.select(
+        "id", "row_count", "faithful", F.size(rows("rows")).cast("bigint").alias("shown"),
+        F.when(F.col("reference_rows").isNotNull(), F.size(rows("reference_rows")).cast("bigint")).alias("reference_shown"), cells.alias("reference_cells"),
+    )
+
+
+def _graded(ws: Workspace):
+    """First-run answers with the reference of their question and the judge's verdict."""
     answers = _answers(ws)
-    references = answers.select("id", F.col("result").alias("reference"))
+    references = result_records(ws).select("id", "reference")
     flags = ws.source("labels").select(F.col("doc_id").alias("order_key"), F.col("toxic").alias("faithful"))
     verdicts = answers.filter("run = 0").select("id", "run", "order_key").join(flags, "order_key").drop("order_key")
-    table = serving.graded_answers(answers, references, verdicts)
-    shown = F.size(F.from_json("rows", "array<array<string>>")).cast("bigint")
-    return table.select("id", "row_count", "faithful", shown.alias("shown"))
+    return serving.graded_answers(answers, references, verdicts)
 
 
 @register("l5_rendered_results", f"""
@@ -209,7 +223,6 @@ def l12(ws: Workspace):
 
 def serving_tables(ws: Workspace):
     """The eleven tables of the service, ready to be published together."""
-    methods = ws.written("tier_methods", lambda: validation.compare_methods(_methods(ws)))
     documents = ws.source("documents").select("doc_id", "source", "lang", "n_chars", "text")
     meta = ws.spark.range(1).select(F.lit(CUTOFF).alias("scoring_cutoff"), F.lit("pre-aggregated data, no raw lines").alias("note"))
     return {
@@ -219,9 +232,9 @@ def serving_tables(ws: Workspace):
         "kpis": _kpis(ws),
         "customer_scores": serving.customer_scores(ws.scored_outcome(), ws.star("dim_customer")),
         "tier_summary": _tier_table(ws),
-        "tier_methods": methods,
+        "tier_methods": all_methods(ws),
         "quality_checks": ws.written("checks", lambda: quality.run_checks(ws.raw(), ws.sales(), ws.cancellations(), ws.stars())),
-        "eval_answers": records(ws),
+        "eval_answers": _graded(ws),
         "knowledge_docs": documents,
         "meta": meta,
     }
@@ -229,8 +242,9 @@ def serving_tables(ws: Workspace):
 
 @register("s17_serving_export", using("sales scored_outcome", """
 SELECT 'monthly' AS table_name, (SELECT count(DISTINCT date_trunc('month', invoice_date)) FROM sales) AS row_count
-UNION ALL SELECT 'countries', 10 UNION ALL SELECT 'kpis', 9 UNION ALL SELECT 'tier_summary', 4 UNION ALL SELECT 'tier_methods', 3
-UNION ALL SELECT 'quality_checks', 17 UNION ALL SELECT 'meta', 1 UNION ALL SELECT 'eval_answers', (SELECT count(*) FROM events)
+UNION ALL SELECT 'countries', 10 UNION ALL SELECT 'kpis', 9 UNION ALL SELECT 'tier_summary', 4 UNION ALL SELECT 'tier_methods', 8
+UNION ALL SELECT 'quality_checks', 17 UNION ALL SELECT 'meta', 1 UNION ALL SELECT 'eval_answers', (SELECT count(*) FROM (SELECT DISTINCT o_orderkey, coalesce(l_linenumber_block, 0) FROM orders LEFT JOIN
+    (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey) - 1) // 20 AS l_linenumber_block FROM lineitem) ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0))
 UNION ALL SELECT 'knowledge_docs', (SELECT count(*) FROM documents) UNION ALL SELECT 'customer_scores', (SELECT count(*) FROM scored_outcome)
 UNION ALL SELECT 'lorenz', (SELECT count(*) FROM (SELECT row_number() OVER () AS place, count(*) OVER () AS n FROM (SELECT DISTINCT customer_id FROM sales))
                             WHERE (place - 1) % greatest(1, n // 200) = 0 OR place = n)"""))
