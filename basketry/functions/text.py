@@ -99,7 +99,10 @@ def bucket(word: Column) -> Column:
 
     16**15 and 16**2 both leave 256 modulo 384, so each step multiplies the remainder by 256.
     """
-    digest = F.md5(word)
+    return F.get(F.transform(F.array(F.md5(word)), _remainder), F.lit(0))
+
+
+def _remainder(digest: Column) -> Column:
     rest = F.lit(0).cast("bigint")
     for start, digits in ((1, 15), (16, 15), (31, 2)):
         piece = F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
@@ -109,7 +112,7 @@ def bucket(word: Column) -> Column:
 
 def buckets(text: Column) -> Column:
     """The hashed bag of words as a list with one entry per word."""
-    return F.transform(tokens(text), bucket)
+    return F.transform(F.transform(tokens(text), lambda word: F.md5(word)), _remainder)  # one digest per word
 
 
 def normalised(text: Column) -> Column:

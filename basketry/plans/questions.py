@@ -150,7 +150,7 @@ def top_share(sales: DataFrame, k: float) -> DataFrame:
 
 
 def by_two_years(sales: DataFrame, key: str, base: int, later: int) -> DataFrame:
-    return sales.groupBy(key).agg(
+    return sales.filter(in_year(base) | in_year(later)).groupBy(key).agg(
         sum_when(in_year(base)).alias("base"), sum_when(in_year(later)).alias("later")
     )
 

@@ -308,3 +308,29 @@ def g11_all(ws: Workspace):
 def g12(ws: Workspace):
     ranks = r.document_ranks(_doc_hits(ws).filter("policy = 'penalize'"), ["query_id"])
     return r.misses(ranks, _relevance(ws), _questions(ws).select("query_id"))
+
+
+_CHOSEN = f"{_ALL_SCORES}, chosen AS ({_CHOICE})"
+
+
+def _chosen_hits(ws: Workspace):
+    """The hits shown under the setting that the metrics choose."""
+    setting = ws.written("chosen_setting", lambda: r.choose_setting(_metrics(ws, _hits(ws))).select("config", "policy", "k"))
+    return _hits(ws).join(F.broadcast(setting), ["config", "policy"]).filter("rank <= k")  # one row
+
+
+@register("g9_context_at_chosen_setting", f"""WITH {_CHOSEN}
+SELECT query_id, md5(string_agg('[doc: ' || h.doc_id || ' | ' || CASE WHEN lang = 'en' THEN 'metric_definition' ELSE 'faq' END || ' | updated 2011-06-20 | '
+         || CASE WHEN toxic = 1 THEN 'DEPRECATED, superseded by ' || (d.doc_id - 1) ELSE 'current' END || ']' || chr(10)
+         || cu.text, chr(10) || chr(10) ORDER BY rank)) AS context_md5
+FROM hits h JOIN chosen c ON c.config = h.config AND c.policy = h.policy AND h.rank <= c.k JOIN cu ON cu.config = h.config AND cu.chunk_id = h.chunk_id
+JOIN documents d ON CAST(d.doc_id AS VARCHAR) = h.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY query_id""")
+def g9_chosen(ws: Workspace):
+    shown = _chosen_hits(ws)
+    held = _chunks(ws).join(F.broadcast(shown.select("config").distinct()), "config", "left_semi")
+    return r.context_blocks(shown, held, ["query_id"]).select("query_id", F.md5("context").alias("context_md5"))
+
+
+@register("g12_misses_at_chosen_setting", f"WITH {_CHOSEN} SELECT query_id FROM scores JOIN chosen USING (config, policy, k) WHERE hit = 0")
+def g12_chosen(ws: Workspace):
+    return r.misses(r.document_ranks(_chosen_hits(ws), ["query_id"]), _relevance(ws), _questions(ws).select("query_id"))

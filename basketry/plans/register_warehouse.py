@@ -666,10 +666,11 @@ def _models(ws: Workspace):
         "fact_sales": ws.star("fact_sales"), "fact_cancellations": ws.star("fact_cancellations"),
         "stg_sales": ws.stg_sales(), "stg_cancellations": ws.stg_cancellations(),
         "stg_products": marts.stg_products(ws.star("dim_product")), "stg_dates": marts.stg_dates(ws.star("dim_date")),
-        "fct_sales": ws.stg_sales(), "fct_cancellations": ws.stg_cancellations(),
+        "fct_sales": ws.written("mart_fct_sales", lambda: marts.fct_sales(ws.stg_sales())),
+        "fct_cancellations": ws.written("mart_fct_cancellations", lambda: marts.fct_cancellations(ws.stg_cancellations())),
         "dim_customer": ws.written("mart_dim_customer", lambda: marts.dim_customer(ws.stg_sales(), ws.stg_cancellations())),
         "dim_product": ws.written("mart_dim_product", lambda: marts.dim_product(marts.stg_products(ws.star("dim_product")), ws.stg_sales())),
-        "dim_date": marts.stg_dates(ws.star("dim_date")),
+        "dim_date": ws.written("mart_dim_date", lambda: marts.dim_date(marts.stg_dates(ws.star("dim_date")))),
         "mart_customer_features": ws.snapshots(), "mart_customer_tiers": ws.scored(),
     }
 
