@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.cleaning import is_non_product
-from basketry.operators.ranking import running_totals
+from basketry.operators.ranking import row_positions
 
 TABLES = ["dim_date", "dim_customer", "dim_product", "fact_sales", "fact_cancellations"]
 PRIMARY_KEYS = {
@@ -88,18 +88,14 @@ def products(sales: DataFrame, cancellations: DataFrame) -> DataFrame:
 def fact(lines: DataFrame, line_id: str) -> DataFrame:
     """Line-grain fact with line ids 1..n in the order of its columns.
 
-    Identical lines are counted before they are ordered and expanded afterwards in bounded pieces, so
-    neither the ordering nor the expansion depends on how often a line repeats.
+    Identical lines are counted and given copy numbers, in bounded pieces, before they are ordered: the copies of a
+    line that repeats very often are spread over slices like different lines, and the ordering is the only
+    shuffle after the count.
     """
     counted = lines.groupBy(*FACT_COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
-    placed = running_totals(counted, FACT_COLUMNS, {"upto": "copies"})
-    pieces = placed.withColumn(
-        "piece", F.explode(F.sequence(F.col("upto") - F.col("copies") + 1, F.col("upto"), F.lit(_COPIES_PER_TASK)))
-    )
-    numbered = pieces.withColumn(
-        line_id,
-        F.explode(F.sequence("piece", F.least(F.col("piece") + (_COPIES_PER_TASK - 1), F.col("upto")))),
-    )
+    pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"), F.lit(_COPIES_PER_TASK).cast("bigint"))))
+    copies = pieces.withColumn("copy", F.explode(F.sequence("piece", F.least(F.col("piece") + (_COPIES_PER_TASK - 1), F.col("copies")))))
+    numbered = row_positions(copies.drop("copies", "piece"), [*FACT_COLUMNS, "copy"], line_id)
     return numbered.select(
         F.col(line_id).cast("bigint").alias(line_id),
         "invoice",
