@@ -24,6 +24,8 @@ CHOICE_SLACK = 0.02
 _QUERIES_PER_BLOCK = 2_000
 _SCORES_PER_STEP = 2_000_000
 _HIT_COLUMNS = ["policy", "query_id", "grouping", "chunk_id", "doc_id", "similarity", "score"]
+# Words of the questions that are broadcast to the documents; more are joined by a shuffle.
+_BROADCAST_WORDS = 200_000
 
 
 def chunk_documents(documents: DataFrame, configs: dict[str, int | None] = CONFIGS, overlap: int = 16) -> DataFrame:
@@ -226,7 +228,10 @@ def rarest_word_relevance(questions: DataFrame, documents: DataFrame) -> DataFra
     held = documents.select(
         "doc_id", "deprecated", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word")
     )
+    # Only the questions' words are looked for, so frequent words of the documents are not shuffled.
     wanted = asked.select("word").distinct()
+    if wanted.count() <= _BROADCAST_WORDS:
+        wanted = F.broadcast(wanted)
     postings = held.join(wanted, "word", "left_semi")
     frequency = postings.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
     rarest = asked.join(frequency, "word").groupBy("query_id").agg(F.min(F.struct("docs", "word")).alias("best"))

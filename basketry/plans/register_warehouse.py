@@ -200,7 +200,7 @@ def _front_matter(ws: Workspace):
     name = F.concat(F.lit("doc-"), F.col("doc_id"))
     toxic = F.coalesce("toxic", F.lit(0)) == 1
     lines = F.concat_ws(
-        "\n", F.lit("---"), F.concat(F.lit("id: "), name), F.concat(F.lit("title: Document "), F.col("doc_id")),
+        "\n", F.lit("---"), F.concat(F.lit("id: "), name), F.concat(F.lit('title: "Document '), F.col("doc_id"), F.lit('"')),
         F.concat(F.lit("doc_type: "), F.when(F.col("lang") == "en", "metric_definition").otherwise("faq")),
         F.concat(F.lit("owner: "), F.col("source")), F.lit("last_updated: 2011-06-20"),
         F.concat(F.lit("deprecated: "), F.when(toxic, "true").otherwise("false")),
@@ -232,6 +232,14 @@ def s11_validation(ws: Workspace):
     return documents.invalid_documents(documents.parse_front_matter(_front_matter(ws)))
 
 
+@register("s11_document_validation_of_lost_successors", """
+SELECT 'doc-' || doc_id AS doc_id, 'deprecated without an existing successor' AS problem FROM documents JOIN labels USING (doc_id) WHERE toxic = 1""")
+def s11_faulty(ws: Workspace):
+    """The same validation after a rename that left every successor behind."""
+    renamed = _front_matter(ws).withColumn("content", F.regexp_replace("content", "(?m)^superseded_by: ", "superseded_by: former-"))
+    return documents.invalid_documents(documents.parse_front_matter(renamed))
+
+
 QUESTION_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("difficulty", T.StringType()),
     T.StructField("question", T.StringType()), T.StructField("unit", T.StringType()),
@@ -811,6 +819,16 @@ def t8(ws: Workspace):
     return marts.tier_share_deviations(ws.scored(), TIER_SHARES)
 
 
+@register("t8_tier_shares_of_a_lost_tier", using("scored", """
+SELECT tier, n, total, share FROM (VALUES ('Tier 1', 0.10::DOUBLE), ('Tier 2', 0.20::DOUBLE), ('Tier 3', 0.30::DOUBLE), ('Tier 4', 0.40::DOUBLE)) e(tier, share)
+LEFT JOIN (SELECT CASE tier WHEN 'Tier 1' THEN 'Tier 2' ELSE tier END AS tier, count(*) AS n FROM scored GROUP BY 1) USING (tier), (SELECT count(*) AS total FROM scored)
+WHERE n IS NULL OR abs(n - share * total) > 1"""))
+def t8_lost(ws: Workspace):
+    """The same test on scores whose best tier fell into the second."""
+    fallen = F.when(F.col("tier") == "Tier 1", "Tier 2").otherwise(F.col("tier"))
+    return marts.tier_share_deviations(ws.scored().withColumn("tier", fallen), TIER_SHARES)
+
+
 @register("t9_results_by_kind", using(_TESTED, f"""WITH {_MODELS}
 SELECT test, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status, count(*) AS tests
 FROM ({_T1} UNION ALL {_T2} UNION ALL {_T3} UNION ALL {_T4} UNION ALL {_T5}) GROUP BY 1, 2"""))
