@@ -18,7 +18,7 @@ document. An empty table gives no rows. A very long text makes many full sequenc
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,36 @@ END_ID = 1
 #: Documents and tokens of a shard.
 SHARD_DOCUMENTS, SHARD_TOKENS = 1024, 1_000_000
 K1, B = 1.2, 0.75
-#: Chunks kept by a worker; beyond it the cache starts anew.
-CACHE_CHUNKS = 500_000
+#: Chunks in a generation of a worker's cache; it keeps two.
+CACHE_CHUNKS = 400_000
 
 #: White space for str.split() but not for the vocabulary's normaliser.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Marks that a word's ids do not depend on; the vocabulary splits them off.
+_STOPS = ".,"
+
+
+class _Recent(dict):
+    """Ids by chunk, bounded in two generations: what is asked for moves to the new one; the old one goes when it fills."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._encode = encode
+        self._old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._old.get(chunk)
+        if ids is None:
+            if chunk[-1] in _STOPS and chunk[:-1].isalpha():
+                return self[chunk[:-1]] + self[chunk[-1]]  # a word with its full stop or comma is not kept
+            ids = self._encode(chunk)
+        self[chunk] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > CACHE_CHUNKS:
+            self._old = dict(self)
+            self.clear()
 
 
 class WordIds:
@@ -50,27 +75,28 @@ class WordIds:
         self._library.no_truncation()
         self._library.no_padding()
         self.size = self._library.get_vocab_size()
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        new = set().union(*split)
-        missing = list(new - self._known.keys())
-        if len(self._known) + len(missing) > CACHE_CHUNKS:
-            self._known.clear()
-            missing = list(new)
-        self._known.update(zip(missing, self._encode(missing)))
-        out = []
-        for text, chunks in zip(texts, split):
-            if any(c in text for c in _SEPARATORS):
-                ids = self._encode([text])[0]
-            else:
-                ids = b"".join(map(self._known.__getitem__, chunks))
-            out.append(np.frombuffer(ids, np.uint32))
-        return out
+        self._known = _Recent(self._encode)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def of(self, text: str) -> np.ndarray:
+        if any(c in text for c in _SEPARATORS):
+            ids = self._encode(text)
+        else:
+            # The vocabulary lower-cases; within Latin-1 that can be done first, so that fewer chunks differ.
+            chunks = (text.lower() if _in_latin_1(text) else text).split()
+            ids = b"".join(map(self._known.__getitem__, chunks))
+            self._known.trim()
+        return np.frombuffer(ids, np.uint32)
+
+
+def _in_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _encoders: dict[str, WordIds] = {}
@@ -96,9 +122,9 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 coded = []
-                for ids in encoder.of([t or "" for t in batch.column(1).slice(i, 256).to_pylist()]):
-                    ids = np.concatenate([ids, end])
-                    counts[np.unique(ids)] += 1
+                for text in batch.column(1).slice(i, 256).to_pylist():
+                    ids = np.concatenate([encoder.of(text or ""), end])
+                    counts[ids] += 1  # once per document: repeated indices are written once
                     counts[-2] += 1
                     counts[-1] += len(ids) % length
                     coded.append(ids.astype("<u4").tobytes())
