@@ -11,8 +11,9 @@ least the threshold are linked, and every link is confirmed on the full sets.
    a bucket of n members gives n - 1 pairs. Pairs whose set sizes alone rule the threshold out are left away.
 4. Candidates' sets are written once and intersected. Links give components (iterated minimum labels with
    pointer jumping, each round written to the shared folder).
-5. Buckets whose members still lie in more than one component get a new hub, chosen by a hash of the round, and
-   members of other components are compared with it; this repeats until a round brings no new link.
+5. A hub that has met its bucket leaves it. Buckets whose members still lie in more than one component get a new hub,
+   chosen by a hash of the round, and members of other components are compared with it; buckets whose members lie
+   in one component are done. This repeats until a round brings no new link.
 
 Null, empty and wordless texts have an empty set and are linked with nothing. Rows with the same doc_id count as
 one document; a null doc_id is linked with nothing and its component is null. Sets are held as 64-bit hashes.
@@ -106,6 +107,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: only the linked components are joined to each other, not their members again."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left")
+    ends = written(ends.select("node", "label", F.coalesce("label", "node").alias("root")), "ends")
+    roots = links.join(ends.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(
+        ends.select(F.col("node").alias("b"), F.col("root").alias("y")), "b"
+    )
+    joined = components(roots.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a != b").distinct())
+    known = labels.union(ends.filter("label is null").select("node", "root"))
+    moved = joined.select(F.col("node").alias("label"), F.col("label").alias("low"))
+    return written(known.join(moved, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "merged")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
@@ -144,18 +158,22 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
 
     star = buckets.filter(_fits(percent)).filter("hub.doc_id != doc_id")
     pairs = written(star.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    tested, found = pairs, written(_confirmed(pairs, texts, percent), "confirmed")
-    links = found
-    labels = components(links)
-    turn = 0
+    labels = components(written(_confirmed(pairs, texts, percent), "confirmed"))
+    # A hub has met its whole bucket, so only the others go on.
+    open_ = buckets.filter("hub.doc_id != doc_id").select("band", "doc_id", "n")
+    tested, turn = pairs, 0
     while True:
         turn += 1
-        pairs = written(_open_pairs(buckets, labels, tested, turn, percent), "pairs")
+        open_ = written(_with_new_hubs(open_, labels, turn), "open")
+        met = open_.filter("hub.label != label").filter(_fits(percent))
+        pairs = met.select(F.least("hub.doc_id", "doc_id").alias("a"), F.greatest("hub.doc_id", "doc_id").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = written(_confirmed(pairs, texts, percent), "confirmed")
         if not found.limit(1).count():
             break
-        links, tested = links.union(found), tested.union(pairs)
-        labels = components(links)
+        tested = tested.union(pairs)
+        labels = _merged(labels, found)
+        open_ = open_.filter("hub.doc_id != doc_id").select("band", "doc_id", "n")
 
     # Copies hang on their class's stand-in, so one more lookup gives their component.
     named = written(copies.join(labels.withColumnRenamed("node", "a"), "a", "left").select(
@@ -168,18 +186,15 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     )
 
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, tested: DataFrame, turn: int, percent: int) -> DataFrame:
-    """New hub-member pairs of the buckets whose members lie in more than one component."""
-    at = buckets.select("band", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    at = at.withColumn("label", F.coalesce("label", "doc_id"))
+def _with_new_hubs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Members of the buckets that still lie in more than one component, with their label and a hub of this turn."""
+    at = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    at = at.select("band", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     order = F.xxhash64(F.lit(turn), "doc_id")
     opened = at.groupBy("band").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("doc_id", "n", "label"), order).alias("hub")
     )
-    opened = opened.filter("low != high").select("band", "hub")
-    met = at.join(opened, "band").filter("hub.label != label").filter(_fits(percent))
-    pairs = met.select(F.least("hub.doc_id", "doc_id").alias("a"), F.greatest("hub.doc_id", "doc_id").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    return at.join(opened.filter("low != high").select("band", "hub"), "band")
 
 
 def keep_one_of_each_group(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:

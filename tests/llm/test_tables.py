@@ -183,6 +183,15 @@ def test_near_duplicates_against_exact_groups(spark, monkeypatch, ids):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want and all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_components_and_their_merging(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20, 40)] + [(1, 2), (3, 4)], "a long, b long")
+    labels = near_dedup.components(links)
+    assert dict(labels.collect()) == {**{i: 20 for i in range(20, 41)}, 1: 1, 2: 1, 3: 3, 4: 3}
+    more = spark.createDataFrame([(2, 4), (5, 6), (3, 6), (7, 8), (30, 50)], "a long, b long")
+    assert dict(near_dedup._merged(labels, more).collect()) == {
+        **{i: 20 for i in [*range(20, 41), 50]}, **{i: 1 for i in range(1, 7)}, 7: 7, 8: 7}
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     assert near_dedup.groups(nothing).count() == 0 and near_dedup.keep_one_of_each_group(nothing).count() == 0
     rows = near_dedup.groups(odd).collect()
@@ -273,7 +282,7 @@ def test_word_ids_are_the_librarys():
     library.no_truncation()
     library.no_padding()
     texts = ["Hello  WORLD\tÉcole école", "a\x1cb \x1f c", "ΣΑΣ Σ <|endoftext|> x<|startoftext|>y", "don't 12 日本 😀", "", " \n"]
-    assert [x.tolist() for x in coder.of(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [coder.of(x).tolist() for x in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_neighbours_are_the_best_by_bm25():
