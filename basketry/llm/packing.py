@@ -34,7 +34,7 @@ END_ID = 1
 SHARD_DOCUMENTS, SHARD_TOKENS = 1024, 1_000_000
 K1, B = 1.2, 0.75
 #: Chunks in a generation of a worker's cache; it keeps two.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 
 #: White space for str.split() but not for the vocabulary's normaliser.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
