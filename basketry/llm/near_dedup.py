@@ -13,7 +13,10 @@ least the threshold are linked, and every link is confirmed on the full sets.
    pointer jumping, each round written to the shared folder).
 5. A hub that has met its bucket leaves it. Buckets whose members still lie in more than one component get a new hub,
    chosen by a hash of the round, and members of other components are compared with it; buckets whose members lie
-   in one component are done. This repeats until a round brings no new link.
+   in one component are done. This repeats until a round brings no new link, at most ``HUB_ROUNDS`` times.
+6. The members of buckets that are still open are compared without hubs, all in one step: two sets that reach the
+   threshold share one of the first shingles of each, rare ones first (prefix filter), so documents of different
+   components with such a shingle in common are the candidates. No pair that shares a bucket stays undecided.
 
 Null, empty and wordless texts have an empty set and are linked with nothing. Rows with the same doc_id count as
 one document; a null doc_id is linked with nothing and its component is null. Sets are held as 64-bit hashes.
@@ -36,6 +39,8 @@ THRESHOLD_PERCENT = 75
 BIN_BITS, ROWS_PER_BAND = 7, 4
 #: Candidate ids up to this many (8 bytes each) are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rounds with new hubs; what they leave open is compared by prefixes.
+HUB_ROUNDS = 8
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -120,12 +125,20 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.join(moved, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "merged")
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The sets of the documents with these distinct ids."""
+    ids = written(ids, "candidates")
+    few = ids.count() <= BROADCAST_IDS
+    return shingle_sets(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
-    few = ids.count() <= BROADCAST_IDS
-    asked = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = written(shingle_sets(asked), "sets")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return _agreeing(pairs, written(_sets_of(ids, texts), "sets"), percent)
+
+
+def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
@@ -133,9 +146,50 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * shared >= percent * together).select("a", "b").distinct()
 
 
-def _fits(percent: int):
+def _fits(percent: int, one: str = "hub.n", other: str = "n"):
     """Set sizes that do not rule the threshold out."""
-    return 100 * F.least("hub.n", "n") >= percent * F.greatest("hub.n", "n")
+    return 100 * F.least(one, other) >= percent * F.greatest(one, other)
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, doc_id, n, label): the shingles of which one is shared by every two sets of different labels that
+    reach the threshold.
+
+    Such sets share at least ``least`` shingles of each, so whatever the order of all shingles, the first shared one
+    is among the first n - least + 1 of both. Shingles of one label alone are shared by no such sets; they come
+    first and are left away. The others are ordered by the number of sets with them.
+    """
+    shingles = sets.select("entry", "label", F.explode("shingles").alias("shingle"))
+    spread = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
+    spread = spread.filter("low != high").select("shingle", "sets")
+    shared = shingles.join(spread, "shingle").groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
+    least = F.ceil(F.col("n") * percent / 100)
+    first = (F.size("shared") - least + 1).cast("int")
+    cut = sets.select("entry", "doc_id", "n", "label").join(shared, "entry").filter(first > 0)
+    cut = cut.select("doc_id", "n", "label", F.explode(F.slice("shared", F.lit(1), first)).alias("s"))
+    return cut.select("s.shingle", "doc_id", "n", "label")
+
+
+def _rest(open_: DataFrame, tested: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All links between different components among the members of open buckets that are not among those tested."""
+    members = written(open_.select("doc_id", "label").distinct(), "members")
+    sets = _sets_of(members.select("doc_id"), texts).join(members, "doc_id")
+    sets = sets.select("doc_id", "label", F.size("shingles").cast("long").alias("n"), "shingles", F.monotonically_increasing_id().alias("entry"))
+    sets = written(sets.filter("n > 0"), "open_sets")
+    prefixes = written(_prefixes(sets, percent), "prefixes")
+
+    # Each shingle's largest component is not paired with itself, so at most about twice as many pairs are looked at as differ.
+    sizes = prefixes.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("shingle").agg(
+        F.max_by("label", F.struct("size", "label")).alias("largest"), F.min("label").alias("low"), F.max("label").alias("high")
+    ).filter("low != high").select("shingle", "largest")
+    one = prefixes.join(largest, "shingle").filter("label != largest").select(
+        "shingle", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), "largest"
+    )
+    met = one.join(prefixes, "shingle").filter("label != x_label and (label = largest or x < doc_id)").filter(_fits(percent, "x_n", "n"))
+    pairs = met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    return written(_agreeing(pairs, sets.select("doc_id", "shingles"), percent), "confirmed")
 
 
 def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -161,19 +215,23 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     labels = components(written(_confirmed(pairs, texts, percent), "confirmed"))
     # A hub has met its whole bucket, so only the others go on.
     open_ = buckets.filter("hub.doc_id != doc_id").select("band", "doc_id", "n")
-    tested, turn = pairs, 0
-    while True:
-        turn += 1
+    tested = pairs
+    for turn in range(1, HUB_ROUNDS + 1):
         open_ = written(_with_new_hubs(open_, labels, turn), "open")
         met = open_.filter("hub.label != label").filter(_fits(percent))
         pairs = met.select(F.least("hub.doc_id", "doc_id").alias("a"), F.greatest("hub.doc_id", "doc_id").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = written(_confirmed(pairs, texts, percent), "confirmed")
+        tested = tested.union(pairs)
+        open_ = open_.filter("hub.doc_id != doc_id").select("band", "doc_id", "n")
         if not found.limit(1).count():
             break
-        tested = tested.union(pairs)
         labels = _merged(labels, found)
-        open_ = open_.filter("hub.doc_id != doc_id").select("band", "doc_id", "n")
+    open_ = written(_with_new_hubs(open_, labels, HUB_ROUNDS + 1), "open")
+    if open_.limit(1).count():
+        found = _rest(open_, tested, texts, percent)
+        if found.limit(1).count():
+            labels = _merged(labels, found)
 
     # Copies hang on their class's stand-in, so one more lookup gives their component.
     named = written(copies.join(labels.withColumnRenamed("node", "a"), "a", "left").select(

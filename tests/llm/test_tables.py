@@ -183,6 +183,23 @@ def test_near_duplicates_against_exact_groups(spark, monkeypatch, ids):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want and all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def crowded(spark):
+    """Unlinked texts with one long passage; two of them are alike since it is most of their text, but neither is a hub."""
+    passage = " ".join(f"p3x{k}" for k in range(304))
+    own = {i: 120 + i % 80 for i in range(200)} | {171: 40, 193: 40}
+    rows = [(3000 + i, passage + "".join(f" o3x{i}x{k}" for k in range(n))) for i, n in own.items()]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("rounds", [near_dedup.HUB_ROUNDS, 0])
+def test_links_in_crowded_buckets_are_found(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", rounds)
+    docs = crowded(spark)
+    want = _exact_groups(dict(docs.collect()))
+    assert want[3193][1] == 3171
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(docs).collect()} == want
+
+
 def test_components_and_their_merging(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 40)] + [(1, 2), (3, 4)], "a long, b long")
     labels = near_dedup.components(links)
