@@ -2,7 +2,8 @@
 
 Fuzzy search: a notice that may have k edits is cut into k + 1 seeds; at most k edits leave at least one seed
 intact (pigeonhole), so the exact occurrences of the seeds are all places a notice can be. Around each the regex
-library searches the notice with at most k errors and reports its span and edits.
+library searches the notice with at most k errors and reports its span and edits. It takes the best match of the
+place first; what stands before and after that is searched again, until nothing more is found.
 
 Texts are lower-cased (A-Z) and reduced to words, runs of digits, letters a-z and characters beyond ASCII,
 joined by one space; word positions count from 0, spans are word ranges. Null texts count as empty: no words,
@@ -74,6 +75,16 @@ def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT) -> Notic
     return Notice(text, label, edits, seeds, pattern)
 
 
+def matches(pattern: regex.Pattern, words: bytes, start: int, end: int, least: int) -> Iterator[regex.Match]:
+    """Best match of a range, then those of the parts on both sides; no match is shorter than ``least``."""
+    parts = [(start, end)]
+    while parts:
+        start, end = parts.pop()
+        if end - start >= least and (m := pattern.search(words, start, end)):
+            yield m
+            parts += [(start, m.start()), (m.end(), end)]
+
+
 class Scanner:
     def __init__(self, phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]], chars_per_edit: int) -> None:
         self.phrases = [(f" {p} ".encode(), label, len(p.split())) for p, label in phrases]
@@ -116,7 +127,7 @@ class Scanner:
                 else:
                     merged.append([start, end])
             for start, end in merged:
-                for m in n.pattern.finditer(words, start, end):
+                for m in matches(n.pattern, words, start, end, len(n.text) - n.edits):
                     a, b = m.span()
                     while a < b and words[a : a + 1] == b" ":
                         a += 1

@@ -92,6 +92,18 @@ def test_license_base_counts(spark, odd):
     assert got == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("all rights reservd all rights reserved", [(0, 2, 1), (3, 5, 0)]),
+    ("all rights reserved all rights reservd", [(0, 2, 0), (3, 5, 1)]),
+    ("x all right reserved foo all rights reserved all rigths reserved", [(1, 3, 1), (5, 7, 0), (8, 10, 2)]),
+    ("all rights reservd all right reserved all rights reserved", [(0, 2, 1), (3, 5, 1), (6, 8, 0)]),
+])
+def test_notices_close_together_are_all_reported(text, want):
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, license_scan.CHARS_PER_EDIT)
+    found = sorted((first, last, edits) for first, last, _, edits, _ in scanner.fuzzy(license_scan.normalised(text.encode())))
+    assert found == want
+
+
 def test_license_notices_with_edits(spark, nothing):
     assert license_scan.scan(nothing).count() == 0
     texts = ["Here: Relesed undr the MIT Licence today", "released under the mit license", "all rights resrvd", "nothing of the kind, all writes observed", "released under the full moon"]
