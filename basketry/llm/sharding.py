@@ -4,8 +4,8 @@ Every document has metadata coordinates that depend on its text and label alone:
 text checksum. A node is split at the weighted median (weights are bytes) along its widest dimension, widths taken
 relative to the whole corpus, until it is one shard. Medians are exact and distributed: a histogram of byte sums
 over the node's range is aggregated, the bin with the median is cut again into bins, until it holds a single value.
-Ties along a dimension are ordered by the text's checksum, so equal texts lie together; cuts fall between two
-checksums, at the one nearer to the median. Only where that leaves a node more than ``TOLERANCE_PERCENT`` off balance,
+Ties along a dimension are ordered by the text's checksum, so equal texts lie together, except that copies
+with different or null labels may part along the language; cuts fall between two checksums, at the one nearer to the median. Only where that leaves a node more than ``TOLERANCE_PERCENT`` off balance,
 because one group of copies is very large, the cut goes through the group, by doc_id.
 
 The driver sees at most nodes times bins sums at a time. The texts are read once, to write (doc_id, size,
