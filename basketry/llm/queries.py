@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, quality_rules, secret_scan, sharding, url_filter
+from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, prefix_trie, quality_rules, ranked_search, secret_scan, sharding, url_filter
 from basketry.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,56 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = secret_scan.common_pieces(public_tokenizers.path("word_bpe_49k.json"))
     return secret_scan.scan(table(spark, sf_dir, "documents"), pieces)
+
+
+_OP11_SQL = r"""
+WITH t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS cell,
+                  len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(cell ORDER BY turn NULLS FIRST, cell) AS cells FROM t GROUP BY conv_id),
+w AS (SELECT DISTINCT cell, words FROM t),
+bits AS (SELECT i FROM range(0, 256) AS r(i)),
+step AS (SELECT i, i AS c, 0 AS k FROM bits UNION ALL
+         SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS table_of FROM step WHERE k = 8),
+h AS (SELECT conv_id, cells, conv_id - conv_id % 20 AS base,
+             CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                      lambda acc, b: xor(acc >> 8, table_of[CAST(xor(acc, b) & 255 AS INTEGER) + 1])), 4294967295) % 4 AS INTEGER) AS h FROM own, crc),
+r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.cells, 1, h), []), list_slice(h.cells, h + 1, len(h.cells))) AS path FROM h LEFT JOIN own b ON b.conv_id = h.base),
+p AS (SELECT conv_id, d, md5(array_to_string(list_slice(path, 1, d), '')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(list_slice(path, 1, d - 1), '')) END AS parent,
+             CASE WHEN d > 0 THEN path[d] END AS cell, d = len(path) AS last FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM r)),
+n AS (SELECT node, any_value(parent) AS parent, any_value(d) AS depth, any_value(cell) AS cell, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM p GROUP BY node),
+k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(words, 0) AS saved FROM n LEFT JOIN k USING (node) LEFT JOIN w USING (cell)),
+up AS (SELECT node, node AS top FROM n UNION ALL SELECT up.node, n.parent FROM up JOIN n ON n.node = up.top WHERE n.parent IS NOT NULL),
+s AS (SELECT top, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM up JOIN v ON v.node = up.node GROUP BY top)
+SELECT v.conv_id, depth, q.conv_id AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM (SELECT node, parent, depth, conv_id, n_convs, n_children, ends_sha256 FROM v) v JOIN s ON s.top = v.node LEFT JOIN (SELECT node, conv_id FROM n) q ON q.node = v.parent
+"""
+
+
+@register("op11_prefix_trie", _OP11_SQL.replace("WITH t", "WITH RECURSIVE t", 1))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.branched_paths(table(spark, sf_dir, "conversations")))
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS terms FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0),
+m AS (SELECT row, doc_id, 10 + (90 * len(terms) * n) // l AS m, terms FROM d, g WHERE len(terms) > 0),
+f AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), g),
+s AS (SELECT item_id, m.row, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM i JOIN f USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY item_id, m.row)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@register("op13_ranked_search", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
