@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, packing, prefix_trie, quality_rules, ranked_search, secret_scan, sharding, url_filter
+from basketry.llm import bpe, fingerprint, language_id, license_scan, near_dedup, ngram_scores, packing, prefix_trie, quality_rules, ranked_search, secret_scan, sharding, url_filter
 from basketry.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +155,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(prefix_trie.branched_paths(table(spark, sf_dir, "conversations")))
 
 
+@register("op12_katz_scores")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_scores.score(table(spark, sf_dir, "documents"))
+
+
 _OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS terms FROM documents),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.llm import prefix_trie, ranked_search
+from basketry.llm import ngram_scores, prefix_trie, ranked_search
 from basketry.llm.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -145,3 +145,100 @@ def test_ranks_of_nothing(spark, odd, nothing):
     items = spark.createDataFrame([(1, "the fox")], "item_id long, text string")
     assert ranked_search.search(items, nothing).count() == 0
     assert ranked_search.search(items.limit(0), odd).count() == 0
+
+
+# Language-model scores
+
+class PlainKatz:
+    """The same model with dictionaries, token by token."""
+
+    END, START = ("end",), ("start",)
+
+    def __init__(self, docs):
+        train = [self.tokens(t) for i, t in docs if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+        self.words = Counter(w for t in train for w in t)
+        self.pairs = Counter(p for t in train for p in zip([self.START, *t], t))
+        self.n, self.v = sum(self.words.values()), len(self.words)
+        self.context = Counter()
+        self.after = defaultdict(list)
+        for (v, w), c in self.pairs.items():
+            self.context[v] += c
+            self.after[v].append(w)
+        self.d1, self.d2 = self.discounts(self.words), self.discounts(self.pairs)
+        self.rest = 1 - sum(self.mass(c, self.d1) for c in self.words.values()) / self.n if self.n else 1.0
+
+    def tokens(self, text):
+        lowered = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        return [*re.findall(r"[^\x20\x09-\x0D]+", lowered), self.END]
+
+    def discounts(self, counts):
+        n = Counter(counts.values())
+        for k in (5, 4, 3, 2, 1):
+            if all(n[r] for r in range(1, k + 2)):
+                out = (k + 1) * n[k + 1] / n[1]
+                d = {r: ((r + 1) * n[r + 1] / n[r] / r - out) / (1 - out) if out != 1 else -1 for r in range(1, k + 1)}
+                if out < 1 and all(0 < x < 1 for x in d.values()):
+                    return d
+        return {}
+
+    def mass(self, c, d):
+        return d[c] * c if c in d else c - 0.5
+
+    def word(self, w):
+        return self.mass(self.words[w], self.d1) / self.n if self.words[w] else self.rest
+
+    def p(self, v, w):
+        if not self.context[v]:
+            return self.word(w)
+        if self.pairs[v, w]:
+            return self.mass(self.pairs[v, w], self.d2) / self.context[v]
+        left = 1 - sum(self.mass(self.pairs[v, x], self.d2) for x in self.after[v]) / self.context[v]
+        return left / (1 - sum(self.word(x) for x in self.after[v])) * self.word(w)
+
+    def row(self, i, text):
+        t = self.tokens(text)
+        base = sum(math.log10((self.words[w] + 1) / (self.n + self.v + 1)) for w in t)
+        return (i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(t), sum(self.words[w] > 0 for w in t), self.n, base,
+                sum(math.log10(self.p(v, w)) for v, w in zip([self.START, *t], t)))
+
+
+def assert_scores(docs):
+    rows = docs.collect()
+    model = PlainKatz([(r.doc_id, r.text) for r in rows])
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    key = lambda r: tuple(str(x) if k < 5 else round(x, 3) for k, x in enumerate(r))
+    got = sorted((tuple(r[c] for c in columns) for r in ngram_scores.score(docs).collect()), key=key)
+    want = sorted((model.row(r.doc_id, r.text) for r in rows), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-9)
+    return model
+
+
+@pytest.mark.parametrize("block, chars, part", [(ngram_scores.BLOCK_TOKENS, ngram_scores.CHARS_PER_PART, ngram_scores.TOKENS_PER_PART), (300, 20_000, 3000)])
+def test_scores_against_plain_katz(spark, monkeypatch, block, chars, part):
+    for name, value in (("BLOCK_TOKENS", block), ("CHARS_PER_PART", chars), ("TOKENS_PER_PART", part)):
+        monkeypatch.setattr(ngram_scores, name, value)
+    model = assert_scores(table(spark, SF, "documents").select("doc_id", "text"))
+    assert len(model.d1) == 5
+    for v in [*list(model.after)[::97], model.START, "never seen"]:
+        assert abs(sum(model.p(v, w) for w in [*model.words, "never seen"]) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("part", [ngram_scores.TOKENS_PER_PART, 2000])
+def test_scores_of_odd_texts_and_of_one_word(spark, monkeypatch, odd, nothing, part):
+    monkeypatch.setattr(ngram_scores, "TOKENS_PER_PART", part)
+    monkeypatch.setattr(ngram_scores, "BLOCK_TOKENS", 1000)
+    assert_scores(odd)
+    assert ngram_scores.score(nothing).count() == 0
+    hot = spark.createDataFrame([(i, "same " * (i % 50) + f"own{i}") for i in range(300)], "doc_id long, text string")
+    assert_scores(hot.repartition(4))
+    only_held_out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = ngram_scores.score(spark.createDataFrame([(i, "a b") for i in only_held_out], "doc_id long, text string")).collect()
+    assert len(rows) == len(only_held_out) and all((r.base_score, r.score, r.n_known, r.train_tokens) == (0, 0, 0, 0) for r in rows)
+
+
+def test_discounts_fall_back_where_counts_of_counts_do_not_allow_them():
+    assert len(ngram_scores.discounts({1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 6})) == 6
+    assert len(ngram_scores.discounts({1: 100, 2: 40, 3: 20})) == 3
+    assert len(ngram_scores.discounts({1: 3, 2: 40})) == len(ngram_scores.discounts({})) == 1
+    assert ngram_scores.discounted(np.array([1, 7]), np.zeros(1)).tolist() == [0.5, 6.5]
