@@ -14,9 +14,13 @@ least the threshold are linked, and every link is confirmed on the full sets.
 5. A hub that has met its bucket leaves it. Buckets whose members still lie in more than one component get a new hub,
    chosen by a hash of the round, and members of other components are compared with it; buckets whose members lie
    in one component are done. This repeats until a round brings no new link, at most ``HUB_ROUNDS`` times.
-6. The members of buckets that are still open are compared without hubs, all in one step: two sets that reach the
-   threshold share one of the first shingles of each, rare ones first (prefix filter), so documents of different
-   components with such a shingle in common are the candidates. No pair that shares a bucket stays undecided.
+6. The members of buckets that are still open are compared without hubs, all in one step. A set's shingles that other
+   components hold too are ordered, rare ones first. Two sets that reach the threshold share one of the first of each
+   (prefix filter), and the rest of both lists from their first common shingle on must be long enough for the overlap
+   that their sizes ask for (positional filter). That bounds the sizes a set's partner can have at each shingle, so
+   sets meet by shingle and size: members of a large group of near copies, or of texts with one common passage, that
+   cannot reach the threshold by what they share are not even looked at together. No pair that shares a bucket stays
+   undecided.
 
 Null, empty and wordless texts have an empty set and are linked with nothing. Rows with the same doc_id count as
 one document; a null doc_id is linked with nothing and its component is null. Sets are held as 64-bit hashes.
@@ -24,12 +28,13 @@ one document; a null doc_id is linked with nothing and its component is null. Se
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.tables import mapped, written
@@ -41,6 +46,8 @@ BIN_BITS, ROWS_PER_BAND = 7, 4
 BROADCAST_IDS = 2_000_000
 #: Rounds with new hubs; what they leave open is compared by prefixes.
 HUB_ROUNDS = 8
+#: Sizes of sets that differ by less than this factor may fall in one step.
+SIZE_STEP = 1.05
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -152,12 +159,13 @@ def _fits(percent: int, one: str = "hub.n", other: str = "n"):
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(shingle, doc_id, n, label): the shingles of which one is shared by every two sets of different labels that
-    reach the threshold.
+    """(shingle, doc_id, n, label, most): the shingles of which one is shared by every two sets of different labels that
+    reach the threshold, and the largest size of a partner whose first common shingle it is.
 
     Such sets share at least ``least`` shingles of each, so whatever the order of all shingles, the first shared one
     is among the first n - least + 1 of both. Shingles of one label alone are shared by no such sets; they come
-    first and are left away. The others are ordered by the number of sets with them.
+    first and are left away. The others are ordered by the number of sets with them. From the first common shingle on,
+    no more than ``left`` can be shared, and sets of sizes n and m have to share percent / (100 + percent) of n + m.
     """
     shingles = sets.select("entry", "label", F.explode("shingles").alias("shingle"))
     spread = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -166,8 +174,38 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     least = F.ceil(F.col("n") * percent / 100)
     first = (F.size("shared") - least + 1).cast("int")
     cut = sets.select("entry", "doc_id", "n", "label").join(shared, "entry").filter(first > 0)
-    cut = cut.select("doc_id", "n", "label", F.explode(F.slice("shared", F.lit(1), first)).alias("s"))
-    return cut.select("s.shingle", "doc_id", "n", "label")
+    cut = cut.select("doc_id", "n", "label", F.size("shared").alias("all"), F.posexplode(F.slice("shared", F.lit(1), first)).alias("at", "s"))
+    left = F.col("all") - F.col("at")
+    return cut.select("s.shingle", "doc_id", "n", "label", (F.floor(left * (100 + percent) / percent) - F.col("n")).alias("most"))
+
+
+def _size_step(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+
+
+def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different labels whose first common shingle leaves room for the threshold.
+
+    Of a pair the smaller set (by size, then id) stands in the step of its size, and the larger one in every step that a
+    smaller partner can be in. A shingle's largest label is not paired with itself.
+    """
+    sizes = prefixes.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("shingle").agg(
+        F.max_by("label", F.struct("size", "label")).alias("largest"), F.min("label").alias("low"), F.max("label").alias("high")
+    ).filter("low != high").select("shingle", "largest")
+    marked = written(prefixes.join(largest, "shingle").withColumn("main", F.col("label") == F.col("largest")).drop("largest"), "prefixes")
+
+    fewest, at_most = F.ceil(F.col("n") * percent / 100), F.least("most", "n")
+    small = marked.filter("most >= n").withColumn("step", _size_step(F.col("n"))).select(
+        "shingle", "step", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), F.col("most").alias("x_most"), F.col("main").alias("x_main"))
+    large = marked.filter(at_most >= fewest).withColumn("step", F.explode(F.sequence(_size_step(fewest), _size_step(at_most))))
+    fits = "label != x_label and n <= x_most and x_n <= most and (x_n < n or x_n = n and x < doc_id)"
+    possible = (100 * F.col("x_n") >= percent * F.col("n")) & F.expr(fits)
+    met = [
+        one.join(other, ["shingle", "step"]).filter(possible)
+        for one, other in ((small.filter("not x_main"), large), (small.filter("x_main"), large.filter("not main")))
+    ]
+    return met[0].union(met[1]).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
 
 
 def _rest(open_: DataFrame, tested: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -176,18 +214,7 @@ def _rest(open_: DataFrame, tested: DataFrame, texts: DataFrame, percent: int) -
     sets = _sets_of(members.select("doc_id"), texts).join(members, "doc_id")
     sets = sets.select("doc_id", "label", F.size("shingles").cast("long").alias("n"), "shingles", F.monotonically_increasing_id().alias("entry"))
     sets = written(sets.filter("n > 0"), "open_sets")
-    prefixes = written(_prefixes(sets, percent), "prefixes")
-
-    # Each shingle's largest component is not paired with itself, so at most about twice as many pairs are looked at as differ.
-    sizes = prefixes.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("shingle").agg(
-        F.max_by("label", F.struct("size", "label")).alias("largest"), F.min("label").alias("low"), F.max("label").alias("high")
-    ).filter("low != high").select("shingle", "largest")
-    one = prefixes.join(largest, "shingle").filter("label != largest").select(
-        "shingle", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), "largest"
-    )
-    met = one.join(prefixes, "shingle").filter("label != x_label and (label = largest or x < doc_id)").filter(_fits(percent, "x_n", "n"))
-    pairs = met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    pairs = _meetings(written(_prefixes(sets, percent), "shared"), percent)
     pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     return written(_agreeing(pairs, sets.select("doc_id", "shingles"), percent), "confirmed")
 

@@ -191,15 +191,50 @@ def crowded(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
+def near_copies(spark, n=400, changes=14):
+    """Copies of one text with a few words changed in each, more in later ones, so that links are near the threshold."""
+    rng = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(220)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(len(base), rng.integers(2, 3 + changes * i // n), replace=False):
+            words[at] = f"c{rng.integers(0, 6)}x{at}"
+        rows.append((7000 + i, " ".join(words[: len(words) - int(rng.integers(0, 40))])))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def with_passage(spark):
+    """One passage in half of all texts, a smaller or larger part of each."""
+    rng = np.random.default_rng(12)
+    passage = " ".join(f"p{k}" for k in range(90))
+    rows = [(8000 + i, (passage if i % 2 else "") + "".join(f" q{i if rng.random() < 0.7 else i // 3}y{k}" for k in range(int(rng.integers(5, 60))))) for i in range(300)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
 @pytest.mark.parametrize("rounds", [near_dedup.HUB_ROUNDS, 0])
-def test_links_in_crowded_buckets_are_found(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("make", [crowded, near_copies, with_passage])
+def test_links_in_crowded_buckets_are_found(spark, monkeypatch, make, rounds):
     monkeypatch.setattr(near_dedup, "HUB_ROUNDS", rounds)
-    docs = crowded(spark)
+    docs = make(spark)
     want = _exact_groups(dict(docs.collect()))
-    assert want[3193][1] == 3171
+    assert make is not crowded or want[3193][1] == 3171
+    assert len({c for _, c in want.values()}) > 2
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(docs).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [75, 50, 90])
+def test_meetings_hold_every_link(spark, percent):
+    """Prefixes and sizes alone, against all pairs of sets with one label each."""
+    for docs in (near_copies(spark, 150), with_passage(spark)):
+        sets = near_dedup.shingle_sets(docs).filter("size(shingles) > 0")
+        sets = sets.select("doc_id", F.col("doc_id").alias("label"), F.size("shingles").cast("long").alias("n"), "shingles", F.col("doc_id").alias("entry")).cache()
+        found = {(r.a, r.b) for r in near_dedup._meetings(near_dedup._prefixes(sets, percent), percent).collect()}
+        own = {r.doc_id: set(r.shingles) for r in sets.collect()}
+        links = {(a, b) for a in own for b in own if a < b and 100 * (k := len(own[a] & own[b])) >= percent * (len(own[a]) + len(own[b]) - k)}
+        assert links <= found and (links or percent > 75)
+
+
 def test_components_and_their_merging(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 40)] + [(1, 2), (3, 4)], "a long, b long")
     labels = near_dedup.components(links)
