@@ -43,7 +43,7 @@ def chunks(body: Column, size: int | None, overlap: int = 16) -> Column:
     """Paragraphs packed greedily into pieces of at most ``size`` words; a longer paragraph becomes windows.
 
     The paragraphs first become units (a short paragraph, or each window of a long one, which stands
-    alone); a fold then appends units to the open piece while they fit.
+    alone); a fold then finds the runs of units that fit in one piece.
     """
     if size is None:
         return F.array(body)
@@ -61,26 +61,32 @@ def chunks(body: Column, size: int | None, overlap: int = 16) -> Column:
         ).otherwise(F.array(unit(tokens, False)))
 
     units = F.flatten(F.transform(paragraphs(body), units_of))
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n")
-    )
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+    def pieces(units: Column) -> Column:
+        # The fold keeps only where pieces begin and end; the texts are put together once, from those places.
+        start = F.struct(F.array().cast("array<struct<first:int,n:int>>").alias("cuts"), F.lit(0).alias("first"), F.lit(0).alias("n"))
 
-    def add(acc: Column, piece: Column) -> Column:
-        alone = F.struct(
-            F.concat(closed(acc), F.array(piece["text"])).alias("done"), F.lit("").alias("open"), F.lit(0).alias("n")
-        )
-        fresh = F.struct(closed(acc).alias("done"), piece["text"].alias("open"), piece["n"].alias("n"))
-        joined = F.struct(
-            acc["done"].alias("done"), F.concat(acc["open"], F.lit(" "), piece["text"]).alias("open"),
-            (acc["n"] + piece["n"]).alias("n"),
-        )
-        full = (acc["n"] == 0) | (acc["n"] + piece["n"] > size)
-        return F.when(piece["alone"], alone).when(full, fresh).otherwise(joined)
+        def cut(acc: Column, first: Column, n: Column) -> Column:
+            return F.concat(acc["cuts"], F.array(F.struct(first.alias("first"), n.alias("n"))))
+
+        def closed(acc: Column, at: Column) -> Column:
+            return F.when(acc["n"] > 0, cut(acc, acc["first"], at - acc["first"])).otherwise(acc["cuts"])
+
+        def state(cuts: Column, first: Column, n: Column) -> Column:
+            return F.struct(cuts.alias("cuts"), first.alias("first"), n.alias("n"))
+
+        def add(acc: Column, unit: Column) -> Column:
+            done = closed(acc, unit["at"])
+            alone = state(F.concat(done, F.array(F.struct(unit["at"].alias("first"), F.lit(1).alias("n")))), unit["at"] + 1, F.lit(0))
+            joined = state(acc["cuts"], acc["first"], acc["n"] + unit["n"])
+            full = (acc["n"] == 0) | (acc["n"] + unit["n"] > size)
+            return F.when(unit["alone"], alone).when(full, state(done, unit["at"], unit["n"])).otherwise(joined)
+
+        sizes = F.transform(units, lambda u, i: F.struct(i.alias("at"), u["n"].alias("n"), u["alone"].alias("alone")))
+        cuts = F.aggregate(sizes, start, add, lambda acc: closed(acc, F.size(units)))
+        return F.transform(cuts, lambda c: F.array_join(F.transform(F.slice(units, c["first"] + 1, c["n"]), lambda u: u["text"]), " "))
 
-    return F.aggregate(units, start, add, closed)
+    return F.get(F.transform(F.array(units), pieces), F.lit(0))
 
 
 def as_number(text: Column) -> Column:

@@ -2,8 +2,10 @@
 
 Both results sit in one row as arrays of text cells, so a whole table of records is graded without a
 shuffle: columns are compared as sorted multisets, and reference columns are given answer columns one by
-one. Answer columns with the same cells count as one that can be given several times, and after each column
-only assignments whose rows so far still line up as a multiset go on, so equal columns do not multiply.
+one. Answer columns with the same cells count as one that can be given several times. After each column only
+assignments whose rows so far still line up as a multiset go on, and of those that have given the same columns
+and brought the rows of both tables into the same order (with the same ties) one goes on for all: what can follow
+is the same. So near-equal columns make one assignment per set of columns given, not one per order of giving.
 """
 
 from __future__ import annotations
@@ -132,15 +134,37 @@ def with_match(records: DataFrame, reference: str, predicted: str, percent: Colu
     paired = split.withColumn("_options", F.when(comparable, F.transform("_spell_sorted", options)).otherwise(nothing))
     row_numbers = F.sequence(F.lit(0), F.size("_ref") - 1)
 
-    def lines_up(chosen: Column) -> Column:
-        wanted = F.transform(row_numbers, lambda i: F.transform(
+    def wanted(chosen: Column) -> Column:
+        return F.transform(row_numbers, lambda i: F.transform(
             chosen, lambda c, j: F.get(F.get(F.get(F.col("_spell"), j), c["way"]), i)
         ))
-        given = F.transform(F.col("_pred"), lambda row: F.transform(chosen, lambda c: F.get(row, c["column"])))
+
+    def given(chosen: Column) -> Column:
+        return F.transform(F.col("_pred"), lambda row: F.transform(chosen, lambda c: F.get(row, c["column"])))
+
+    def lines_up(chosen: Column) -> Column:
         return F.forall(
-            F.zip_with(F.array_sort(wanted), F.array_sort(given), all_close), lambda same: F.coalesce(same, F.lit(False))
+            F.zip_with(F.array_sort(wanted(chosen)), F.array_sort(given(chosen)), all_close), lambda same: F.coalesce(same, F.lit(False))
         )
 
+    def order(rows: Column) -> Column:
+        """The row numbers in sorted order, with a mark before each that differs from the row before."""
+        placed = F.array_sort(F.transform(rows, lambda row, i: F.struct(row.alias("row"), i.alias("i"))))
+        return F.get(F.transform(F.array(placed), lambda p: F.array_join(F.transform(
+            p, lambda x, k: F.concat(F.when(x["row"] == F.get(p, k - 1)["row"], "=").otherwise("<"), x["i"].cast("string"))
+        ), "")), F.lit(0))
+
+    def signature(chosen: Column) -> Column:
+        columns = F.array_sort(F.transform(chosen, lambda c: c["column"]))
+        return F.concat_ws("|", F.array_join(F.transform(columns, lambda c: c.cast("string")), ","), order(wanted(chosen)), order(given(chosen)))
+
+    def merged(states: Column) -> Column:
+        def first_of_each(states: Column, signatures: Column) -> Column:
+            return F.transform(F.array_distinct(signatures), lambda s: F.get(states, (F.array_position(signatures, s) - 1).cast("int")))
+
+        bound = F.transform(F.array(states), lambda x: F.get(F.transform(F.array(F.transform(x, signature)), lambda g: first_of_each(x, g)), F.lit(0)))
+        return F.when(F.size(states) > 1, F.get(bound, F.lit(0))).otherwise(states)
+
     def is_left(chosen: Column, column: Column) -> Column:
         used = F.size(F.filter(chosen, lambda x: x["column"] == column))
         return used < F.size(F.filter("_kind", lambda kind: kind == column))
@@ -149,7 +173,7 @@ def with_match(records: DataFrame, reference: str, predicted: str, percent: Colu
         longer = F.flatten(F.transform(so_far, lambda chosen: F.transform(
             F.filter(choices, lambda c: is_left(chosen, c["column"])), lambda c: F.concat(chosen, F.array(c)),
         )))
-        return F.filter(longer, lines_up)
+        return F.get(F.transform(F.array(F.filter(longer, lines_up)), merged), F.lit(0))
 
     start = F.array(F.array().cast("array<struct<way:int,column:int>>"))
     assigned = paired.withColumn("_assigned", F.aggregate("_options", start, extend))

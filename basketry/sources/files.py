@@ -139,17 +139,21 @@ def checked_labels(labels: DataFrame, report: str) -> DataFrame:
 def read_answer_sets(spark: SparkSession, paths: dict[str, str], schema: T.StructType) -> DataFrame:
     """Recorded answers of several sets, each row tagged with its set.
 
-    A file holds one JSON array, indented or not, or one record per line; anything else raises.
+    A file holds one JSON array, indented or not, or one record per line; anything else raises. Files of lines are
+    read in splits like any text; only a file that is an array, which no line of records starts as, is read whole.
     """
     out = None
+    file = F.col("_metadata.file_path")
     for name, path in paths.items():
-        whole = spark.read.text(path, wholetext=True)
-        is_array = F.col("value").rlike(r"^\s*\[")
-        kind = T.ArrayType(schema)
-        arrays = whole.filter(is_array).select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("r"))
-        lines = whole.filter(~is_array).select(F.explode(F.split("value", r"\r?\n")).alias("line")).filter(F.trim("line") != "")
-        records = lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
-        one = arrays.unionByName(records).select("r.*").withColumn("set", F.lit(name))
+        opened = spark.read.text(path).filter(F.ltrim("value").startswith("[")).select(file.alias("file")).distinct()
+        arrays_at = [r["file"] for r in opened.collect()]  # at most one name per file that the driver has listed anyway
+        lines = spark.read.text(path).filter(~file.isin(arrays_at)).filter(F.trim("value") != "")
+        found = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+        if arrays_at:
+            whole = spark.read.text(path, wholetext=True).filter(file.isin(arrays_at))
+            kind = T.ArrayType(schema)
+            found = found.unionByName(whole.select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("r")))
+        one = found.select("r.*").withColumn("set", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 

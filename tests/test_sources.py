@@ -37,6 +37,40 @@ def label_file(tmp_path, bad=""):
     return str(path)
 
 
+def test_of_two_loads_from_one_parent_one_fails(spark, tmp_path):
+    root = str(tmp_path / "v")
+    first = versions.publish(spark, {"a": spark.range(1)}, root)
+    parent = versions.newest(spark, root)
+    second = versions.publish(spark, {"a": spark.range(2)}, root, parent)
+    with pytest.raises(versions.Conflict):
+        versions.publish(spark, {"a": spark.range(3)}, root, parent)
+    assert versions.live_version(spark, root) == second and versions.read_live(spark, root, ["a"])["a"].count() == 2
+    assert sorted(p.name for p in (tmp_path / "v" / "versions").iterdir()) == [first, second]
+    (tmp_path / "v" / "manifest" / "000000000003.json").write_text("")  # a load that died while it wrote its manifest
+    assert versions.live_version(spark, root) == second
+    pinned = versions.read_version(spark, root, second, ["a"])["a"]
+    versions.write_tables({"a": spark.range(9)}, f"{root}/versions/000000000002-died")
+    versions.write_tables({"a": spark.range(9)}, f"{root}/versions/000000000009-running")
+    for n in (4, 5):
+        versions.publish(spark, {"a": spark.range(n)}, root)
+    assert set(versions.clean_up(spark, root, keep=2)) == {first, "000000000002-died"}
+    assert pinned.count() == 2 and versions.read_live(spark, root, ["a"])["a"].count() == 5
+    versions.clean_up(spark, root, keep=0)
+    assert [p.name for p in (tmp_path / "v" / "versions").iterdir() if not p.name.endswith("running")] == [versions.live_version(spark, root)]
+
+
+def test_answer_lines_are_read_in_splits(spark, tmp_path):
+    schema = spark.createDataFrame([], "id string, rows array<array<string>>").schema
+    (tmp_path / "long.json").write_text("".join(f'{{"id": "q{i}", "rows": [["{i}"]]}}\n' for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        found = files.read_answer_sets(spark, {"a": str(tmp_path / "long.json")}, schema)
+        assert found.rdd.getNumPartitions() > 3 and found.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_labels(spark, tmp_path):
     report = str(tmp_path / "bad")
     found = {r.label_id: (r.faithful, r.citation_correct, r.notes) for r in files.checked_labels(files.read_labels(spark, label_file(tmp_path)), report).collect()}
