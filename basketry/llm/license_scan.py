@@ -1,9 +1,14 @@
 """License notices in whole texts: fixed phrases word by word, and short notices with a few edits.
 
-Fuzzy search: a notice that may have k edits is cut into k + 1 seeds; at most k edits leave at least one seed
-intact (pigeonhole), so the exact occurrences of the seeds are all places a notice can be. Around each the regex
-library searches the notice with at most k errors and reports its span and edits. It takes the best match of the
-place first; what stands before and after that is searched again, until nothing more is found.
+A notice is a frame around its key words, which alone tell one licence from another: "released under the {mit} license".
+Key words must stand as they are; each part of the frame may have an edit for every ``CHARS_PER_EDIT`` characters,
+one at least if it is a word or more.
+
+Fuzzy search: a frame part that may have k edits is cut into k + 1 seeds; at most k edits leave at least one seed
+intact (pigeonhole), so the exact occurrences of the seeds of a notice's longest part are all places the notice can be.
+Around each the regex library searches the notice with at most k errors in each part and reports its span and edits. It
+takes the best match of the place first; what stands before and after that is searched again, until nothing more is
+found. Where notices overlap the one with the least edits stays, of equal ones the longest.
 
 Texts are lower-cased (A-Z) and reduced to words, runs of digits, letters a-z and characters beyond ASCII,
 joined by one space; word positions count from 0, spans are word ranges. Null texts count as empty: no words,
@@ -12,6 +17,8 @@ no places, empty labels, score 0. Nothing is looked up between rows, so repeated
 
 from __future__ import annotations
 
+import re
+from bisect import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,22 +32,22 @@ from basketry.llm.tables import mapped
 #: Phrases that count word by word, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Short notices in common use, and their labels.
+#: Short notices in common use with their key words in braces, and their labels.
 NOTICES = (
-    ("released under the mit license", "mit"),
+    ("released under the {mit} license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
+    ("licensed under the {apache} license version 2 0", "apache"),
+    ("this work is licensed under the {gnu general public} license version 3", "gpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("subject to the terms of the mozilla public license", "mpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("licensed under cc by 4 0", "cc-by"),
-    ("licensed under a creative commons attribution", "cc"),
+    ("subject to the terms of the {mozilla public} license", "mpl"),
+    ("licensed under {cc by nc 4 0}", "cc-by-nc"),
+    ("licensed under {cc by sa 4 0}", "cc-by-sa"),
+    ("licensed under {cc by 4 0}", "cc-by"),
+    ("licensed under a {creative commons} attribution", "cc"),
     ("all rights reserved", "reserved"),
 )
-#: One edit is allowed for so many characters of a notice.
-CHARS_PER_EDIT = 9
+#: One edit is allowed for so many characters of a part of a notice, and one in parts of ``LEAST_EDITED`` or more.
+CHARS_PER_EDIT, LEAST_EDITED = 9, 6
 
 
 def _word_table() -> bytes:
@@ -67,12 +74,23 @@ class Notice:
     pattern: regex.Pattern
 
 
-def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT) -> Notice:
-    edits = len(text) // chars_per_edit
-    cuts = [round(i * len(text) / (edits + 1)) for i in range(edits + 2)]
-    seeds = tuple((a, text[a:b]) for a, b in zip(cuts, cuts[1:]))
-    pattern = regex.compile(rf"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}".encode())
-    return Notice(text, label, edits, seeds, pattern)
+def notice(marked: str, label: str, chars_per_edit: int = CHARS_PER_EDIT) -> Notice:
+    """A notice whose key words are in braces; seeds have their distance from the notice's start."""
+    parts = re.split(r"( ?\{[^}]*\} ?)", marked)
+    text, pattern, edits, frames = "", "(?b)", 0, []
+    for i, part in enumerate(parts):
+        key = i % 2 == 1
+        plain = part.replace("{", "").replace("}", "") if key else part
+        allowed = 0 if key or len(plain) < LEAST_EDITED else max(1, len(plain) // chars_per_edit)
+        # Key words end where words end, also at the end of the notice.
+        exact = ("" if plain.startswith(" ") else "(?<= )") + regex.escape(plain, literal_spaces=True) + ("" if plain.endswith(" ") else "(?= )")
+        pattern += exact if key else f"(?:{regex.escape(plain, literal_spaces=True)}){{e<={allowed}}}" if plain else ""
+        frames += [] if key else [(len(plain), len(text), plain, allowed)]
+        text, edits = text + plain, edits + allowed
+    size, start, longest, allowed = max(frames)
+    cuts = [round(k * size / (allowed + 1)) for k in range(allowed + 2)]
+    seeds = tuple((start + a, longest[a:b]) for a, b in zip(cuts, cuts[1:]))
+    return Notice(text, label, edits, seeds, regex.compile(pattern.encode()))
 
 
 def matches(pattern: regex.Pattern, words: bytes, start: int, end: int, least: int) -> Iterator[regex.Match]:
@@ -85,6 +103,18 @@ def matches(pattern: regex.Pattern, words: bytes, start: int, end: int, least: i
             parts += [(start, m.start()), (m.end(), end)]
 
 
+def _apart(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int, str, int, int]]:
+    """Of matches that overlap those with the least edits, of equal ones the longest, of equal ones the first."""
+    firsts: list[int] = []
+    kept: list[tuple[int, int, str, int, int]] = []
+    for match in sorted(found, key=lambda x: (x[3], -x[4], x)):
+        at = bisect(firsts, match[0])
+        if (at == 0 or kept[at - 1][1] < match[0]) and (at == len(kept) or match[1] < kept[at][0]):
+            firsts.insert(at, match[0])
+            kept.insert(at, match)
+    return kept
+
+
 class Scanner:
     def __init__(self, phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]], chars_per_edit: int) -> None:
         self.phrases = [(f" {p} ".encode(), label, len(p.split())) for p, label in phrases]
@@ -134,7 +164,7 @@ class Scanner:
                     while b > a and words[b - 1 : b] == b" ":
                         b -= 1
                     found.append((words.count(b" ", 0, a) - 1, words.count(b" ", 0, b) - 1, n.label, sum(m.fuzzy_counts), len(text)))
-        return found
+        return _apart(found)
 
 
 _SCHEMA = (
