@@ -1,11 +1,11 @@
 """K-d tree partitioning into shards of near-equal bytes.
 
-Every document has metadata coordinates that depend on its text and label alone: bytes, language and source-free
-text checksum. A node is split at the weighted median (weights are bytes) along its widest dimension, widths taken
+Every document has coordinates that depend on its text alone, so that equal texts lie together whatever their labels:
+bytes, bytes a character (which tells scripts and accented languages apart) and bytes a word. A node is split at the weighted median (weights are bytes) along its widest dimension, widths taken
 relative to the whole corpus, until it is one shard. Medians are exact and distributed: a histogram of byte sums
 over the node's range is aggregated, the bin with the median is cut again into bins, until it holds a single value.
-Ties along a dimension are ordered by the text's checksum, so equal texts lie together, except that copies
-with different or null labels may part along the language; cuts fall between two checksums, at the one nearer to the median. Only where that leaves a node more than ``TOLERANCE_PERCENT`` off balance,
+Ties along a dimension are ordered by the text's checksum; cuts fall between two checksums, at the one nearer to the
+median, so equal texts lie in one shard. Only where that leaves a node more than ``TOLERANCE_PERCENT`` off balance,
 because one group of copies is very large, the cut goes through the group, by doc_id.
 
 The driver sees at most nodes times bins sums at a time. The texts are read once, to write (doc_id, size,
@@ -26,12 +26,12 @@ from pyspark.sql.window import Window
 
 from basketry.llm.tables import written
 
-TOLERANCE_PERCENT = 0.5
+TOLERANCE_PERCENT = 3
 #: Bits resolved by one histogram pass.
 BIN_BITS = 10
 #: A dimension value (31 bits) and the text's checksum (32 bits) make one sortable key of 63 bits.
 KEY_BITS = 63
-DIMENSIONS = ("size", "lang", "checksum")
+DIMENSIONS = ("size", "character", "word")
 
 
 @dataclass
@@ -45,14 +45,15 @@ class Cut:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, key_size, key_lang, key_checksum), written once."""
+    """(doc_id, size, text_crc32, key_size, key_character, key_word), written once."""
     text = F.coalesce("text", F.lit(""))
     crc = F.crc32(text.cast("binary"))
-    size = (F.octet_length(text) + 1).cast("long")
+    n_bytes = F.octet_length(text).cast("long")
+    size = n_bytes + 1
     keyed = {
         "size": F.least(size, F.lit((1 << 31) - 1)),
-        "lang": F.shiftright(F.crc32(F.coalesce("lang", F.lit("")).cast("binary")), 1),
-        "checksum": F.shiftright(crc, 1),
+        "character": F.floor(1_000_000 * n_bytes / F.greatest(F.length(text), F.lit(1))),
+        "word": F.least(F.floor(1000 * n_bytes / (1 + F.length(text) - F.length(F.replace(text, F.lit(" "))))), F.lit((1 << 31) - 1)),
     }
     keys = [F.shiftleft(v, 32).bitwiseOR(crc).alias(f"key_{k}") for k, v in keyed.items()]
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *keys), "described")
