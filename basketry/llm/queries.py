@@ -63,16 +63,17 @@ w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), l
 g AS (SELECT doc_id, p, list_slice(ws, p, p + 4) AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)),
 r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
 c AS (SELECT doc_id, count(DISTINCT p + k) AS n_repeat_words FROM r, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
-lines AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM w)),
+lines AS (SELECT doc_id, i, ls[i] AS line, CASE WHEN i > 1 THEN ls[i - 1] END AS before, ls[i + 1] AS after FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM w)),
 m AS (SELECT doc_id, i, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
              length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS syms,
              len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) <= 12 AS few,
-             regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$') AS ends,
+             length(line) <= 40 AS small, regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$') AS ends,
+             coalesce(regexp_matches(after, '^[\x20\x09-\x0D]*\p{Ll}'), false) OR (regexp_matches(line, '^[\x20\x09-\x0D]*\p{Ll}') AND coalesce(NOT regexp_matches(before, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$'), false)) AS runs_on,
              regexp_matches(line, '(\||»|›|•|·|→)|\x20>\x20') AS menu,
-             regexp_matches(lower(line), '\b(cookie policy|cookies|privacy policy|terms of (use|service)|all rights reserved|enable javascript|javascript is|sign up|log ?in|sign in|subscribe|newsletter|share (this|on)|follow us|read more|click here|powered by|skip to content)\b') AS furniture
+             regexp_matches(lower(line), '\b(cookie policy|cookies|privacy policy|terms of (use|service)|all rights reserved|enable javascript|javascript is|sign up|log ?in|sign in|subscribe|newsletter|share (this|on)|follow us|read more|click here|powered by|skip to content|impressum|datenschutzerklärung|nutzungsbedingungen|alle rechte vorbehalten|jetzt anmelden|folgen sie uns|weiterlesen|mentions légales|tous droits réservés|se connecter|inscrivez-vous|abonnez-vous|suivez-nous|lire la suite|aviso legal|todos los derechos reservados|iniciar sesión|suscríbete|síguenos|leer más)\b') AS furniture
       FROM lines),
 good AS (SELECT doc_id, count(*) AS n_good, sum(chars) AS chars_left FROM m
-         WHERE NOT (10 * syms >= chars OR (menu AND NOT ends) OR (few AND (NOT ends OR furniture))) GROUP BY doc_id),
+         WHERE NOT (10 * syms >= chars OR (menu AND NOT ends) OR (few AND (small AND NOT ends AND NOT runs_on OR furniture))) GROUP BY doc_id),
 j AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
