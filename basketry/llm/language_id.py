@@ -30,6 +30,11 @@ UNDETERMINED = "und"
 #: The model is fitted on about this many labelled documents of each language, drawn by a hash of doc_id.
 TRAINING_DOCUMENTS = 2_000
 ROUNDS = 3
+#: So many values of the label can be languages, the most frequent ones.
+MOST_LANGUAGES = 512
+#: Every piece and the unknown letter have at least this share, whatever the size of the corpus, so that the sums of
+#: words of ``LONGEST_WORD`` unknown letters and their inverses stay within a double.
+LEAST_SHARE = 1e-8
 #: Chunks kept by a worker; beyond it the cache starts anew.
 CACHE_CHUNKS = 400_000
 LONGEST_WORD = 31
@@ -136,15 +141,16 @@ def fit(
 ) -> Model:
     """A model of the languages in ``labelled`` (doc_id, text, lang); null texts and labels teach nothing.
 
-    About ``per_language`` documents of each language are read for it, all of them where there are fewer.
+    About ``per_language`` documents of each language are read for it, all of them where there are fewer; of the values
+    of ``lang`` the ``MOST_LANGUAGES`` most frequent are languages.
     """
     usable = labelled.filter("text is not null and lang is not null")
-    sizes = usable.groupBy("lang").count().collect()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], Lattice.of(path, 0))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    drawn = usable.filter(F.col("lang").isin(languages)).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{LONGEST_WORD}}})"), 1))
     of_language = [F.sum(F.when(F.col("lang") == x, 1.0).otherwise(0.0)) for x in languages]
     counted = drawn.select("lang", word.alias("word")).groupBy("word").agg(F.array(*of_language).alias("counts"))
@@ -155,7 +161,7 @@ def fit(
         summed = _expected(words, lattice).toPandas()  # at most vocabulary times languages
         counts = np.zeros_like(lattice.probabilities)
         counts[summed["piece"], summed["language"]] = summed["n"]
-        smooth = counts + 1e-2
+        smooth = counts + np.maximum(1e-2, LEAST_SHARE * counts.sum(0))
         lattice = Lattice(lattice.hashes, lattice.longest, smooth / smooth.sum(0))
     return Model(languages, lattice)
 
