@@ -38,7 +38,8 @@ CACHE_CHUNKS = 600_000
 
 #: White space for str.split() but not for the vocabulary's normaliser.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Marks that a word's ids do not depend on; the vocabulary splits them off.
+#: Marks that the ids of a word do not depend on while its letters are Latin-1; the vocabulary splits them off. Other
+#: letters may become a letter and a mark when lower-cased, and marks stand together.
 _STOPS = ".,"
 
 
@@ -53,7 +54,7 @@ class _Recent(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self._old.get(chunk)
         if ids is None:
-            if chunk[-1] in _STOPS and chunk[:-1].isalpha():
+            if chunk[-1] in _STOPS and chunk[:-1].isalpha() and _in_latin_1(chunk):
                 return self[chunk[:-1]] + self[chunk[-1]]  # a word with its full stop or comma is not kept
             ids = self._encode(chunk)
         self[chunk] = ids
@@ -84,8 +85,9 @@ class WordIds:
         if any(c in text for c in _SEPARATORS):
             ids = self._encode(text)
         else:
-            # The vocabulary lower-cases; within Latin-1 that can be done first, so that fewer chunks differ.
-            chunks = (text.lower() if _in_latin_1(text) else text).split()
+            # The vocabulary lower-cases; within Latin-1 that can be done first, so that fewer chunks differ, but not
+            # where it could make a special token of one in capitals.
+            chunks = (text.lower() if "<|" not in text and _in_latin_1(text) else text).split()
             ids = b"".join(map(self._known.__getitem__, chunks))
             self._known.trim()
         return np.frombuffer(ids, np.uint32)
