@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all in column expressions.
 
-A candidate is a run of at least 16 letters, digits and ``+/=_-``. Its features are length, transitions between
+A candidate is the value assigned to a key name, of at least six characters and up to its closing quote or white space,
+or else a run of at least 16 letters, digits and ``+/_-`` with its padding. Its features are length, transitions between
 character classes, shares of digits and distinct characters, dictionary coverage (share of its three-letter
 pieces that are common in a public word list), the path (here ``source``) and the neighbouring words: a key name
 before it, an assignment, quotes on both sides.
@@ -28,20 +29,29 @@ from pyspark.sql import functions as F
 from basketry.llm.arrays import let, prefix_sums
 from basketry.llm.tables import written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-][A-Za-z0-9+/=_-]{15,}+"
+#: Words that name a secret.
+_NAMES = (
+    r"token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?"
+)
+_ASSIGNMENT = rf"(?i:{_NAMES})[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}"
+CANDIDATE = (
+    rf"(?<={_ASSIGNMENT}\")[^\"\n]{{6,}}+(?=\")|(?<={_ASSIGNMENT}')[^'\n]{{6,}}+(?=')|(?<={_ASSIGNMENT})[^\s\"'<>,;]{{6,}}+"
+    r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/=_-]))?"
+)
 MASK = "<SECRET>"
 TREES, DEPTH, SEED = 20, 5, 7
-#: The forest is trained on about this many labelled findings of each kind, drawn by a hash.
-TRAINING_FINDINGS = 5_000
+#: The forest is trained on about this many labelled findings of each kind, drawn by a hash; where only masking is
+#: asked for, findings of about so many documents are labelled.
+TRAINING_FINDINGS, TRAINING_DOCUMENTS = 5_000, 40_000
 LEAST_PROBABILITY = 0.5
 #: A three-letter piece is common when so many words of the public list have it.
 COMMON_IN_WORDS = 12
 
 _BEFORE, _AFTER = 48, 24
-_KEY_NAME = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)[\"'\s:=]*$"
+_KEY_NAME = rf"(?i)(?:{_NAMES})[\"'\s:=>]*$"
 _ASSIGNED = r"(?:=|:|=>)\s*[\"']?$"
 _TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|mocks?|fixtures?|vendor|docs?)(?:[/_.-]|$)"
-_CHANGES = r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[+/=_-])[A-Za-z0-9]"
+_CHANGES = r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^A-Za-z0-9])[A-Za-z0-9]"
 
 CHARACTER_FEATURES = ("length", "transitions", "digits", "distinct", "coverage", "upper")
 PLACE_FEATURES = ("test_path", "key_name", "assigned", "quoted")
@@ -189,7 +199,9 @@ def scan(docs: DataFrame, pieces: list[str], least: float = LEAST_PROBABILITY) -
 
 def redact(docs: DataFrame, pieces: list[str], least: float = LEAST_PROBABILITY) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a mask and ``n_chars`` counted anew; other columns as they are."""
-    forest = train(known_findings(written(candidates(docs, pieces), "candidates")))
+    share = min(1.0, TRAINING_DOCUMENTS / max(1, docs.count()))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    forest = train(known_findings(written(candidates(sample, pieces), "candidates")))
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def rebuilt(found: Column) -> Column:
