@@ -176,7 +176,7 @@ def _block_rows(docs: DataFrame, parts: int) -> DataFrame:
     return mapped(slim, run, _SCHEMA)
 
 
-def _word_tables(rows: DataFrame) -> DataFrame:
+def _word_tables(rows: DataFrame, parts: int) -> DataFrame:
     """Per part its own row (hashes by falling count, counts; x, y: distinct counts and how many words have them) and,
     per block, the places of the block's words among them; words that training lacks have the place behind the last."""
 
@@ -197,11 +197,13 @@ def _word_tables(rows: DataFrame) -> DataFrame:
             for r, own in zip(group, np.split(places, ends[:-1])):
                 yield _message(r["block"], part, _pack(own))
 
-    return mapped(_dealt(rows, "part", "block"), run, _SCHEMA)
+    return mapped(_dealt(rows, parts, "part", "block"), run, _SCHEMA)
 
 
-def _dealt(rows: DataFrame, by: str, *order: str) -> DataFrame:
-    return rows.repartition(by).sortWithinPartitions(by, *order)
+def _dealt(rows: DataFrame, groups: int, by: str, *order: str) -> DataFrame:
+    """Rows of a group together and in order; over as many tasks as groups where the session's number is smaller."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(groups, by) if groups > usual else rows.repartition(by)).sortWithinPartitions(by, *order)
 
 
 def _steps(words: DataFrame) -> DataFrame:
@@ -260,6 +262,10 @@ class Pairs:
         self.asked, self.parts = asked[order], part[order]
 
 
+def _n_blocks(model: Words) -> int:
+    return -(-model.tokens // BLOCK_TOKENS)
+
+
 def splits(context: np.ndarray, model: Words, parts: int) -> np.ndarray:
     """Over how many parts the pairs of words with these counts are dealt."""
     return np.minimum(-(-context // max(1, model.tokens // (SHARE * parts))), parts)
@@ -282,7 +288,7 @@ def _pair_requests(blocks: DataFrame, model: Words, parts: int) -> DataFrame:
                 at = pairs.asked[i:j]
                 yield _message(block, int(pairs.parts[i]), *(_pack(x[at].astype(model.kind)) for x in (pairs.v, pairs.w)), _pack(pairs.counts[at].astype(np.uint32)))
 
-    return mapped(_dealt(blocks, "block", "part"), run, _SCHEMA)
+    return mapped(_dealt(blocks, _n_blocks(model), "block", "part"), run, _SCHEMA)
 
 
 def _pair_tables(requests: DataFrame, model: Words, parts: int) -> DataFrame:
@@ -326,7 +332,7 @@ def _pair_tables(requests: DataFrame, model: Words, parts: int) -> DataFrame:
             for r, own in zip(group, np.split(at, ends[:-1])):
                 yield _message(r["block"], part, _pack(totals[own]), _pack(place[context[own[~seen[own]]]]))
 
-    return mapped(_dealt(requests, "part", "block"), run, _SCHEMA)
+    return mapped(_dealt(requests, parts, "part", "block"), run, _SCHEMA)
 
 
 def backoff_weights(sums: np.ndarray, context: np.ndarray, d: np.ndarray, unknown_share: float) -> np.ndarray:
@@ -336,7 +342,7 @@ def backoff_weights(sums: np.ndarray, context: np.ndarray, d: np.ndarray, unknow
     return (1 - used / context) / np.maximum(1 - sums[:, RELIABLE + 2], unknown_share)
 
 
-def _answers(tables: DataFrame, model: Words, d: np.ndarray) -> DataFrame:
+def _answers(tables: DataFrame, model: Words, d: np.ndarray, parts: int) -> DataFrame:
     """Per block and part the counts of the block's pairs and the backoff weights of those not seen."""
     width = RELIABLE + 3
     frequent = tables.filter(F.col("block") == _FREQUENT).select("part", F.col("x")[0].alias("v"), "z")
@@ -360,7 +366,7 @@ def _answers(tables: DataFrame, model: Words, d: np.ndarray) -> DataFrame:
                 yield _message(r["block"], r["part"], r["a"], alphas[_unpack(r["b"], np.int64)].tobytes())
 
     asked = tables.filter(F.col("block") >= 0)
-    return mapped(_dealt(own.union(asked.select(own.columns)), "part", "block"), run, _SCHEMA)
+    return mapped(_dealt(own.union(asked.select(own.columns)), parts, "part", "block"), run, _SCHEMA)
 
 
 def _evaluated(rows: DataFrame, model: Words, d: np.ndarray, parts: int) -> DataFrame:
@@ -385,7 +391,7 @@ def _evaluated(rows: DataFrame, model: Words, d: np.ndarray, parts: int) -> Data
             )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return mapped(_dealt(rows, "block", "kind", "part").drop("kind"), run, schema)
+    return mapped(_dealt(rows, _n_blocks(model), "block", "kind", "part").drop("kind"), run, schema)
 
 
 def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
@@ -395,9 +401,10 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """
     docs = docs.withColumn("_held", _held_out(held_out)).select("doc_id", "text", "_held")
     extent = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count_if(~F.col("_held")).alias("train")).head()
-    rows = written(_block_rows(docs, max(1, -(-extent.chars // CHARS_PER_PART))), "blocks")
+    word_parts = max(1, -(-extent.chars // CHARS_PER_PART))
+    rows = written(_block_rows(docs, word_parts), "blocks")
     own = rows.filter("part = -1")
-    words = written(_word_tables(rows.filter("part >= 0").select(_NAMES)), "words")
+    words = written(_word_tables(rows.filter("part >= 0").select(_NAMES), word_parts), "words")
     per_count = _steps(words).groupBy("count").agg(F.sum("n").alias("n")).collect()  # a row per distinct count, sqrt(2 N) at most
     model = Words([(r["count"], r["n"]) for r in per_count], extent.train)
     parts = max(1, -(-model.tokens // TOKENS_PER_PART))
@@ -406,6 +413,6 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     sums = [F.coalesce(F.sum(F.col("x")[r]), F.lit(0)).alias(f"n{r + 1}") for r in range(RELIABLE + 1)]
     seen = tables.filter(F.col("block") == _OWN).agg(*sums).head()
     d = discounts({r + 1: seen[r] for r in range(RELIABLE + 1)})
-    answers = _answers(tables, model, d).withColumn("x", F.array().cast("array<long>"))  # tells answers from ids
+    answers = _answers(tables, model, d, parts).withColumn("x", F.array().cast("array<long>"))  # tells answers from ids
     kinds = [df.select(*_NAMES, F.lit(k).alias("kind")) for k, df in enumerate((own, ids, answers))]
     return _evaluated(kinds[0].union(kinds[1]).union(kinds[2]), model, d, parts)
