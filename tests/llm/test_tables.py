@@ -6,6 +6,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -89,7 +92,7 @@ def test_secret_candidates_and_starts(spark, odd, nothing):
     assert secret_scan.candidates(nothing, pieces).count() == 0
     docs = table(spark, SF, "documents").select("doc_id", "text", "source").union(odd.filter("doc_id != 6").select("doc_id", "text", "source").withColumn("doc_id", F.col("doc_id") + 10**6))
     texts = dict(docs.select("doc_id", "text").collect())
-    want = sorted((i, m.start(), m.group()) for i, t in texts.items() for m in re.finditer(secret_scan.CANDIDATE, t or ""))
+    want = sorted((i, m.start(), m.group()) for i, t in texts.items() for m in regex.finditer(secret_scan.CANDIDATE, t or ""))
     assert sorted((r.doc_id, r.start, r.text) for r in secret_scan.candidates(docs, pieces).collect()) == want
 
 
@@ -105,6 +108,30 @@ def test_secrets_are_masked_and_words_are_not(spark, odd, nothing):
     assert plain["3"] is None and plain["9"].count("<SECRET>") == 1 and secret_scan.redact(odd, pieces).columns == odd.columns
 
 
+@pytest.mark.parametrize("text, shown", [
+    ('password = "hunter2abc!" here', 'password = "<SECRET>" here'),
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI7K8MDENG8bPxRfiCYEXAMPLEKEY", "AWS_SECRET_ACCESS_KEY=<SECRET>"),
+    ("DB_PASSWORD=Zx9!kq7@Lm2#Pw8$ next", "DB_PASSWORD=<SECRET> next"),
+    ("api_key: 'sk-1a2b3c4d5e'", "api_key: '<SECRET>'"),
+    ("the password is changed often by the owners", "the password is changed often by the owners"),
+    ("plain words: nothing to hide, unterscheidungsmerkmale included", "plain words: nothing to hide, unterscheidungsmerkmale included"),
+])
+def test_assigned_values_are_masked_without_their_names(spark, text, shown):
+    base = table(spark, "/root/testdata/sf0.01", "documents")
+    docs = base.union(spark.createDataFrame([(10**6, text, "en", "src0", len(text))], base.schema))
+    assert secret_scan.redact(docs, secret_scan.common_pieces(WORD_BPE)).filter("doc_id = 1000000").head().text == shown
+
+
+def test_forest_expression_is_the_models_own_vote(spark):
+    found = secret_scan.candidates(table(spark, "/root/testdata/sf0.01", "documents"), secret_scan.common_pieces(WORD_BPE))
+    vectors = VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="features").transform(secret_scan.known_findings(found))
+    model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=3, impurity="gini").fit(vectors)
+    forest = secret_scan.Forest(secret_scan._parsed(model.toDebugString))
+    votes = [float(np.mean([t.predict(r.features) for t in model.trees])) for r in vectors.select("features").collect()]
+    own = [r.p for r in vectors.select(forest.probability(F.col).alias("p")).collect()]
+    assert np.allclose(own, votes) and 0 < sum(own) < len(own)
+
+
 def test_forest_without_labels_is_the_rule(spark, nothing):
     found = secret_scan.candidates(nothing, ["the"])
     assert secret_scan.train(secret_scan.known_findings(found)) is secret_scan.RULE_ALONE
@@ -130,6 +157,59 @@ def test_shards_are_even_and_gapless(spark, shards):
     assert all(len(h) == 1 for h in homes.values())
 
 
+def _plain_tree(rows, shards):
+    """The same law with sorted lists: {row number: shard}."""
+    def key(r, d):
+        return r["keys"][d] << 32 | r["crc"]
+
+    widths = [max(r["keys"][d] for r in rows) - min(r["keys"][d] for r in rows) for d in range(3)]
+    out, first = {}, [0]
+
+    def place(part, n):
+        if n == 1 or not part:
+            out.update({r["at"]: first[0] for r in part})
+            first[0] += 1
+            return
+        d = max(range(3), key=lambda d: (max(r["keys"][d] for r in part) - min(r["keys"][d] for r in part)) / max(1, widths[d]))
+        want = sum(r["size"] for r in part) * (n // 2) / n
+        sums = Counter()
+        for r in part:
+            sums[key(r, d)] += r["size"]
+        before = 0
+        for k in sorted(sums):
+            if before + sums[k] >= want:
+                break
+            before += sums[k]
+        take = want - before > before + sums[k] - want
+        off = min(want - before, before + sums[k] - want)
+        assert 100 * off <= sharding.TOLERANCE_PERCENT * want
+        place([r for r in part if key(r, d) < k + take], n // 2)
+        place([r for r in part if key(r, d) >= k + take], n - n // 2)
+
+    place(rows, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 7, 8])
+def test_shards_are_those_of_a_plain_tree(spark, monkeypatch, shards):
+    monkeypatch.setattr(sharding, "TOLERANCE_PERCENT", 5)  # no group is cut
+    docs = table(spark, "/root/testdata/sf0.01", "documents").filter("length(text) < 4000")
+    rows = []
+    for i, (doc_id, text) in enumerate(docs.select("doc_id", "text").collect()):
+        data = text.encode()
+        rows.append({"at": doc_id, "size": len(data) + 1, "crc": zlib.crc32(data), "keys": (len(data) + 1, 10**6 * len(data) // max(1, len(text)), 1000 * len(data) // (1 + text.count(" ")))})
+    assert {r.doc_id: r.shard for r in sharding.shard_by_bytes(docs, shards).collect()} == _plain_tree(rows, shards)
+
+
+def test_copies_with_other_labels_stay_together(spark):
+    langs = ["en", "de", None, "fr", "xx"]
+    docs = spark.createDataFrame([(5 * i + k, f"text {i} " * (3 + i % 11), langs[(i + k) % 5]) for i in range(80) for k in range(5)], "doc_id long, text string, lang string")
+    homes = {}
+    for r in sharding.shard_by_bytes(docs, 4).collect():
+        homes.setdefault(r.doc_id // 5, set()).add(r.shard)
+    assert len(homes) == 80 and all(len(h) == 1 for h in homes.values())
+
+
 def test_one_group_of_copies_is_split_by_need(spark, odd, nothing):
     copies = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"))
     sizes = Counter(r.shard for r in sharding.shard_by_bytes(copies, 8).collect())
@@ -296,6 +376,28 @@ def test_forward_sum_counts_every_segmentation():
     assert letters.sum() > len(words)
 
 
+def test_words_of_unknown_letters_have_finite_sums(spark, monkeypatch):
+    """Also with counts as from a very large corpus."""
+    strange = "ꙮ" * 200
+    docs = spark.createDataFrame([(i, f"the word and {strange} the" if i == 3 else "the word and the text", "en" if i % 2 else "de") for i in range(8)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, PIECES)
+    unknown = model.lattice.probabilities[-1]
+    model.lattice.probabilities[-1] = 1e-8
+    assert (unknown >= 0.9e-8).all()
+    words = ["ꙮ" * language_id.LONGEST_WORD, "the"]
+    logs = model.lattice.log_likelihoods(words)
+    counts = model.lattice.expected_counts(words, np.full((2, 2), 1e12))
+    assert np.isfinite(logs).all() and np.isfinite(counts).all() and counts[-1].min() > 1e13
+    rows = language_id.predict(docs.select("doc_id", "text"), model).collect()
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_values_of_the_label_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "some words of a text", f"x{i}" if i > 20 else "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs, PIECES).languages == ["a", "b"]
+
+
 # Packing
 
 def check_packing(rows, texts):
@@ -329,6 +431,21 @@ def test_packing_keeps_every_id_once(spark, odd, nothing):
     assert packing.pack(odd, WORD_BPE).filter("doc_id = 6").count() >= 2
 
 
+def test_word_ids_of_random_texts_are_the_librarys():
+    """Letters of several alphabets, combining marks, stops and special tokens in any case."""
+    coder, library = packing.WordIds(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    library.no_truncation()
+    library.no_padding()
+    rng = np.random.default_rng(9)
+    letters = [*map(chr, range(0x20, 0x180)), *map(chr, range(0x300, 0x315)), *"İıſßﬁΣςЖжǅ日本😀", *" .,.,'-\n\x85\xa0\u3000"]
+    words = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "TEKİ.", "don't", "I'LL", "e\u0301.", "the", "WORD,", "a.b."]
+    texts = []
+    for _ in range(20_000):
+        parts = ["".join(rng.choice(letters, rng.integers(1, 7))) if rng.random() < 0.6 else words[rng.integers(len(words))] for _ in range(rng.integers(1, 7))]
+        texts.append(("" if rng.random() < 0.3 else " ").join(parts))
+    assert all(coder.of(x).tolist() == e.ids for x, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)))
+
+
 def test_word_ids_are_the_librarys():
     coder, library = packing.WordIds(WORD_BPE), Tokenizer.from_file(WORD_BPE)
     library.no_truncation()

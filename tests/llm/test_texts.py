@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -114,17 +115,40 @@ def test_license_notices_with_edits(spark, nothing):
     assert rows[1].score == 1.0 and 0.8 < rows[0].score < 1.0 and rows[3].score == 0.0
 
 
-def test_every_notice_is_found_with_all_its_edits():
+def _edited(rng, marked):
+    """A notice with as many changed letters in each part of its frame as it may have."""
+    out = []
+    for i, part in enumerate(re.split(r"( ?\{[^}]*\} ?)", marked)):
+        part = part.replace("{", "").replace("}", "")
+        letters = list(part)
+        allowed = 0 if i % 2 or len(part) < license_scan.LEAST_EDITED else max(1, len(part) // license_scan.CHARS_PER_EDIT)
+        for at in rng.sample(range(1, len(part) - 1), allowed) if allowed else []:
+            if letters[at] != " ":
+                letters[at] = rng.choice("qxz")
+        out.append("".join(letters))
+    return "".join(out)
+
+
+def test_every_notice_is_found_with_all_its_edits_and_under_no_other_label():
     rng = random.Random(3)
     scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, license_scan.CHARS_PER_EDIT)
-    for n in scanner.notices:
-        for _ in range(20):
-            text = list(n.text)
-            for at in rng.sample(range(1, len(text) - 1), n.edits):
-                if text[at] != " ":
-                    text[at] = rng.choice("qxz")
-            words = license_scan.normalised(("so it is " + "".join(text) + " here").encode())
-            assert n.label in {x[2] for x in scanner.fuzzy(words)}, "".join(text)
+    for marked, label in license_scan.NOTICES:
+        for text in [marked.replace("{", "").replace("}", "")] + [_edited(rng, marked) for _ in range(20)]:
+            words = license_scan.normalised(("so it is " + text + " here").encode())
+            assert {x[2] for x in scanner.fuzzy(words)} == {label}, text
+
+
+@pytest.mark.parametrize("text", [
+    "released under the bsd license", "released under the gpl license", "released under the limit license", "licensed under cc by nd 4 0",
+    "this work is licensed under the gnu lesser general public license version 3", "licensed under the apaches license version 2 0"])
+def test_other_licences_get_no_label(text):
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, license_scan.CHARS_PER_EDIT)
+    assert scanner.fuzzy(license_scan.normalised(text.encode())) == []
+
+
+def test_of_overlapping_matches_the_nearest_stays():
+    found = [(0, 4, "a", 2, 30), (3, 7, "b", 0, 20), (8, 9, "c", 1, 10), (7, 9, "d", 1, 12), (5, 6, "e", 3, 9)]
+    assert license_scan._apart(found) == [(3, 7, "b", 0, 20), (8, 9, "c", 1, 10)]
 
 
 def _shingles(text):
@@ -196,6 +220,25 @@ def test_quality_lines(spark, odd, nothing):
     assert quality_rules.clean(odd).columns == odd.columns and quality_rules.clean(nothing).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "When the ship came in at last the whole town went down to the harbour to see what it had brought. Nobody had slept. "
+    "Old Peter from the Northern Quay, who had waited longest, stood in front. He said nothing. The Captain waved and the crew began to unload, "
+    "crate after crate, until the sun was low and the smell of oranges hung over the water and the houses behind it.",
+    "Der Wind kam aus Norden und die Boote lagen still im Hafen. Am Abend erzählten die Alten von der Zeit, als Die Brücke noch aus Holz war. "
+    "Keiner wollte glauben, dass man damals für einen Taler hinüberfuhr und am Ende der Fahrt noch Geld zurückbekam.",
+])
+@pytest.mark.parametrize("width", [66, 50, 34])
+def test_wrapped_prose_is_judged_like_its_paragraph(spark, text, width):
+    wrapped = "\n".join(textwrap.wrap(text, width))
+    rows = quality_rules.measure(spark.createDataFrame([(1, text), (2, wrapped)], "doc_id long, text string")).collect()
+    assert all(r.kept and r.chars_left > 0.6 * r.word_chars for r in rows)
+
+
+def test_rules_are_evaluated_once_where_documents_are_cleaned(spark, odd):
+    plan = quality_rules.clean(odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("skip to content") == 1
+
+
 def test_quality_keeps_good_documents(spark):
     judged = quality_rules.measure(table(spark, "/root/testdata/sf0.01", "documents")).join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id")
     shares = {r.quality: r.share for r in judged.filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
