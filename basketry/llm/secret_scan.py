@@ -33,10 +33,15 @@ from basketry.llm.tables import written
 _NAMES = (
     r"token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?"
 )
-_ASSIGNMENT = rf"(?i:{_NAMES})[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}"
+_ASSIGN = r"[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}"
+_BARE = r"[^\s\"'<>,;]"
+_RUN = "[A-Za-z0-9+/_-]"
+#: Group 1 is what stands before the value: the key name, the assignment and an opening quote; empty for a mere run. A run
+#: that ends in a key name with an assignment behind it is no candidate.
 CANDIDATE = (
-    rf"(?<={_ASSIGNMENT}\")[^\"\n]{{6,}}+(?=\")|(?<={_ASSIGNMENT}')[^'\n]{{6,}}+(?=')|(?<={_ASSIGNMENT})[^\s\"'<>,;]{{6,}}+"
-    r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/=_-]))?"
+    rf"((?=[tspabcTSPABC])(?i:{_NAMES}){_ASSIGN}(?:\"(?=[^\"\n]{{6,}}\")|'(?=[^'\n]{{6,}}')|(?={_BARE}{{6}})))"
+    rf"(?:(?<=\")[^\"\n]{{6,}}+|(?<=')[^'\n]{{6,}}+|{_BARE}{{6,}}+)"
+    rf"|(?<!{_RUN})(?={_RUN}{{16}})(?!{_RUN}*?(?i:{_NAMES}){_ASSIGN}){_RUN}{{16,}}+(?:={{1,2}}(?![A-Za-z0-9+/=_-]))?"
 )
 MASK = "<SECRET>"
 TREES, DEPTH, SEED = 20, 5, 7
@@ -102,8 +107,14 @@ def findings(text: Column, path: Column, pieces: list[str]) -> Column:
         lengths = F.transform(found, lambda c, i: (F.length(c) + F.length(F.get(gaps, i))).cast("bigint"))
         return let(prefix_sums(lengths), lambda ends: described(gaps, found, ends))
 
-    return let(F.regexp_extract_all(whole, F.lit(f"({CANDIDATE})"), 1), lambda found: F.when(F.size(found) > 0, let(
-        F.split(whole, CANDIDATE), lambda gaps: placed(gaps, found)
+    def apart(matches: Column, heads: Column) -> Column:
+        """What stands before a value belongs to the gap, not to the candidate."""
+        values = F.zip_with(matches, heads, lambda m, h: F.substring(m, F.length(h) + 1, F.length(m)))
+        gaps = F.transform(F.split(whole, CANDIDATE), lambda gap, i: F.concat(gap, F.coalesce(F.get(heads, i), F.lit(""))))
+        return let(values, lambda found: let(gaps, lambda g: placed(g, found)))
+
+    return let(F.regexp_extract_all(whole, F.lit(CANDIDATE), 0), lambda matches: F.when(F.size(matches) > 0, let(
+        F.regexp_extract_all(whole, F.lit(CANDIDATE), 1), lambda heads: apart(matches, heads)
     )))
 
 

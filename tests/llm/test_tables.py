@@ -6,7 +6,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-import regex
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -92,7 +91,7 @@ def test_secret_candidates_and_starts(spark, odd, nothing):
     assert secret_scan.candidates(nothing, pieces).count() == 0
     docs = table(spark, SF, "documents").select("doc_id", "text", "source").union(odd.filter("doc_id != 6").select("doc_id", "text", "source").withColumn("doc_id", F.col("doc_id") + 10**6))
     texts = dict(docs.select("doc_id", "text").collect())
-    want = sorted((i, m.start(), m.group()) for i, t in texts.items() for m in regex.finditer(secret_scan.CANDIDATE, t or ""))
+    want = sorted((i, m.start() + len(m.group(1) or ""), m.group()[len(m.group(1) or "") :]) for i, t in texts.items() for m in re.finditer(secret_scan.CANDIDATE, t or ""))
     assert sorted((r.doc_id, r.start, r.text) for r in secret_scan.candidates(docs, pieces).collect()) == want
 
 
