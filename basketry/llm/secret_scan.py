@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from basketry.llm.arrays import let, prefix_sums
 from basketry.llm.tables import written
 
-#: Words that name a secret.
+#: Words that name a secret (token, secret, password, passwd, passphrase, pwd, private key, API key, access
+#: key, auth, bearer, credential), by their first letters so that most places fail at the second one.
 _NAMES = (
-    r"token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?"
+    r"token|secret|p(?:ass(?:w(?:or)?d|phrase)|wd|rivate[_-]?key)|a(?:pi[_-]?key|ccess[_-]?key|uth)|bearer|credentials?"
 )
 _ASSIGN = r"[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}"
 _BARE = r"[^\s\"'<>,;]"
