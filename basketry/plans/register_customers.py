@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.operators import rfm, tiering, validation
+from basketry.operators import rfm, sweeps, tiering, validation
 from basketry.operators.tiering import FEATURES
 from basketry.plans import oracle
-from basketry.plans.oracle import using
+from basketry.plans.oracle import features_sql, using
 from basketry.plans.registry import register
 from basketry.plans.workspace import CUTOFF, TRAIN_CUTOFF, Workspace
 
@@ -135,6 +135,16 @@ def f6(ws: Workspace):
     return per.filter("gaps > 0")
 
 
+#: The first of every month of five years.
+MONTHLY_CUTOFFS = [f"{year}-{month:02d}-01" for year in range(1996, 2001) for month in range(1, 13)]
+
+
+@register("m10_features_every_month", using("sales cancellations", f"SELECT * FROM ({features_sql('sales', 'cancellations', MONTHLY_CUTOFFS)})"))
+def m10_monthly(ws: Workspace):
+    """Features at sixty cutoffs from one ordering of the facts."""
+    return sweeps.features_as_of(ws.star("fact_sales"), ws.star("fact_cancellations"), MONTHLY_CUTOFFS)
+
+
 @register("f8_future_revenue", using("features future", """
 SELECT customer_id, coalesce(future_revenue, 0)::DOUBLE AS future_revenue FROM features LEFT JOIN future USING (customer_id)"""))
 def f8(ws: Workspace):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketry.operators import sweeps
 from basketry.plans import metric_layer as m
 from basketry.plans.register_questions import _ask, _year
 from basketry.plans.registry import register
@@ -85,6 +86,18 @@ _ask("d10_peak_season_share", lambda s: m.peak_season_share(s, 1999), S, _PEAK_S
 
 _ask("k1_active_customers", lambda s: _both(m.active_customers(s, "2000-09-30", 90), m.active_customers(s, "2000-09-30", 180)),
      S, _readings(_active_sql("2000-09-30", 90), _active_sql("2000-09-30", 180)))
+def _series_sql(days: int) -> str:
+    return f"""
+WITH d AS (SELECT DISTINCT customer_id, CAST(invoice_date AS DATE) AS day FROM sales),
+c AS (SELECT CAST(unnest(generate_series(low, high + INTERVAL {days} DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT min(day) AS low, max(day) AS high FROM d)),
+a AS (SELECT c.day, count(DISTINCT customer_id) AS active FROM c JOIN d ON d.day <= c.day AND d.day > c.day - {days} GROUP BY c.day),
+f AS (SELECT customer_id, min(day) AS day FROM d GROUP BY 1),
+e AS (SELECT c.day, count(customer_id) AS ever FROM c LEFT JOIN f ON f.day <= c.day GROUP BY c.day)
+SELECT day, coalesce(active, 0) AS active, ever, ever - coalesce(active, 0) AS churned FROM c LEFT JOIN a USING (day) JOIN e USING (day)"""
+
+
+_ask("k1_active_customers_every_day", lambda s: sweeps.active_series(s, 90), S, _series_sql(90))
+_ask("k2_churn_every_day_half_year", lambda s: sweeps.active_series(s, 180), S, _series_sql(180))
 _ask("k2_churn", lambda s: _both(m.churn(s, "2000-06-30", 90), m.churn(s, "2000-06-30", 365)), S,
      _readings(_churn_sql("2000-06-30", 90), _churn_sql("2000-06-30", 365)))
 _ask("k3_average_order_value",
