@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketry.operators import cube
 from basketry.plans import analysis
 from basketry.plans.oracle import using
 from basketry.plans.registry import register
@@ -146,3 +147,27 @@ def a10(ws: Workspace):
         F.min("avg_order_value").alias("mean_lowest"),
         F.max("avg_order_value").alias("mean_highest"),
     )
+
+
+@register("a1_revenue_cube", using("sales", """
+SELECT year, country, stock_code, CAST(4 * grouping(year) + 2 * grouping(country) + grouping(stock_code) AS INTEGER) AS level,
+       sum(revenue)::DOUBLE AS revenue, count(*) AS lines
+FROM (SELECT CAST(year(invoice_date) AS INTEGER) AS year, country, stock_code, revenue FROM sales)
+GROUP BY GROUPING SETS ((year, country, stock_code), (year, country), (country, stock_code), (year), (country), (stock_code), ())"""))
+def a1_cube(ws: Workspace):
+    """Exact sums at seven levels from states by year, country and product."""
+    states = ws.written("cube_sums", lambda: cube.sum_states(ws.star("fact_sales")))
+    return cube.revenue_cube(states).withColumn("revenue", F.col("revenue").cast("double"))
+
+
+@register("a1_customers_by_sketch", using("sales", """
+SELECT year, country, CAST(2 * grouping(year) + grouping(country) AS INTEGER) AS level, count(DISTINCT customer_id) AS customers,
+       true AS customers_close, true AS median_close
+FROM (SELECT CAST(year(invoice_date) AS INTEGER) AS year, country, customer_id FROM sales)
+GROUP BY GROUPING SETS ((year, country), (year), (country), ())"""))
+def a1_sketches(ws: Workspace):
+    """Estimates from sketches of two loads merged, against the facts."""
+    facts = ws.star("fact_sales")
+    early = F.col("invoice_date") < F.lit("1998-07-01").cast("timestamp_ntz")
+    states = ws.written("cube_sketches", lambda: cube.merged(cube.sketch_states(facts.filter(early)), cube.sketch_states(facts.filter(~early))))
+    return cube.checked(facts, states)
