@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.operators import marts, quality, star
+from basketry.operators import incremental, marts, quality, star
 from basketry.operators.tiering import TIER_SHARES
 from basketry.plans.oracle import using
 from basketry.plans.registry import register
@@ -400,6 +400,18 @@ def d7_fingerprint(ws: Workspace):
     return star.fingerprint(ws.stars())
 
 
+@register("s6_three_loads_fingerprint", using(_STAR, f"SELECT {_PRINT} AS fingerprint"))
+def s6_three_loads(ws: Workspace):
+    """The raw lines loaded in three parts by time, each cleaned and added alone, give the star of one load."""
+    root, raw = ws.scratch("loads"), ws.raw()
+    moment = lambda day: F.lit(day).cast("timestamp_ntz")
+    first, second = moment("1997-03-04"), moment("1999-10-11")
+    for part in (F.col("invoice_date") < first, (F.col("invoice_date") >= first) & (F.col("invoice_date") < second), F.col("invoice_date") >= second):
+        incremental.load(ws.spark, raw.filter(part), root)
+    loaded = incremental.read(ws.spark, root)
+    return star.fingerprint({name: loaded[name] for name in star.TABLES})
+
+
 @register("d8_table_counts", using(_STAR, _COUNTS))
 def d8(ws: Workspace):
     return star.table_counts(ws.stars())
