@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.functions.text import as_number, normalised
-from basketry.operators.ranking import row_positions
 from basketry.operators.tiering import standard_ranks
 
 SHOWN_ROWS = 20
@@ -87,28 +84,37 @@ def look_up(asked: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
+def _length_step(length: Column) -> Column:
+    return F.floor(F.log2(length + 1)).cast("int")
+
+
 def similar_texts(asked: DataFrame, known: DataFrame, n: int = 3, cutoff: float = 0.4) -> DataFrame:
-    """Up to ``n`` known texts per asked text with a similarity of at least ``cutoff``.
+    """Up to ``n`` known texts per asked text with a similarity of at least ``cutoff``, a share above 0.
 
-    Similarity is 1 - edit distance / longer length. Known texts are handed out in blocks of bounded size;
-    each asked text keeps its best few per block, so pairs are never emitted.
+    Similarity is 1 - edit distance / longer length, so lengths that differ by more than the cutoff allows rule a text
+    out unread. Known texts lie in blocks of bounded size by steps of their length; an asked text meets the blocks of
+    the steps in its reach, in one join for any number of either, keeps its best few of each, and pairs are never emitted.
     """
-    total = known.count()
-    numbered = row_positions(known, ["text"], "_place") if total > _KNOWN_PER_BLOCK else None
-    blocks = [known] if numbered is None else [
-        numbered.filter((F.col("_place") > at) & (F.col("_place") <= at + _KNOWN_PER_BLOCK)) for at in range(0, total, _KNOWN_PER_BLOCK)
-    ]
+    listed = known.select("text").distinct().filter("text is not null").withColumn("step", _length_step(F.length("text")))
+    sizes = {r["step"]: r["count"] for r in listed.groupBy("step").count().collect()}  # some thirty steps of length
+    if not sizes:
+        return asked.limit(0).select("text", F.lit("").alias("known"), F.lit(0.0).alias("similarity"), F.lit(1).alias("rank"))
+    parts = F.create_map(*[F.lit(x) for step, size in sizes.items() for x in (step, -(-2 * size // _KNOWN_PER_BLOCK))])
+    part = F.pmod(F.xxhash64("text"), parts[F.col("step")]).cast("int")
+    blocks = listed.withColumn("part", part).groupBy("step", "part").agg(F.array_sort(F.collect_list("text")).alias("_known"))
+
+    length = F.length("text")
+    reach = F.sequence(_length_step(F.ceil(length * cutoff - 1e-9)), _length_step(F.floor(length / cutoff + 1e-9)))
+    steps = asked.select("text").withColumn("step", F.explode(reach)).filter(parts[F.col("step")].isNotNull())
+    meets = steps.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("step")] - 1))).join(blocks, ["step", "part"])
 
     def scored(other: Column) -> Column:
         longer = F.greatest(F.length("text"), F.length(other), F.lit(1))
-        return F.struct((F.levenshtein(F.col("text"), other) / longer - 1).alias("minus"), other.alias("known"))
-
-    found = []
-    for block in blocks:
-        listed = block.agg(F.array_sort(F.collect_list("text"))).scalar()  # at most one block of texts
-        best = F.slice(F.array_sort(F.filter(F.transform("_known", scored), lambda s: -s["minus"] >= cutoff)), 1, n)
-        found.append(asked.select("text", listed.alias("_known")).select("text", F.inline(best)))
-    every = reduce(DataFrame.unionByName, found)
+        far = F.when(F.least(length, F.length(other)) >= longer * cutoff - 1e-9, F.levenshtein(F.col("text"), other) / longer - 1)
+        return F.struct(far.alias("minus"), other.alias("known"))
+
+    best = F.slice(F.array_sort(F.filter(F.transform("_known", scored), lambda s: -s["minus"] >= cutoff)), 1, n)
+    every = meets.select("text", F.inline(best))
     order = Window.partitionBy("text").orderBy("minus", "known")
     ranked = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     return ranked.select("text", "known", (-F.col("minus")).alias("similarity"), "rank")
