@@ -18,6 +18,7 @@ document. An empty table gives no rows. A very long text makes many full sequenc
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,12 +51,14 @@ class _Recent(dict):
         super().__init__()
         self._encode = encode
         self._old: dict[str, bytes] = {}
+        #: Whether the chunks asked for are Latin-1.
+        self.latin = False
 
     def __missing__(self, chunk: str) -> bytes:
+        if self.latin and chunk[-1] in _STOPS and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1]]  # a word with its full stop or comma is not kept
         ids = self._old.get(chunk)
         if ids is None:
-            if chunk[-1] in _STOPS and chunk[:-1].isalpha() and _in_latin_1(chunk):
-                return self[chunk[:-1]] + self[chunk[-1]]  # a word with its full stop or comma is not kept
             ids = self._encode(chunk)
         self[chunk] = ids
         return ids
@@ -79,7 +82,7 @@ class WordIds:
         self._known = _Recent(self._encode)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()  # four bytes each
 
     def of(self, text: str) -> np.ndarray:
         if any(c in text for c in _SEPARATORS):
@@ -87,7 +90,8 @@ class WordIds:
         else:
             # The vocabulary lower-cases; within Latin-1 that can be done first, so that fewer chunks differ, but not
             # where it could make a special token of one in capitals.
-            chunks = (text.lower() if "<|" not in text and _in_latin_1(text) else text).split()
+            self._known.latin = _in_latin_1(text)
+            chunks = (text.lower() if self._known.latin and "<|" not in text else text).split()
             ids = b"".join(map(self._known.__getitem__, chunks))
             self._known.trim()
         return np.frombuffer(ids, np.uint32)
