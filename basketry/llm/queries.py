@@ -109,7 +109,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP1_SQL = r"""
-WITH p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH p AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'gs') AS shown, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
                   regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1, 's') AS query FROM pages),
 q AS (SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)')), '&') AS asked FROM p),
@@ -119,7 +119,8 @@ rules AS (SELECT * FROM (VALUES ('allow', 'org/', 'org', '/'), ('block', 'exampl
                                 ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')) AS v(says, rule, of_host, of_path)),
 hits AS (SELECT page_id, url, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM k JOIN rules
          ON (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, of_path) GROUP BY page_id, url),
-listed AS (SELECT DISTINCT canonical_url FROM k WHERE list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']))
+m AS (SELECT canonical_url, host, length(regexp_replace(shown, '[\x20\x09-\x0D]', '', 'g')) AS chars, length(shown) - length(regexp_replace(shown, '[#*$%]', '', 'g')) AS marks FROM k),
+listed AS (SELECT DISTINCT canonical_url FROM m WHERE (chars > 0 AND 10 * marks >= chars) OR list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']))
 SELECT k.page_id, host, path, h.rule, coalesce(h.says, CASE WHEN l.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, k.canonical_url,
        h.rule IS NULL AND l.canonical_url IS NOT NULL AS listed
 FROM k LEFT JOIN hits h ON k.page_id = h.page_id AND k.url = h.url LEFT JOIN listed l ON k.canonical_url = l.canonical_url
@@ -128,8 +129,8 @@ FROM k LEFT JOIN hits h ON k.page_id = h.page_id AND k.url = h.url LEFT JOIN lis
 
 @register("op1_url_filter", _OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.reported(pages))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages.select("page_id", "url"), url_filter.reported(pages.select("url", "html")))
 
 
 @register("op2_secret_scan")

@@ -100,13 +100,20 @@ def may_be_listed(url: str, words: Column, n_blocks: int) -> Column:
     return out
 
 
-def _confirmed(hits: DataFrame, listed: DataFrame, n_listed: int) -> DataFrame:
-    """``hits`` with a flag ``listed``: an exact join on the canonical URL; each URL's rows lie in several parts."""
+def _confirmed(tested: DataFrame, listed: DataFrame, n_listed: int) -> DataFrame:
+    """``tested`` with a flag ``listed``: an exact join of the possible hits on the canonical URL.
+
+    A short list is broadcast to one reading of all rows, of which only possible hits have a key. With a longer one only
+    possible hits are shuffled, each URL's rows in several parts.
+    """
+    marked = listed.select(F.col("url").alias("_key"), F.lit(True).alias("listed"))
     if n_listed <= BROADCAST_URLS:
-        return hits.join(F.broadcast(listed.select(F.col("url").alias("canonical_url"), F.lit(True).alias("listed"))), "canonical_url", "left")
+        return tested.withColumn("_key", F.when(F.col("_possible"), F.col("canonical_url"))).join(F.broadcast(marked), "_key", "left")
+    hits = tested.filter("_possible")
     parts = listed.select(F.col("url").alias("canonical_url"), F.lit(True).alias("listed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = hits.withColumn("_salt", F.pmod(F.xxhash64("page_id", "raw_url"), F.lit(SALTS)).cast("int"))
-    return salted.join(parts, ["canonical_url", "_salt"], "left").drop("_salt")
+    found = salted.join(parts, ["canonical_url", "_salt"], "left").drop("_salt")
+    return tested.filter("not _possible").withColumn("listed", F.lit(False)).unionByName(found)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -127,18 +134,27 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]]
     possible = F.coalesce(F.col("rule").isNull() & may_be_listed("canonical_url", words, n_blocks), F.lit(False))
     tested = ruled.withColumn("_possible", possible)
     names = ["page_id", "raw_url", "host", "path", "canonical_url", "rule", "_says"]
-    clear = tested.filter(~F.col("_possible")).select(*names, F.lit(False).alias("listed"))
-    hits = _confirmed(tested.filter("_possible").select(*names), listed, n_listed)
-    both = clear.unionByName(hits.select(*names, F.coalesce("listed", F.lit(False)).alias("listed")))
+    both = _confirmed(tested.select(*names, "_possible"), listed, n_listed).select(*names, F.coalesce("listed", F.lit(False)).alias("listed"))
     verdict = F.coalesce("_says", F.when(F.col("listed"), "block").otherwise("allow"))
     return both.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "canonical_url", "listed")
 
 
 #: Second-level names whose pages are reported as unwanted.
 UNWANTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+_HIDDEN = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>"
+
+
+def unwanted(html: Column) -> Column:
+    """One in ten or more of the shown characters is one of ``#*$%``; false for nothing shown."""
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
+    chars = F.regexp_count(shown, F.lit(r"[^\x20\x09-\x0D]"))
+    return (chars > 0) & (10 * F.regexp_count(shown, F.lit("[#*$%]")) >= chars)
 
 
 def reported(pages: DataFrame, names: Sequence[str] = UNWANTED_NAMES) -> DataFrame:
-    """(url): canonical URLs of the pages whose host has one of the names as a label."""
+    """(url): canonical URLs of pages (url, html) whose content is unwanted or whose host has one of the names as a label.
+
+    The content is evidence that no URL shows: through its canonical URL it reaches every other variant of the page.
+    """
     labels = F.split(host_of(F.col("url")), r"\.")
-    return pages.filter(F.arrays_overlap(labels, F.array(*map(F.lit, names)))).select(canonical(F.col("url")).alias("url"))
+    return pages.filter(F.arrays_overlap(labels, F.array(*map(F.lit, names))) | unwanted(F.col("html"))).select(canonical(F.col("url")).alias("url"))
