@@ -75,6 +75,15 @@ def test_url_rules_and_list(spark, monkeypatch, broadcast):
     assert url_filter.judge(pages_of(spark, URLS).limit(0), listed).count() == 0
 
 
+def test_content_reports_other_variants_of_a_page(spark):
+    junk, clean = "<p>*** $$$ ### %%%</p><script>fine words here</script>", "<p>fine words ### here and there, many of them</p>"
+    rows = [(1, "https://www.a.net/x.html", junk), (2, "https://a.net/x?utm_source=1", clean), (3, "https://a.net/y", clean), (4, "https://b.net/", None), (5, None, junk),
+            (6, "https://spam-farm.c.net/z", clean)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge(pages, url_filter.reported(pages)).collect()}
+    assert verdicts == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
+
+
 def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
     listed = spark.range(2000).select(F.concat(F.lit("host/"), "id").alias("url"))
     n = url_filter.blocks_for(2000)
