@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+#: Folders written on the way to each result that is being finished, the innermost last.
+_on_the_way: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in a fresh folder that every executor can reach, read back from there.
 
@@ -26,10 +31,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _on_the_way:
+        _on_the_way[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``build()``, written; the folders that were written on the way to it are removed."""
+    _on_the_way.append([])
+    try:
+        df = build()
+    finally:
+        made = _on_the_way.pop()
+    result = written(df, name)
+    context = df.sparkSession.sparkContext
+    for folder in made:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return result
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package sent to the workers, which may not have it installed."""
     context = df.sparkSession.sparkContext

@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage takes (spark, docs, sf_dir), works on all its predecessor kept and decides.
 
-Stages are written as Parquet and read again before the next one, so a lost executor repeats one stage at most.
+Stages are written as Parquet and read again before the next one, so a lost executor repeats one stage at most; what a
+stage wrote on its way is removed then.
 All but the last return the columns of ``documents``.
 """
 
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import language_id, near_dedup, packing, quality_rules, secret_scan
-from basketry.llm.tables import table, written
+from basketry.llm.tables import finished, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
