@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from basketry.functions.single import beside
 from basketry.operators.ranking import group_positions, quantiles, running_totals, with_tie_ranks
+from basketry.operators.trees import probability
 from basketry.operators.tiering import FEATURES, TIER_SHARES, WEIGHTS, tier_of, weighted_sum
 
 HAND_FEATURES = [f for f, w in WEIGHTS.items() if w > 0]
@@ -238,6 +239,19 @@ def fit_logistic(labelled: DataFrame, rows: int) -> PipelineModel:
     return Pipeline(stages=stages).fit(labelled)
 
 
+def logistic_scores(data: DataFrame, weights: dict[str, float], intercept: float, method: str) -> DataFrame:
+    """Probabilities of a logistic model over the percentiles with given coefficients."""
+    z = F.lit(float(intercept))
+    for f in FEATURES:
+        z = z + F.col(f"pct_{f}") * float(weights.get(f, 0.0))
+    return data.select(F.lit(method).alias("method"), "customer_id", (1.0 / (1.0 + F.exp(-z))).alias("score"), F.col("future_revenue").alias("outcome"))
+
+
+def tree_scores(data: DataFrame, trees: Sequence, method: str) -> DataFrame:
+    """Probabilities of boosted trees that send nulls to a side of their own choice."""
+    return data.select(F.lit(method).alias("method"), "customer_id", probability(trees).alias("score"), F.col("future_revenue").alias("outcome"))
+
+
 def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
     values = [float(v) for v in model.stages[-1].coefficients]
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(round(v, 3)).alias("coefficient")) for f, v in zip(FEATURES, values, strict=True)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.operators import rfm, sweeps, tiering, validation
+from basketry.operators import rfm, sweeps, tiering, trees, validation
 from basketry.operators.tiering import FEATURES
 from basketry.plans import oracle
 from basketry.plans.oracle import features_sql, using
@@ -378,6 +378,71 @@ def v9(ws: Workspace):
     return gains
 
 
+# A logistic model and three trees that stand for learned ones, so that scoring can be checked in SQL.
+FIXED_LOGISTIC, FIXED_INTERCEPT = dict(zip(FEATURES, [1.2, 0.8, 2.1, -0.3, 0.4, 0.6, -0.2, 0.1], strict=True)), -2.5
+FIXED_TREES = [
+    trees.Split("monetary", 200_000.0, True, trees.Split("regularity", 60.0, False, -0.4, 0.1), 0.7),
+    trees.Split("regularity", 45.0, True, trees.Split("frequency", 4.0, True, -0.2, 0.5), trees.Split("recency", 90.0, False, 0.3, -0.6)),
+    trees.Split("breadth", 12.0, True, -0.25, trees.Split("cancel_rate", 0.1, False, 0.35, 0.05)),
+]
+STUMPS = [trees.Split("monetary", 200_000.0, True, 0.0, 1.0), trees.Split("regularity", 45.0, True, 0.0, 1.0), trees.Split("regularity", 45.0, False, 0.0, 1.0), trees.Split("recency", 90.0, True, 1.0, 0.0)]
+
+
+def _tree_sql(tree) -> str:
+    if not isinstance(tree, trees.Split):
+        return f"{tree!r}::DOUBLE"
+    return f"CASE WHEN {_low_sql(tree)} THEN {_tree_sql(tree.low)} ELSE {_tree_sql(tree.high)} END"
+
+
+def _low_sql(split) -> str:
+    return f"coalesce({split.feature} <= {split.threshold!r}::DOUBLE, {str(split.nulls_low).lower()})"
+
+
+_LINEAR = " + ".join(f"pct_{f} * {w!r}::DOUBLE" for f, w in FIXED_LOGISTIC.items())
+
+
+@register("v7_fixed_logistic", using("scored_outcome", f"""
+SELECT 'fixed' AS method, customer_id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({FIXED_INTERCEPT!r}::DOUBLE + {_LINEAR}))), 9) AS score, future_revenue::DOUBLE AS outcome FROM scored_outcome"""))
+def v7_fixed(ws: Workspace):
+    scores = validation.logistic_scores(ws.scored_outcome().drop("score"), FIXED_LOGISTIC, FIXED_INTERCEPT, "fixed")
+    return _in_double(scores.withColumn("score", F.round("score", 9)), "outcome")
+
+
+@register("v8_fixed_trees", using("scored_outcome", f"""
+SELECT 'fixed' AS method, customer_id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({' + '.join(f'({_tree_sql(t)})' for t in FIXED_TREES)}))), 9) AS score, future_revenue::DOUBLE AS outcome FROM scored_outcome"""))
+def v8_fixed(ws: Workspace):
+    scores = validation.tree_scores(ws.scored_outcome().drop("score"), FIXED_TREES, "fixed")
+    return _in_double(scores.withColumn("score", F.round("score", 9)), "outcome")
+
+
+_STUMP_SUMS = " UNION ALL ".join(
+    f"SELECT {i} AS i, '{s.feature}' AS feature, {s.threshold!r}::DOUBLE AS threshold, coalesce(sum(g) FILTER (WHERE {_low_sql(s)}), 0) AS gl, coalesce(sum(g) FILTER (WHERE NOT {_low_sql(s)}), 0) AS gh,"
+    f" 0.25::DOUBLE * count(*) FILTER (WHERE {_low_sql(s)}) AS hl, 0.25::DOUBLE * count(*) FILTER (WHERE NOT {_low_sql(s)}) AS hh FROM labelled" for i, s in enumerate(STUMPS))
+
+
+@register("v9_true_gains", using("scored_outcome", f"""
+WITH labelled AS (SELECT *, 0.5::DOUBLE - (future_revenue::DOUBLE >= (SELECT quantile_cont(future_revenue::DOUBLE, 0.8) FROM scored_outcome))::INTEGER AS g FROM scored_outcome),
+s AS ({_STUMP_SUMS})
+SELECT feature, threshold, round(gl * gl / (hl + 1) + gh * gh / (hh + 1) - (gl + gh) * (gl + gh) / (hl + hh + 1), 6) AS gain FROM s"""))
+def v9_gains(ws: Workspace):
+    """True gains of given splits for the top fifth by later revenue, nulls on either side."""
+    labelled = validation.top_quintile_label(ws.scored_outcome())
+    return trees.split_gains(labelled, STUMPS).withColumn("gain", F.round("gain", 6))
+
+
+@register("v8_null_aware_fit", using("scored_outcome", "SELECT count(*) AS customers, 10 AS trees, true AS better_than_rate, true AS gains_add_up FROM scored_outcome"))
+def v8_null_aware(ws: Workspace):
+    """Trees fitted with nulls as they are: their loss against that of the bare rate, and their gain shares."""
+    labelled = validation.top_quintile_label(ws.scored_outcome().drop("score"))
+    model = ws.fitted("null_aware_trees", lambda: trees.fit(labelled, FEATURES, trees=10, depth=3, rate=0.3))
+    p, y = trees.probability(model), F.col("label")
+    loss = lambda q: -F.sum(F.when(y == 1, F.log(q)).otherwise(F.log(1 - q)))
+    rate = F.sum(y) / F.count(F.lit(1))
+    bare = -(F.sum(y) * F.log(rate) + (F.count(F.lit(1)) - F.sum(y)) * F.log(1 - rate))
+    adds = abs(sum(trees.gain_shares(model).values()) - 1) < 1e-9
+    return labelled.agg(F.count(F.lit(1)).alias("customers"), F.lit(len(model)).alias("trees"), (loss(p) < bare).alias("better_than_rate"), F.lit(adds).alias("gains_add_up"))
+
+
 @register("v10_baselines", using("scored_outcome", f"""WITH {_METHODS}
 SELECT method, customer_id, score, outcome::DOUBLE AS outcome FROM methods WHERE method <> '{HAND}'"""))
 def v10(ws: Workspace):
