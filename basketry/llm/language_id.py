@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.tables import mapped, written
+from basketry.llm.tables import kept_by_worker, mapped, written
 
 UNDETERMINED = "und"
 #: The model is fitted on about this many labelled documents of each language, drawn by a hash of doc_id.
@@ -231,15 +231,9 @@ class Judge:
         return out
 
 
-_judges: dict[str, Judge] = {}
-
-
 def _judge_of(key: str, model: Model) -> Judge:
-    """The worker's judge of one model, kept from task to task; another model replaces it."""
-    if key not in _judges:
-        _judges.clear()
-        _judges[key] = Judge(model)
-    return _judges[key]
+    """The worker's judge of one model."""
+    return kept_by_worker(key, lambda: Judge(model))
 
 
 def predict(docs: DataFrame, model: Model, carried: str = "doc_id long") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.tables import mapped, written
+from basketry.llm.tables import kept_by_worker, mapped, written
 
 LENGTH = 2048
 END_ID = 1
@@ -105,13 +105,8 @@ def _in_latin_1(text: str) -> bool:
     return True
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def _encoder(path: str) -> WordIds:
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
+    return kept_by_worker(path, lambda: WordIds(path))
 
 
 def tokenised(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:

@@ -52,6 +52,18 @@ def finished(build: Callable[[], DataFrame], name: str) -> DataFrame:
     return result
 
 
+_kept: dict[str, object] = {}
+
+
+def kept_by_worker(key: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task under a key; the next key takes its place, so that operators that follow each
+    other in the same worker do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package sent to the workers, which may not have it installed."""
     context = df.sparkSession.sparkContext
