@@ -47,9 +47,9 @@ _STOPS = ".,"
 class _Recent(dict):
     """Ids by chunk, bounded in two generations: what is asked for moves to the new one; the old one goes when it fills."""
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
+    def __init__(self, encode: Callable[[str], bytes], chunks: int) -> None:
         super().__init__()
-        self._encode = encode
+        self._encode, self._chunks = encode, chunks
         self._old: dict[str, bytes] = {}
         #: Whether the chunks asked for are Latin-1.
         self.latin = False
@@ -64,7 +64,7 @@ class _Recent(dict):
         return ids
 
     def trim(self) -> None:
-        if len(self) > CACHE_CHUNKS:
+        if len(self) > self._chunks:
             self._old = dict(self)
             self.clear()
 
@@ -72,14 +72,14 @@ class _Recent(dict):
 class WordIds:
     """Ids of whole texts by the tokenizers library; the vocabulary drops white space, so chunks are independent."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
         self.size = self._library.get_vocab_size()
-        self._known = _Recent(self._encode)
+        self._known = _Recent(self._encode, cache_chunks)
 
     def _encode(self, text: str) -> bytes:
         return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()  # four bytes each
@@ -105,11 +105,11 @@ def _in_latin_1(text: str) -> bool:
     return True
 
 
-def _encoder(path: str) -> WordIds:
-    return kept_by_worker(path, lambda: WordIds(path))
+def _encoder(path: str, cache_chunks: int) -> WordIds:
+    return kept_by_worker(f"{path} {cache_chunks}", lambda: WordIds(path, cache_chunks))
 
 
-def tokenised(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """(doc_id, ids, counts): ids as little-endian 32-bit integers with the end id.
 
     The last row of each task has no ids but counts: of each vocabulary id the documents with it, then the number
@@ -117,7 +117,7 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, cache_chunks)
         counts = np.zeros(max(encoder.size, end_id + 1) + 2, np.int64)
         end = np.array([end_id], np.uint32)
         for batch in batches:
@@ -255,9 +255,12 @@ class Packer:
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    coded = written(tokenised(docs, path, length, end_id), "ids")
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``cache_chunks`` bounds a worker's cache of ids and nothing else: fewer cost time, more cost memory.
+    """
+    coded = written(tokenised(docs, path, length, end_id, cache_chunks), "ids")
     per_id = coded.filter("counts is not null").select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
     counts = np.array([r["n"] for r in per_id.orderBy("at").collect()], float)  # one number per vocabulary entry
     if not len(counts):
