@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from basketry.operators import rfm, sweeps, tiering, trees, validation
@@ -346,8 +348,16 @@ def _trees(ws: Workspace, method: str):
     return ws.fitted(method, lambda: validation.fit_trees(validation.with_missing_flag(_training(ws)), **BOOSTED[method]))
 
 
+def _fit_together(ws: Workspace, methods: list[str]) -> None:
+    """Fits these learned models side by side: each is a long row of small jobs that leave most cores idle."""
+    _training(ws)
+    with ThreadPoolExecutor(max_workers=len(methods)) as jobs:
+        list(jobs.map(lambda method: _logistic(ws) if method == LOGISTIC else _trees(ws, method), methods))
+
+
 def _boosted_scores(ws: Workspace):
     data = validation.with_missing_flag(ws.scored_outcome().drop("score"))
+    _fit_together(ws, list(BOOSTED))
     scores = None
     for method in BOOSTED:
         one = validation.predict(_trees(ws, method), data, method)
@@ -371,6 +381,7 @@ def v8(ws: Workspace):
 
 @register("v9_gain_importance")
 def v9(ws: Workspace):
+    _fit_together(ws, WITH_GAINS)
     gains = None
     for method in WITH_GAINS:
         one = validation.importances(_trees(ws, method), _training(ws)).select(F.lit(method).alias("method"), "feature", "gain_share")
@@ -568,7 +579,10 @@ def all_methods(ws: Workspace):
     """Every method, learned ones included, compared on the same customers."""
     def build():
         simple = _methods(ws).select("method", "customer_id", "score", "outcome")
-        return validation.compare_methods(simple.unionByName(_rounded_method(ws)).unionByName(_logistic_scores(ws)).unionByName(_boosted_scores(ws)))
+        _fit_together(ws, [LOGISTIC, *BOOSTED])
+        # The scores are read by several jobs; written once, no model is applied twice.
+        every = ws.written("method_scores", lambda: simple.unionByName(_rounded_method(ws)).unionByName(_logistic_scores(ws)).unionByName(_boosted_scores(ws)))
+        return validation.compare_methods(every)
 
     return ws.written("tier_methods", build)
 
