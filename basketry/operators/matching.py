@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.text import as_number, trimmed
+from basketry.functions.text import bare_number, bound, trimmed
 
 # Tolerances of two numbers, and the month names.
 RELATIVE, ABSOLUTE = 1e-3, 0.01
@@ -28,16 +28,27 @@ def cell(text: Column) -> Column:
 
     Cells sort as numbers first, by value, then text.
     """
-    bare = trimmed(text)
-    moment = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(bare)).cast("timestamp_ntz")
-    iso = F.when(
-        F.date_format(moment, "HH:mm:ss.SSSSSS") == "00:00:00.000000", F.date_format(moment, "yyyy-MM-dd")
-    ).otherwise(F.rtrim(F.date_format(moment, "yyyy-MM-dd HH:mm:ss")))
-    number = F.when(moment.isNull(), as_number(bare))
-    return F.struct(
-        number.isNull().alias("is_text"), F.coalesce(number, F.lit(0.0)).alias("number"),
-        F.when(number.isNull(), F.lower(F.coalesce(iso, bare))).alias("text"),
-    )
+    # Most cells have no space around them; only the others are worth a replacement.
+    bare = F.when(text.rlike(r"(?s)^[!-~](.*[!-~])?\z"), text).otherwise(trimmed(text))
+
+    def plain(bare: Column) -> Column:
+        return bound(bare_number(bare), lambda number: F.struct(
+            number.isNull().alias("is_text"), F.coalesce(number, F.lit(0.0)).alias("number"),
+            F.when(number.isNull(), F.lower(bare)).alias("text"),
+        ))
+
+    def day(moment: Column, bare: Column) -> Column:
+        midnight = moment == F.date_trunc("day", moment).cast("timestamp_ntz")
+        as_written = (F.length(bare) == 10) & (bare >= "0001")
+        return F.when(midnight, F.when(as_written, bare).otherwise(F.date_format(moment, "yyyy-MM-dd"))).otherwise(
+            F.rtrim(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"))
+        )
+
+    def dated(bare: Column) -> Column:
+        moment = F.try_to_timestamp(bare).cast("timestamp_ntz")
+        return bound(moment, lambda m: F.when(m.isNull(), plain(bare)).otherwise(_text_cell(day(m, bare))))
+
+    return bound(bare, lambda b: F.when(b.rlike(r"^\d{4}-\d{2}-\d{2}"), dated(b)).otherwise(plain(b)))
 
 
 def close(a: Column, b: Column) -> Column:
@@ -52,11 +63,12 @@ def all_close(left: Column, right: Column) -> Column:
 
 def same_values(left: Column, right: Column) -> Column:
     """Two sorted columns as multisets: compared position by position."""
-    return (F.size(left) == F.size(right)) & all_close(left, right)
+    ends = F.coalesce(close(F.get(left, F.lit(0)), F.get(right, F.lit(0))), F.lit(False))
+    return (F.size(left) == F.size(right)) & ((F.size(left) == 0) | (ends & all_close(left, right)))
 
 
 def columns_match(left: Column, right: Column) -> Column:
-    return same_values(F.array_sort(left), F.array_sort(right))
+    return same_values(F.sort_array(left), F.sort_array(right))
 
 
 def _text_cell(text: Column) -> Column:
@@ -108,7 +120,7 @@ def with_match(records: DataFrame, reference: str, predicted: str, percent: Colu
 
     width = lambda rows: F.coalesce(F.size(F.get(F.col(rows), 0)), F.lit(0))
     tables = records.withColumn("_ref", cells(reference)).withColumn("_pred", cells(predicted))
-    in_order = lambda columns: F.transform(columns, lambda column: F.array_sort(column))
+    in_order = lambda columns: F.transform(columns, lambda column: F.sort_array(column))
     split = tables.withColumn("_spell", F.transform(
         _columns(F.col("_ref"), width("_ref")), lambda column: spellings(column, percent)
     )).withColumn("_found", _columns(F.col("_pred"), width("_pred")))
@@ -143,8 +155,9 @@ def with_match(records: DataFrame, reference: str, predicted: str, percent: Colu
         return F.transform(F.col("_pred"), lambda row: F.transform(chosen, lambda c: F.get(row, c["column"])))
 
     def lines_up(chosen: Column) -> Column:
-        return F.forall(
-            F.zip_with(F.array_sort(wanted(chosen)), F.array_sort(given(chosen)), all_close), lambda same: F.coalesce(same, F.lit(False))
+        # One column alone is an option because its values are the same ones.
+        return (F.size(chosen) == 1) | F.forall(
+            F.zip_with(F.sort_array(wanted(chosen)), F.sort_array(given(chosen)), all_close), lambda same: F.coalesce(same, F.lit(False))
         )
 
     def order(rows: Column) -> Column:

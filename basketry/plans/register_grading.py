@@ -83,6 +83,7 @@ _LATENCY = """half_even(quantile_cont(latency_s - narrate_s, 0.5), 2) AS latency
 # column, 2 a wrong number, 3 a missing row, 4 quantities paired with the wrong parts, 5 timestamps and
 # padded numbers.
 SET_SIZE = 20
+SETS_PER_TASK = 50_000
 
 
 def result_sets(ws: Workspace):
@@ -102,7 +103,7 @@ def result_sets(ws: Workspace):
 
 
 def result_records(ws: Workspace):
-    whole = spread(result_sets(ws))
+    whole = spread(result_sets(ws), SETS_PER_TASK)
     n, mode = F.size("rows"), F.col("order_key") % 6
     text_of = lambda c: c.cast("string")
 
