@@ -47,3 +47,13 @@ def test_cancellation_rates(spark, raw):
     ])
     rates = cleaning.cancellation_rates(two).first()
     assert rates.cancel_rate_by_revenue_pct == 20.0 and rates.cancel_rate_by_invoices_pct == 50.0
+
+
+def test_only_repeated_lines_are_grouped_whole(spark, monkeypatch):
+    rows = [(i, None if i % 3 else "a", "b") for i in range(50)] + [(7, None, "b"), (9, "a", "b"), (9, "a", "b"), (None, "x", None), (None, None, "x"), (None, None, "x")]
+    lines = spark.createDataFrame(rows, "i int, s string, t string")
+    for limit in (cleaning.BROADCAST_HASHES, 0):
+        monkeypatch.setattr(cleaning, "BROADCAST_HASHES", limit)
+        found = cleaning.without_duplicates(lines)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(set(rows), key=str)
+        assert "LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString() and found.columns == lines.columns

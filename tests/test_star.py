@@ -51,3 +51,11 @@ def test_digests_see_microseconds_and_borders(spark):
     assert digest([(moment,)], "t timestamp_ntz") != digest([(moment.replace(microsecond=7),)], "t timestamp_ntz")
     assert digest([("a|b", "c")], "x string, y string") != digest([("a", "b|c")], "x string, y string")
     assert digest([(None, "")], "x string, y string") != digest([("", None)], "x string, y string")
+
+
+def test_a_fact_is_ordered_without_grouping_its_lines(raw, monkeypatch):
+    """Whole lines are shuffled once, into their order; nothing keeps them in memory to count copies before."""
+    handed = []
+    monkeypatch.setattr(star, "row_positions", lambda df, order, name: handed.append(df) or df.withColumn(name, F.lit(1)))
+    star.fact(cleaning.clean(raw)[1], "cancellation_line_id")
+    assert "Aggregate" not in handed[0]._jdf.queryExecution().analyzed().toString()
