@@ -160,3 +160,17 @@ def test_learned_models_give_probabilities_with_missing_values(features):
     assert both.count() == 2 * n and both.filter("score < 0 or score > 1 or isnan(score)").count() == 0
     gains = [r.gain_share for r in validation.importances(trees, train).collect()]
     assert gains and gains == sorted(gains, reverse=True)
+
+
+def test_lines_are_grouped_before_they_are_handed_to_cutoffs(spark):
+    lines = spark.sql("""SELECT * FROM VALUES (1, 'a', TIMESTAMP_NTZ '1999-01-01 10:00:00', 'P1', 2.000BD), (1, 'a', TIMESTAMP_NTZ '1999-03-01 00:00:00', 'P2', 3.000BD),
+        (1, 'b', TIMESTAMP_NTZ '1999-02-01 00:00:00', 'P1', 5.000BD), (2, 'c', TIMESTAMP_NTZ '1999-02-01 09:00:00', 'P1', 7.000BD), (2, 'd', NULL, 'P9', 1.000BD),
+        (3, 'e', TIMESTAMP_NTZ '1999-04-01 00:00:00', 'P1', 1.000BD) t(customer_id, invoice_id, invoiced_at, product_code, revenue)""")
+    found = tiering.feature_snapshots(lines, lines.filter("invoice_id = 'a'"), ["1999-04-01", "1999-02-01"])
+    rows = {(str(r.cutoff_date), r.customer_id): (r.frequency, r.monetary, r.breadth, round(r.cancel_rate, 3), r.recency, r.tenure) for r in found.collect()}
+    assert rows == {
+        ("1999-02-01", 1): (1, 2.0, 1, 0.5, 31, 31), ("1999-04-01", 1): (2, 10.0, 2, 0.333, 59, 90), ("1999-04-01", 2): (1, 7.0, 1, 0.0, 59, 59),
+    }
+    plan = [x for x in found._jdf.queryExecution().analyzed().toString().splitlines() if "Generate" in x or "Aggregate" in x]
+    deepest = max(plan, key=lambda x: len(x) - len(x.lstrip(" :+-")))
+    assert "Aggregate" in deepest
