@@ -252,7 +252,7 @@ def predict(docs: DataFrame, model: Model, carried: str = "doc_id long") -> Data
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [name, "lang_pred", "score"]
             )
 
-    return mapped(docs.select(name, "text"), run, f"{carried}, lang_pred string, score double")
+    return mapped(docs.select(name, "text"), run, f"{carried}, lang_pred string, score double", keeps=key)
 
 
 def held_out(doc_id):
@@ -285,4 +285,4 @@ def keep_identified(docs: DataFrame, path: str, least_score: float = 0.5, per_la
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(stays)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return mapped(docs, run, schema)
+    return mapped(docs, run, schema, keeps=key)

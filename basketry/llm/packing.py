@@ -105,8 +105,8 @@ def _in_latin_1(text: str) -> bool:
     return True
 
 
-def _encoder(path: str, cache_chunks: int) -> WordIds:
-    return kept_by_worker(f"{path} {cache_chunks}", lambda: WordIds(path, cache_chunks))
+def _encoder(key: str, path: str, cache_chunks: int) -> WordIds:
+    return kept_by_worker(key, lambda: WordIds(path, cache_chunks))
 
 
 def tokenised(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
@@ -116,8 +116,10 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
     of documents and of tokens that do not fill a sequence.
     """
 
+    key = f"{path} {cache_chunks}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, cache_chunks)
+        encoder = _encoder(key, path, cache_chunks)
         counts = np.zeros(max(encoder.size, end_id + 1) + 2, np.int64)
         end = np.array([end_id], np.uint32)
         for batch in batches:
@@ -136,7 +138,7 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
         )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return mapped(slim, run, "doc_id long, ids binary, counts array<long>")
+    return mapped(slim, run, "doc_id long, ids binary, counts array<long>", keeps=key)
 
 
 class Shard:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from basketry.llm import language_id, near_dedup, packing, queries, secret_scan, sharding, url_filter
+from basketry.llm import language_id, near_dedup, packing, queries, secret_scan, sharding, tables, url_filter
 from basketry.llm.arrays import covered_by_repeats, prefix_sums
 from basketry.llm.tables import table
 from tests.oracle_check import compare, duck
@@ -511,3 +512,43 @@ def test_stages_take_odd_and_empty_tables(spark, odd, nothing):
 
 def test_run_gives_the_packed_pieces(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def _sizes_of_batches(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    key, before = tables.BATCH_BYTES[0], spark.conf.get(tables.BATCH_BYTES[0], None)
+    texts = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 500_000).alias("text"))
+    try:
+        spark.conf.unset(key)
+        sizes = tables.mapped(texts, _sizes_of_batches, "n long, size long").collect()
+        assert sum(r["n"] for r in sizes) == 60
+        assert max(r["size"] for r in sizes) < 6_000_000
+        spark.conf.set(key, "1m")  # a session that says so itself keeps its value
+        sizes = tables.mapped(texts, _sizes_of_batches, "n long, size long").collect()
+        assert sum(r["n"] for r in sizes) == 60
+        assert max(r["size"] for r in sizes) < 2_000_000
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_worker_drops_what_another_operator_kept(spark):
+    def keeping(batches):
+        for batch in batches:
+            tables.kept_by_worker("one", list).append(batch.num_rows)
+            yield batch
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([",".join(tables._kept)])], ["kept"])
+
+    def kept_after(keeps):
+        tables.mapped(spark.range(0, 64, 1, 16), keeping, "id long", keeps="one").collect()
+        return {r["kept"] for r in tables.mapped(spark.range(0, 64, 1, 16), kept, "kept string", keeps=keeps).collect()}
+
+    assert kept_after(None) == {""}
+    assert kept_after("two") == {""}
+    assert "one" in kept_after("one")
